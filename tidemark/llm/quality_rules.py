@@ -16,7 +16,7 @@ from .common import cut
 MIN_WORDS, MAX_REPEAT = 10, 20
 #: Texts of fewer words are not held against a histogram of characters, of words.
 GUARD_CHARS, GUARD_WORDS = 40, 80
-MOST_CHARS, MOST_WORDS = 0.10, 0.45
+MOST_CHARS, MOST_WORDS = 0.08, 0.24
 COMMON = 64
 #: A language with less than this share of the rows gets no reference, so there are 100 at most.
 LEAST_SHARE = 0.01

@@ -16,8 +16,12 @@ from .sampling import class_weights, labelled_sample
 
 THRESHOLD = 0.3
 SUFFIXES = 2048
-EPOCHS, RATE = 60, 0.1
-LEAST_DOCS, LEAST_GAIN, LEAST_LIFT = 3, 20.0, 8.0
+EPOCHS, RATE = 40, 0.1
+#: Longest text that the chain is trained on.
+MAX_CHARS = 6000
+LEAST_DOCS, LEAST_GAIN, LEAST_LIFT = 3, 18.0, 8.0
+#: Beginnings of words that stand for them beside the words: toxic words come in many inflections.
+STEMS = (4, 5)
 HELD = 200_000
 BLOCK = 64
 _EDGES = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -28,66 +32,92 @@ def core(word: bytes) -> bytes:
     return word.strip(_EDGES).lower()
 
 
-def _scan(m: np.ndarray) -> np.ndarray:
-    """Running products m[0], m[0] m[1], ... of 2x2 matrices (n, 2, 2), each scaled; work in proportion to n."""
-    n = len(m)
+def units(x: bytes) -> list[bytes]:
+    """A word and its beginnings, whole characters, each marked by its length."""
+    c = x.decode(errors="ignore")
+    return [x, *[b"\x00%d" % n + c[:n].encode() for n in STEMS if len(c) >= n]]
+
+
+def _vectors(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Rows v[t] = v[t-1] [[a, b], [c, d]][t], each scaled to sum 1, from any start; work in proportion to their number.
+
+    Products of whole blocks give the vectors at the blocks' ends (by the same means, a level up); all blocks then run
+    side by side.
+    """
+    n = len(a)
     if n <= BLOCK:
-        out = m.copy()
-        for i in range(1, n):
-            out[i] = out[i - 1] @ m[i]
-            out[i] /= out[i].max()
+        out, x, y = np.empty((n, 2)), 0.5, 0.5
+        for t, (p, q, r, s) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)):
+            x, y = x * p + y * r, x * q + y * s
+            z = x + y
+            x, y = x / z, y / z
+            out[t] = x, y
         return out
     k = -(-n // BLOCK)
-    pad = np.tile(np.eye(2), (k * BLOCK - n, 1, 1))
-    grid = np.concatenate([m, pad]).reshape(k, BLOCK, 2, 2)
-    out = np.empty_like(grid)
-    out[:, 0] = grid[:, 0]
-    for i in range(1, BLOCK):
-        x = out[:, i - 1] @ grid[:, i]
-        out[:, i] = x / x.max(axis=(1, 2), keepdims=True)
-    before = _scan(np.ascontiguousarray(out[:, -1]))[:-1]
-    x = before[:, None] @ out[1:]
-    out[1:] = x / x.max(axis=(2, 3), keepdims=True)
-    return out.reshape(-1, 2, 2)[:n]
-
-
-def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over many texts end to end: P(tag 1) of each token, and P(tags) of each token and the last.
+    a, b, c, d = (np.ascontiguousarray(np.concatenate([m, np.full(k * BLOCK - n, one)]).reshape(k, BLOCK).T) for m, one in ((a, 1.0), (b, 0.0), (c, 0.0), (d, 1.0)))
+    p, q, r, s = a[0], b[0], c[0], d[0]
+    for t in range(1, BLOCK):
+        p, q, r, s = p * a[t] + q * c[t], p * b[t] + q * d[t], r * a[t] + s * c[t], r * b[t] + s * d[t]
+        z = 1.0 / (p + q + r + s)
+        p, q, r, s = p * z, q * z, r * z, s * z
+    ends = _vectors(p, q, r, s)
+    x, y = np.concatenate([[0.5], ends[:-1, 0]]), np.concatenate([[0.5], ends[:-1, 1]])
+    out = np.empty((BLOCK, k, 2))
+    for t in range(BLOCK):
+        x, y = x * a[t] + y * c[t], x * b[t] + y * d[t]
+        z = 1.0 / (x + y)
+        x, y = x * z, y * z
+        out[t, :, 0], out[t, :, 1] = x, y
+    return out.transpose(1, 0, 2).reshape(-1, 2)[:n]
+
+
+def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Forward-backward over many texts end to end: P(tag 1) of each token, and sums of P(tags) of neighbours.
 
     emit: log weight of tag 1 against 0; first: whether the token begins a text; trans, start: log weights.
     A text's first matrix forgets what came before, so texts do not touch.
     """
-    n = len(emit)
     e = np.clip(emit, -40, 40)
-    psi = np.stack([np.exp(-np.maximum(e, 0)), np.exp(np.minimum(e, 0))], axis=1)
+    zero, one = np.exp(-np.maximum(e, 0)), np.exp(np.minimum(e, 0))
     t, s = np.exp(trans), np.exp(start)
-    m = np.where(first[:, None, None], s[None, None, :], t[None]) * psi[:, None, :]
-    f = _scan(m)[:, 0, :]  # first token begins a text, so all rows are alike
-    f /= f.sum(axis=1, keepdims=True)
-    # backward: b[i] = M[i+1] b[i+1], with ones after a text's end
-    nxt = np.concatenate([m[1:], np.ones((1, 2, 2))])
-    last = np.concatenate([first[1:], [True]])
-    nxt = np.where(last[:, None, None], 1.0, nxt)
-    b = _scan(np.ascontiguousarray(nxt[::-1].transpose(0, 2, 1)))[::-1][:, 0, :]
-    b = b / b.sum(axis=1, keepdims=True)
-    p = f * b
-    p /= p.sum(axis=1, keepdims=True)
-    pair = np.zeros((n, 2, 2))
-    if n > 1:
-        pair[1:] = f[:-1, :, None] * m[1:] * b[1:, None, :]
-        pair[1:] /= pair[1:].sum(axis=(1, 2), keepdims=True)
-    pair[first] = 0
-    return p[:, 1], pair
+    a, b = np.where(first, s[0], t[0, 0]) * zero, np.where(first, s[1], t[0, 1]) * one
+    c, d = np.where(first, s[0], t[1, 0]) * zero, np.where(first, s[1], t[1, 1]) * one
+    f = _vectors(a, b, c, d)
+    last = np.append(first[1:], True)
+    after = lambda x: np.where(last, 1.0, np.append(x[1:], 1.0))[::-1]  # noqa: E731  what follows a token, from the end on
+    back = _vectors(after(a), after(c), after(b), after(d))[::-1]
+    p = f * back
+    hot = p[:, 1] / p.sum(axis=1)
+    if not pairs:
+        return hot, None
+    k = np.flatnonzero(~first)
+    x = np.stack([f[k - 1, 0] * a[k] * back[k, 0], f[k - 1, 0] * b[k] * back[k, 1], f[k - 1, 1] * c[k] * back[k, 0], f[k - 1, 1] * d[k] * back[k, 1]])
+    return hot, (x / x.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+
+def apart(texts: list[list[bytes]]) -> np.ndarray:
+    """False for texts that near copy an earlier one: it has seen two of the four least hashes of their word triples."""
+    seen: set[int] = set()
+    out = np.ones(len(texts), bool)
+    for i, ws in enumerate(texts):
+        least = sorted({zlib.crc32(b" ".join(ws[k : k + 3])) for k in range(max(1, len(ws) - 2))})[:4]
+        out[i] = sum(x in seen for x in least) < min(2, len(least))
+        seen.update(least)
+    return out
 
 
 def toxic_words(texts: list[set[bytes]], labels: np.ndarray, w: np.ndarray) -> set[bytes]:
-    """Words far more usual in toxic texts: in LEAST_DOCS of them, by lift and by likelihood-ratio gain."""
+    """Words far more usual in toxic texts: in LEAST_DOCS of them, by lift and by likelihood-ratio gain.
+
+    The gain asked for grows with the number of words looked at, so that chance finds none.
+    """
     a, b, na, nb = Counter(), Counter(), w[labels == 1].sum(), w[labels == 0].sum()
     docs: Counter = Counter()
     for ws, y, k in zip(texts, labels, w, strict=True):
         (a if y else b).update(dict.fromkeys(ws, float(k)))
         if y:
             docs.update(ws)
+    least = max(LEAST_GAIN, 2 * np.log(max(1, sum(n >= LEAST_DOCS for n in docs.values()))))
     n1, n0, out = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum())), set()
     for x, d in docs.items():
         p1, p0 = d / n1, (b[x] / max(nb, 1e-9)) if nb else 0.0
@@ -96,7 +126,7 @@ def toxic_words(texts: list[set[bytes]], labels: np.ndarray, w: np.ndarray) -> s
         k0 = p0 * n0
         both = (d + k0) / (n1 + n0)
         ll = lambda k, n, p: k * np.log(max(p, 1e-12)) + (n - k) * np.log(max(1 - p, 1e-12))
-        if 2 * (ll(d, n1, p1) + ll(k0, n0, p0) - ll(d, n1, both) - ll(k0, n0, both)) >= LEAST_GAIN:
+        if 2 * (ll(d, n1, p1) + ll(k0, n0, p0) - ll(d, n1, both) - ll(k0, n0, both)) >= least:
             out.add(x)
     return out
 
@@ -111,12 +141,17 @@ class Tagger:
         if len(set(labels)) < 2:
             return
         split = [[core(x) for x in t.split()] for t in texts]
-        bad = toxic_words([set(s) for s in split], y, class_weights(labels, sizes))
-        seen = Counter(x for s in split for x in s)
-        self.words = {x: i for i, x in enumerate(sorted(x for x, n in seen.items() if n >= 3 or x in bad))}
-        ids = np.concatenate([[self.words.get(x, -1) for x in s] for s in split if s] or [np.zeros(0)]).astype(np.int64)
-        suf = np.concatenate([[self.suffix(x) for x in s] for s in split if s] or [np.zeros(0)]).astype(np.int64)
-        tags = np.concatenate([[float(x in bad and t == 1) for x in s] for s, t in zip(split, y, strict=True) if s] or [np.zeros(0)])
+        made: dict[bytes, list[bytes]] = {x: units(x) for s in split for x in s}
+        sets = [{u for x in set(s) for u in made[x]} for s in split]
+        own = np.flatnonzero(apart(split))  # copies of one toxic text must not make its words toxic
+        bad = toxic_words([sets[i] for i in own.tolist()], y[own], class_weights(labels, sizes)[own])
+        hot = {x for x, us in made.items() if any(u in bad for u in us)}
+        seen = Counter(u for s in split for x in s for u in made[x])
+        self.words = {u: i for i, u in enumerate(sorted(u for u, n in seen.items() if n >= 3 or u in bad))}
+        rows = {x: [*self.features(x), self.suffix(x)] for x in made}
+        flat = np.array([rows[x] for s in split for x in s], np.int64).reshape(-1, 2 + len(STEMS))
+        ids, suf = flat[:, :-1], flat[:, -1]
+        tags = np.array([float(t == 1 and x in hot) for s, t in zip(split, y, strict=True) for x in s])
         first = np.zeros(len(ids), bool)
         lens = np.array([len(s) for s in split])
         first[np.concatenate([[0], np.cumsum(lens[lens > 0])[:-1]]).astype(int)] = True
@@ -127,10 +162,15 @@ class Tagger:
     def suffix(x: bytes) -> int:
         return zlib.crc32(x[-3:]) % SUFFIXES
 
+    def features(self, x: bytes) -> list[int]:
+        """Places of the word's units; one the vocabulary lacks has the last place, whose weight stays zero."""
+        got = [self.words.get(u, len(self.words)) for u in units(x)]
+        return got + [len(self.words)] * (1 + len(STEMS) - len(got))
+
     def _fit(self, ids, suf, tags, first) -> None:
         """Adagrad on the chain's log likelihood: counts of features in the tags less those the model expects."""
         nw = len(self.words)
-        w, s = np.zeros(nw + 1), np.zeros(SUFFIXES)  # the last word weight is for words out of the vocabulary
+        w, s = np.zeros(nw + 1), np.zeros(SUFFIXES)
         trans, start, bias = np.zeros((2, 2)), np.zeros(2), np.array([-3.0])
         g2 = [np.full_like(x, 1e-6) for x in (w, s, trans, start, bias)]
         was = np.concatenate([[0], tags[:-1]]).astype(int)
@@ -138,25 +178,25 @@ class Tagger:
         seen = np.zeros((2, 2))
         np.add.at(seen, (was[~first], now[~first]), 1)
         begun = np.bincount(now[first], minlength=2)
-        ids = np.where(ids < 0, nw, ids)
-        word_n, suf_n = np.bincount(ids, minlength=nw + 1), np.bincount(suf, minlength=SUFFIXES)
+        word_n, suf_n = np.bincount(ids.ravel(), minlength=nw + 1), np.bincount(suf, minlength=SUFFIXES)
         for _ in range(EPOCHS):
-            p, pair = marginals(w[ids] + s[suf] + bias[0], first, trans, start)
+            p, pair = marginals(w[ids].sum(axis=1) + s[suf] + bias[0], first, trans, start, pairs=True)
             miss = tags - p
             grads = (
-                np.bincount(ids, miss, nw + 1) / np.sqrt(1 + word_n) - 0.02 * w,
+                np.bincount(ids.ravel(), np.repeat(miss, ids.shape[1]), nw + 1) / np.sqrt(1 + word_n) - 0.02 * w,
                 np.bincount(suf, miss, SUFFIXES) / np.sqrt(1 + suf_n) - 0.05 * s,
-                (seen - pair.sum(axis=0)) / np.sqrt(len(tags)) - 0.01 * trans,
+                (seen - pair) / np.sqrt(len(tags)) - 0.01 * trans,
                 (begun - np.array([(1 - p[first]).sum(), p[first].sum()])) / np.sqrt(1 + first.sum()) - 0.01 * start,
                 np.array([miss.sum()]) / np.sqrt(len(tags)) - 0.001 * bias,
             )
             for x, g, q, rate in zip((w, s, trans, start, bias), grads, g2, (6 * RATE, RATE, RATE, RATE, 2 * RATE), strict=True):
                 q += g * g
                 x += rate * g / np.sqrt(q)
+            w[nw] = 0.0
         self.w, self.s, self.bias, self.trans, self.start = w, s, float(bias[0]), trans, start
 
     def emission(self, x: bytes) -> float:
-        return float(self.w[self.words.get(x, -1)] + self.s[self.suffix(x)] + self.bias)
+        return float(self.w[self.features(x)].sum() + self.s[self.suffix(x)] + self.bias)
 
     def _emit(self, words: list[bytes], cache: dict) -> np.ndarray:
         out = np.fromiter((cache.get(x, np.nan) for x in words), float, len(words))
@@ -230,7 +270,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null text: empty, scored without evidence. Null doc_id: not held out, not learned from. Repeated rows each get a
     row. Only doc_id and text are read, and doc_id and toxic of labels. Empty table: no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Tagger(*labelled_sample(docs, labels, "toxic")))
+    model = docs.sparkSession.sparkContext.broadcast(Tagger(*labelled_sample(docs, labels, "toxic", max_chars=MAX_CHARS)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
