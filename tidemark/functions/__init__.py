@@ -1 +1 @@
-"""Part of tidemark."""
+"""Scalar functions as column expressions."""

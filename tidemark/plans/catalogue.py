@@ -1,11 +1,4 @@
-"""The registered queries and their SQL."""
+"""All named queries of the library; importing the modules registers them."""
 
-from __future__ import annotations
-
-
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict:
-    return {}
+from . import q_aggregates, q_joins, q_quant, q_scalar, q_sources, q_windows  # noqa: F401
+from .registry import oracle_sql, queries  # noqa: F401
