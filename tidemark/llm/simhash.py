@@ -15,9 +15,9 @@ from .common import cut
 SHINGLE = 3
 SEED = 42
 MOST_BITS = 2
-#: 16 segments of 4 bits; a segment's count of ones (0 to 4) fits its own 4 bits of one long.
-SEGMENTS = 16
-LOW = 0x1111111111111111
+#: 32 segments of 2 bits; a segment's count of ones (0 to 2) fits its own 2 bits of one long.
+SEGMENTS = 32
+LOW = 0x5555555555555555
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -45,17 +45,25 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "mark", "print"])
 
 
+def _long(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits)
+
+
 def grid_cell(bits: Column) -> Column:
     """The counts of ones in all segments, side by side in one long."""
-    return sum((F.shiftrightunsigned(bits, j).bitwiseAND(F.lit(LOW)) for j in range(1, 4)), bits.bitwiseAND(F.lit(LOW)))
+    even, odd = bits.bitwiseAND(_long(LOW)), F.shiftrightunsigned(bits, 1).bitwiseAND(_long(LOW))
+    return even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))  # their sum, without a carry
 
 
 def cells_within_one(cell: Column) -> Column:
-    """The cell and those at Manhattan distance 1. Two counts at distance 2 or less share one of these."""
+    """The cell and those at Manhattan distance 1. Two counts at distance 2 or less share one of these.
+
+    In a field of two bits, 0 and 1 differ by 01, 1 and 2 by 11.
+    """
     out = [cell]
     for k in range(SEGMENTS):
-        here, step = F.shiftrightunsigned(cell, 4 * k).bitwiseAND(F.lit(15)), F.lit(1 << (4 * k))
-        out += [F.when(here < 4, cell + step), F.when(here > 0, cell - step)]
+        here = F.shiftrightunsigned(cell, 2 * k).bitwiseAND(F.lit(3))
+        out += [F.when(here != 2, cell.bitwiseXOR(_long(1 << (2 * k)))), F.when(here != 0, cell.bitwiseXOR(_long(3 << (2 * k))))]
     return F.array_compact(F.array(*out))
 
 
@@ -83,7 +91,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     root is the least fingerprint of the component.
 
     Fingerprints that differ in most_bits (2) bits or fewer link; component_id is the least doc_id reachable.
-    Equal fingerprints are one class from the start. The bit counts of 16 segments place each class in a grid; the
+    Equal fingerprints are one class from the start. The bit counts of 32 segments place each class in a grid; the
     Manhattan distance of counts never exceeds the bits that differ, so classes that share no cell within one step
     of both can't link. For those that do, the exact check: two fingerprints differ in at most 2 bits if and only if
     some value is within 1 bit of both. Each class is led to the least one at each such value, so a group of any
@@ -104,7 +112,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     placed = celled.select("print", F.explode(cells_within_one(F.col("cell"))).alias("cell"))
     met = placed.groupBy("cell").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("cell")
     near = cut(placed.join(met, "cell", "left_semi").select("print").distinct(), "near")
-    points = near.select("print", F.explode(F.array(F.col("print"), *[F.col("print").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])).alias("point"))
+    points = near.select("print", F.explode(F.array(F.col("print"), *[F.col("print").bitwiseXOR(_long(1 << i)) for i in range(64)])).alias("point"))
     hubs = points.groupBy("point").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("point", "lo")
     linked = components(points.join(hubs, "point").select(F.col("print").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct())
     rooted = classes.join(linked, classes["print"] == linked["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
