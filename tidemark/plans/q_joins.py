@@ -30,7 +30,7 @@ def _(v):
     return J.as_of_forward(ev, 3600, "value").where("event_id % 5 = 0").select("event_id", "later_t", "later_value")
 
 
-@query("j2_live_ic_pairs", "WITH " + VOTES + ", p AS (SELECT a.symbol, a.t, a.agent, a.vote, a.price, min(b.t) AS lt FROM votes a LEFT JOIN votes b ON a.symbol = b.symbol AND b.t >= a.t + 86400 GROUP BY ALL) SELECT p.symbol, p.t, p.agent, p.vote, round(ln(arg_min(b.price, b.agent) / p.price), 6) AS fwd FROM p JOIN votes b ON b.symbol = p.symbol AND b.t = p.lt GROUP BY ALL")
+@query("j2_live_ic_pairs", "WITH " + VOTES + ", p AS (SELECT a.symbol, a.t, a.agent, a.vote, a.price, min(b.t) AS lt FROM votes a LEFT JOIN votes b ON a.symbol = b.symbol AND b.t >= a.t + 86400 GROUP BY ALL) SELECT p.symbol, p.t, p.agent, p.vote, round(ln(min(b.price) / p.price), 6) AS fwd FROM p JOIN votes b ON b.symbol = p.symbol AND b.t = p.lt GROUP BY p.symbol, p.t, p.agent, p.vote, p.price")
 def _(v):
     prices = v.votes.select("symbol", "t", "price").distinct()
     ahead = J.as_of_forward(prices, 86400, "price").where("later_price is not null")
