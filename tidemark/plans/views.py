@@ -43,7 +43,7 @@ class Views:
         """snap, side, price, size: a two-sided book for each order; equal prices of a side add up."""
         return (
             self.table("lineitem")
-            .select(F.col("l_orderkey").alias("snap"), F.when(F.col("l_linenumber") % 2 == 1, "bid").otherwise("ask").alias("side"), (F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2) + F.when(F.col("l_linenumber") % 2 == 1, 0.0).otherwise(2000.0)).alias("price"), F.col("l_quantity").cast("double").alias("size"))
+            .select(F.col("l_orderkey").alias("snap"), F.when(F.col("l_linenumber") % 2 == 1, "bid").otherwise("ask").alias("side"), (F.floor(F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double") * 100) / 100.0 + F.when(F.col("l_linenumber") % 2 == 1, 0.0).otherwise(2000.0)).alias("price"), F.col("l_quantity").cast("double").alias("size"))
             .groupBy("snap", "side", "price").agg(F.sum("size").alias("size"))
         )
 
@@ -107,7 +107,7 @@ BARS = EV + """, bars0 AS (SELECT event_type AS symbol, (sec // 21600) * 21600 A
 bars AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM bars0)"""
 TAPE = EV + ", tape AS (SELECT event_type AS symbol, sec AS t, event_id, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, value AS size, 100.0::DOUBLE + user_id % 50 AS price FROM ev)"
 BOOK = """book AS (SELECT l_orderkey AS snap, CASE WHEN l_linenumber % 2 = 1 THEN 'bid' ELSE 'ask' END AS side,
-  (round(l_extendedprice / l_quantity, 2) + CASE WHEN l_linenumber % 2 = 1 THEN 0.0 ELSE 2000.0 END)::DOUBLE AS price, sum(l_quantity::DOUBLE) AS size FROM lineitem GROUP BY 1, 2, 3)"""
+  (floor(l_extendedprice::DOUBLE / l_quantity::DOUBLE * 100) / 100.0::DOUBLE + CASE WHEN l_linenumber % 2 = 1 THEN 0.0 ELSE 2000.0 END)::DOUBLE AS price, sum(l_quantity::DOUBLE) AS size FROM lineitem GROUP BY 1, 2, 3)"""
 SIGNALS = BARS + """, signals AS (SELECT symbol || '|' || t AS signal_id, symbol, t, rn, CASE WHEN rn % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, close AS entry, round(0.1 * close, 6) AS risk,
   round(close + CASE WHEN rn % 2 = 0 THEN -1.0 ELSE 1.0 END * round(0.1 * close, 6), 6) AS stop_loss, round(close + CASE WHEN rn % 2 = 0 THEN 2.0 ELSE -2.0 END * round(0.1 * close, 6), 6) AS take_profit FROM bars)"""
 VOTES = EV + """, votes0 AS (SELECT 'S' || (user_id % 8) AS symbol, (sec // 86400) * 86400 AS t, event_type AS agent, round(avg(value), 6) AS m, count(*) AS n FROM ev GROUP BY 1, 2, 3),
