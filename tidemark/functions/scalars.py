@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,9 +36,15 @@ def granularity(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float = -1.0, high: float = 1.0) -> Column:
+    """c must not be null: greatest and least skip nulls."""
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))
 
 
+def clamp_known(c: Column, low: float = -1.0, high: float = 1.0) -> Column:
+    """clamp that keeps a null."""
+    return F.when(c.isNotNull(), clamp(c, low, high))
+
+
 def normal_density(x: Column) -> Column:
     return F.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
 
@@ -92,18 +98,22 @@ def d1_d2(s: Column, k: Column, sigma: Column, t: Column, r: float = 0.0) -> tup
     return d1, d1 - v
 
 
-def option_values(s: Column, k: Column, sigma: Column, t: Column, r: float = 0.0) -> dict[str, Column]:
-    """Call, put, delta, gamma, vega, chances to end above or below k and to touch it; null unless all are positive."""
-    ok = (s > 0) & (k > 0) & (sigma > 0) & (t > 0)
-    d1, d2 = d1_d2(s, k, sigma, t, r)
-    disc = F.exp(-r * t)
-    above = normal_cdf(d2)
-    out = {
-        "call": s * normal_cdf(d1) - k * disc * normal_cdf(d2), "put": k * disc * normal_cdf(-d2) - s * normal_cdf(-d1),
-        "delta": normal_cdf(d1), "gamma": normal_density(d1) / (s * sigma * F.sqrt(t)), "vega": s * normal_density(d1) * F.sqrt(t),
-        "above": above, "below": 1 - above, "touch": F.least(F.lit(1.0), 2 * F.when(k >= s, above).otherwise(1 - above)),
-    }
-    return {n: F.when(ok, c) for n, c in out.items()}
+def options(df: DataFrame, s: str, k: str, sigma: str, t: str, r: float = 0.0) -> DataFrame:
+    """Adds call, put, delta, gamma, vega, above, below, touch; null unless all four are positive.
+
+    d1, d2 and their normal values are columns first, so that the long approximation stands in the plan twice only.
+    """
+    c = F.col
+    ok = (c(s) > 0) & (c(k) > 0) & (c(sigma) > 0) & (c(t) > 0)
+    d1, d2 = d1_d2(c(s), c(k), c(sigma), c(t), r)
+    df = df.withColumns({"_d1": F.when(ok, d1), "_d2": F.when(ok, d2)})
+    df = df.withColumns({"_n1": normal_cdf(c("_d1")), "_n2": normal_cdf(c("_d2")), "_disc": F.exp(-r * c(t)), "_root": F.sqrt(c(t))})
+    df = df.withColumns({
+        "call": c(s) * c("_n1") - c(k) * c("_disc") * c("_n2"), "put": c(k) * c("_disc") * (1 - c("_n2")) - c(s) * (1 - c("_n1")), "delta": c("_n1"),
+        "gamma": normal_density(c("_d1")) / (c(s) * c(sigma) * c("_root")), "vega": c(s) * normal_density(c("_d1")) * c("_root"), "above": c("_n2"), "below": 1 - c("_n2"),
+    })
+    touch = 2 * F.when(c(k) >= c(s), c("above")).otherwise(c("below"))
+    return df.withColumn("touch", F.when(touch > 1, 1.0).otherwise(touch)).drop("_d1", "_d2", "_n1", "_n2", "_disc", "_root")
 
 
 def crowd(ratio: Column) -> Column:
