@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .scalars import reasons
 
@@ -40,7 +41,7 @@ def scan(text: Column) -> dict[str, Column]:
     return {"hits": F.array_join(hits, ","), "risk": risk}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(texts: pd.Series) -> pd.Series:
     """Compatibility form (NFKC), which the JVM functions lack."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")

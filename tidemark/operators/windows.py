@@ -5,35 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("symbol").orderBy("t")
+
+def by():
+    """Rows of a symbol in order of time. A function, as a window needs a running session."""
+    return Window.partitionBy("symbol").orderBy("t")
 
 
 def last(n: int):
     """The frame of the current row and the n - 1 before."""
-    return BY.rowsBetween(-(n - 1), 0)
+    return by().rowsBetween(-(n - 1), 0)
 
 
 def before(n: int):
     """The frame of the n rows before the current one."""
-    return BY.rowsBetween(-n, -1)
+    return by().rowsBetween(-n, -1)
 
 
 def lag(name: str | Column, k: int = 1) -> Column:
-    return F.lag(name, k).over(BY)
+    return F.lag(name, k).over(by())
 
 
 def lead(name: str | Column, k: int = 1) -> Column:
-    return F.lead(name, k).over(BY)
+    return F.lead(name, k).over(by())
 
 
 def place() -> Column:
     """0 for a symbol's first row."""
-    return F.row_number().over(BY) - 1
+    return F.row_number().over(by()) - 1
 
 
 def full(n: int) -> Column:
     """Whether n rows end at the current one."""
-    return F.row_number().over(BY) >= n
+    return F.row_number().over(by()) >= n
 
 
 def sma(name: str, n: int) -> Column:
@@ -85,7 +88,7 @@ def savitzky_weights(window: int = 11, poly: int = 2) -> list[float]:
 def savitzky_golay(df: DataFrame, name: str = "close", window: int = 11, poly: int = 2) -> DataFrame:
     """Smoothed values; beyond the ends the end values repeat. Shorter series use the widest odd window that fits."""
     n = F.count("*").over(Window.partitionBy("symbol"))
-    whole = BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, final = F.first(name).over(whole), F.last(name).over(whole)
     out = F.col(name)
     for w in range(3, window + 1, 2):
@@ -93,7 +96,7 @@ def savitzky_golay(df: DataFrame, name: str = "close", window: int = 11, poly: i
         if poly >= w:
             continue
         fits = (n >= w) if w == window else (n >= w) & (n < w + 2)
-        terms = [weight * F.coalesce(F.lag(name, -k).over(BY), final if k > 0 else first) for k, weight in zip(range(-m, m + 1), savitzky_weights(w, poly), strict=True)]
+        terms = [weight * F.coalesce(F.lag(name, -k).over(by()), final if k > 0 else first) for k, weight in zip(range(-m, m + 1), savitzky_weights(w, poly), strict=True)]
         out = F.when(fits, sum(terms[1:], terms[0])).otherwise(out)
     return df.withColumn("smooth", out)
 
@@ -150,13 +153,13 @@ def swings(df: DataFrame, k: int = 2) -> DataFrame:
 def structure(df: DataFrame, k: int = 2) -> DataFrame:
     """Trend and event of each bar from swings confirmed by then: trend, event, event_dir, last_high, last_low."""
     df = swings(df, k)
-    seen = BY.rowsBetween(Window.unboundedPreceding, 0)
+    seen = by().rowsBetween(Window.unboundedPreceding, 0)
     for name, flag in (("high", "swing_high"), ("low", "swing_low")):
         was = F.when(lag(flag, k), lag(name, k))
         df = df.withColumn(f"_{name}", was)
         df = df.withColumn(f"last_{name}", F.last(f"_{name}", ignorenulls=True).over(seen))
         # the value the last swing replaced: what stood before the latest confirmation
-        df = df.withColumn(f"_was_{name}", F.when(F.col(f"_{name}").isNotNull(), F.last(f"_{name}", ignorenulls=True).over(BY.rowsBetween(Window.unboundedPreceding, -1))))
+        df = df.withColumn(f"_was_{name}", F.when(F.col(f"_{name}").isNotNull(), F.last(f"_{name}", ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, -1))))
         df = df.withColumn(f"prior_{name}", F.last(f"_was_{name}", ignorenulls=True).over(seen))
     up = (F.col("last_high") > F.col("prior_high")) & (F.col("last_low") > F.col("prior_low"))
     down = (F.col("last_high") < F.col("prior_high")) & (F.col("last_low") < F.col("prior_low"))
@@ -195,7 +198,7 @@ def trapped(level: Column, way: int, n: int = 3, tolerance: float = 0.001) -> Co
 
 def gaps(df: DataFrame) -> DataFrame:
     """Three-bar gaps: symbol, t, way, gap_low, gap_high, filled (by any later bar)."""
-    later = BY.rowsBetween(1, Window.unboundedFollowing)
+    later = by().rowsBetween(1, Window.unboundedFollowing)
     df = df.withColumn("_h", lag("high", 2)).withColumn("_l", lag("low", 2)).withColumn("_minlow", F.min("low").over(later)).withColumn("_maxhigh", F.max("high").over(later))
     up = df.where("_h < low").select("symbol", "t", F.lit(1).alias("way"), F.col("_h").alias("gap_low"), F.col("low").alias("gap_high"), F.coalesce(F.col("_minlow") <= F.col("_h"), F.lit(False)).alias("filled"))
     down = df.where("_l > high").select("symbol", "t", F.lit(-1).alias("way"), F.col("high").alias("gap_low"), F.col("_l").alias("gap_high"), F.coalesce(F.col("_maxhigh") >= F.col("_l"), F.lit(False)).alias("filled"))
@@ -213,7 +216,7 @@ def slope_probability(df: DataFrame, n: int = 20, clip: float = 3.0) -> DataFram
     df = df.withColumn("_x", place().cast("double")).withColumn("_d", F.col("close") - lag("close"))
     slope = F.regr_slope("close", "_x").over(last(n))
     spread = F.stddev_pop("_d").over(last(n - 1))
-    short = F.row_number().over(BY)
+    short = F.row_number().over(by())
     spread = F.when(short <= n, F.stddev_pop("_d").over(last(n))).otherwise(spread)
     z = F.greatest(F.lit(-clip), F.least(F.lit(clip), slope / F.when(spread == 0, 1e-9).otherwise(spread)))
     return df.withColumn("p", F.when(short < 3, 0.5).otherwise((z + clip) / (2 * clip))).drop("_x", "_d")
@@ -232,7 +235,7 @@ def zscore(name: str, n: int, sample: bool = False, least: int = 10) -> Column:
 
 def drawdown(name: str) -> Column:
     """Fall from the highest value so far, as a share of it (0 or more)."""
-    peak = F.max(name).over(BY.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max(name).over(by().rowsBetween(Window.unboundedPreceding, 0))
     return F.when(peak > 0, (peak - F.col(name)) / peak).otherwise(0.0)
 
 

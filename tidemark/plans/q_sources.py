@@ -1 +1 @@
-"""."""
+"""Parsing and sinks."""

@@ -163,8 +163,8 @@ def _(v):
 
 @query("w14_trap", B + f", x AS (SELECT *, max(high) OVER {frame(10, '4 PRECEDING')} AS level FROM bars) SELECT a.symbol, a.t, coalesce(bool_or(b.high > a.level * 1.001 AND b.close < a.level), false) AS trap FROM x a JOIN bars b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 2 AND a.rn GROUP BY ALL")
 def _(v):
-    df = v.bars.withColumn("level", F.max("high").over(W.BY.rowsBetween(-10, -4)))
-    one = lambda k: F.coalesce((F.lag("high", k).over(W.BY) > F.col("level") * 1.001) & (F.lag("close", k).over(W.BY) < F.col("level")), F.lit(False))
+    df = v.bars.withColumn("level", F.max("high").over(W.by().rowsBetween(-10, -4)))
+    one = lambda k: F.coalesce((F.lag("high", k).over(W.by()) > F.col("level") * 1.001) & (F.lag("close", k).over(W.by()) < F.col("level")), F.lit(False))
     return df.select(*KEY, (F.coalesce((F.col("high") > F.col("level") * 1.001) & (F.col("close") < F.col("level")), F.lit(False)) | one(1) | one(2)).alias("trap"))
 
 
@@ -192,7 +192,7 @@ def _(v):
 @query("w20_transition_entropy", B + f", s AS (SELECT symbol, t, floor(close / 10)::BIGINT % 15 AS a, lead(floor(close / 10)::BIGINT % 15) OVER {BY} AS b FROM bars), c AS (SELECT symbol, a, b, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY symbol, a) AS ra, sum(n) OVER (PARTITION BY symbol) AS total FROM c) SELECT symbol, round(sum(-(ra / total) * (n / ra) * ln(n / ra)) / ln(15), 6) AS entropy FROM r GROUP BY symbol")
 def _(v):
     state = F.floor(F.col("close") / 10) % 15
-    df = v.bars.select("symbol", "t", state.alias("a"), F.lead(state).over(W.BY).alias("b")).where("b is not null").groupBy("symbol", "a", "b").agg(F.count("*").alias("n"))
+    df = v.bars.select("symbol", "t", state.alias("a"), F.lead(state).over(W.by()).alias("b")).where("b is not null").groupBy("symbol", "a", "b").agg(F.count("*").alias("n"))
     df = df.withColumn("ra", F.sum("n").over(Window.partitionBy("symbol", "a"))).withColumn("total", F.sum("n").over(Window.partitionBy("symbol")))
     return df.groupBy("symbol").agg(F.round(F.sum(-(F.col("ra") / F.col("total")) * (F.col("n") / F.col("ra")) * F.log(F.col("n") / F.col("ra"))) / float(np.log(15)), 6).alias("entropy"))
 
@@ -229,7 +229,7 @@ def _(v):
 @query("w24_drawdown", B + f", x AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS peak FROM bars) SELECT symbol, t, round((peak - close) / peak, 6) AS drawdown, round(max((peak - close) / peak) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING), 6) AS worst FROM x")
 def _(v):
     df = v.bars.withColumn("drawdown", W.drawdown("close"))
-    return df.select(*KEY, r6("drawdown"), F.round(F.max("drawdown").over(W.BY.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("worst"))
+    return df.select(*KEY, r6("drawdown"), F.round(F.max("drawdown").over(W.by().rowsBetween(Window.unboundedPreceding, 0)), 6).alias("worst"))
 
 
 @query("w26_ewma_volatility", R + f", r AS (SELECT symbol, rn - 1 AS rn, ln(close / lag(close) OVER {BY}) AS r FROM bars QUALIFY r IS NOT NULL), e AS (SELECT symbol, rn, r * r AS var FROM r WHERE rn = 1 UNION ALL SELECT r.symbol, r.rn, 0.94 * e.var + 0.06 * r.r * r.r FROM e JOIN r ON r.symbol = e.symbol AND r.rn = e.rn + 1) SELECT symbol, round(sqrt(arg_max(var, rn)), 6) AS vol FROM e GROUP BY symbol")
