@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import BLANKS, ascii_lower, cut, text_of
 
 MIN_CHARS = 10
+#: A key is hot from this share (one in so many) of all lines on, and from so many lines on.
+HOT_KEYS = 1000
+HOT_LINES = 500
 
 
 def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -37,15 +40,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, carry: list[str] |
         .select("doc_id", "mark", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("digest")),
         "lines",
     )
-    shared = (
+    shared = cut(
         lines.groupBy("digest")
-        .agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"), F.max(F.col("doc_id").isNull()).alias("nameless"))
+        .agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"), F.max(F.col("doc_id").isNull()).alias("nameless"), F.count("*").alias("n"))
         .where((F.col("keeper") < F.col("other")) | (F.col("nameless") & F.col("keeper").isNotNull()))
-        .select("digest", "keeper")
+        .select("digest", "keeper", "n"),
+        "shared",
     )
+    # A key of a thousandth of all lines or more is hot. There are a thousand such at most, so they are broadcast and
+    # their lines stay where they are; the others' lines meet their keys in a shuffle that no key can tilt.
+    hot = F.col("n") >= max(HOT_LINES, lines.count() / HOT_KEYS)
+    often = F.broadcast(shared.where(hot).select("digest", "keeper"))
+    found = lines.join(often, "digest").unionByName(lines.join(often, "digest", "left_anti").join(shared.where(~hot).select("digest", "keeper"), "digest"))
     drops = (
-        lines.join(shared, "digest")
-        .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        found.where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m"))
         .agg(F.collect_set("pos").alias("gone"))
     )
