@@ -227,10 +227,10 @@ def _(v):
     return v.bars.groupBy("symbol").applyInPandas(run, "symbol string, agent string, vote double, confidence double")
 
 
-@query("q15_cognition", VO + ", w AS (SELECT *, CASE agent WHEN 'click' THEN 0.5 ELSE 1.0 END AS w FROM votes), c AS (SELECT symbol, t, sum(vote * confidence * w) / sum(confidence * w) AS con, sum(w) AS tw FROM w GROUP BY 1, 2), j AS (SELECT w.*, con, w / tw AS p FROM w JOIN c USING (symbol, t)) SELECT symbol, t, round(sum(-p * ln(p)) / CASE WHEN count(*) > 1 THEN ln(count(*)) ELSE 1 END, 6) AS weight_entropy, round(coalesce(avg(CASE WHEN confidence > 0.05 AND vote <> 0 THEN (sign(vote) = sign(con))::INT END), 0), 6) AS agreement, round(stddev_pop(vote), 6) AS dispersion, count(*) FILTER (WHERE confidence >= 0.4 AND abs(vote) >= 0.5 AND (vote > 0) <> (con > 0)) AS against FROM j GROUP BY symbol, t")
+@query("q15_cognition", VO + ", w AS (SELECT *, CASE agent WHEN 'click' THEN 0.5 ELSE 1.0 END AS w FROM votes), c AS (SELECT symbol, t, sum(vote * confidence * w) / sum(confidence * w) AS con, sum(w) AS tw FROM w GROUP BY 1, 2), j AS (SELECT w.*, con, w / tw AS p FROM w JOIN c USING (symbol, t)) SELECT symbol, t, round(sum(-p * ln(p)) / CASE WHEN count(*) > 1 THEN ln(count(*)) ELSE 1 END, 6) AS weight_entropy, round(coalesce(avg(CASE WHEN confidence > 0.05 AND vote <> 0 THEN (sign(vote) = sign(con))::INT END), 0), 6) AS agreement, round(stddev_pop(vote), 9) AS dispersion, count(*) FILTER (WHERE confidence >= 0.4 AND abs(vote) >= 0.5 AND (vote > 0) <> (con > 0)) AS against FROM j GROUP BY symbol, t")
 def _(v):
     c = EN.cognition(v.votes.withColumn("weight", F.when(F.col("agent") == "click", 0.5).otherwise(1.0)))
-    return c.select("symbol", "t", F.round("weight_entropy", 6).alias("weight_entropy"), F.round("agreement", 6).alias("agreement"), F.round("dispersion", 6).alias("dispersion"), "against")
+    return c.select("symbol", "t", F.round("weight_entropy", 6).alias("weight_entropy"), F.round("agreement", 6).alias("agreement"), F.round("dispersion", 9).alias("dispersion"), "against")
 
 
 @query("q16_coherence", VO + ", k AS (SELECT *, count(*) OVER (PARTITION BY symbol, t) AS k, sum(vote) OVER (PARTITION BY symbol, t) - vote AS others FROM votes WHERE vote <> 0) SELECT agent, round(avg(((vote > 0) = (others > 0))::INT), 6) AS coherence, count(*) AS n FROM k WHERE k >= 2 AND abs(others) > 1e-9 GROUP BY 1")
