@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 _own_folder: list[str] = []
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,8 +35,51 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of cut() that nothing will read any more."""
+    for df in tables:
+        path = df._tidemark_path
+        _written.remove(path)
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that cut() wrote in this process; results that read them must be done with."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now.
+
+    Spark drops them once the driver's JVM has collected the plans that made them, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Remembered(dict):
+    """fn of a key, kept for a bounded number of keys; reads by map() stay in C."""
+
+    def __init__(self, fn, most: int):
+        super().__init__()
+        self.fn, self.most = fn, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.fn(key)
+        return value
 
 
 def ascii_lower(text: Column) -> Column:

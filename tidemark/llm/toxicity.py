@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Remembered, held_out
 from .sampling import class_weights, labelled_sample
 
 THRESHOLD = 0.3
@@ -198,24 +198,19 @@ class Tagger:
     def emission(self, x: bytes) -> float:
         return float(self.w[self.features(x)].sum() + self.s[self.suffix(x)] + self.bias)
 
-    def _emit(self, words: list[bytes], cache: dict) -> np.ndarray:
-        out = np.fromiter((cache.get(x, np.nan) for x in words), float, len(words))
-        for i in np.flatnonzero(np.isnan(out)).tolist():
-            if len(cache) > HELD:
-                cache.clear()
-            out[i] = cache[words[i]] = self.emission(core(words[i]))
-        return out
+    def cache(self) -> Remembered:
+        return Remembered(lambda x: self.emission(core(x)), HELD)
 
-    def tag(self, text: bytes, cache: dict | None = None) -> tuple[np.ndarray, list[bytes]]:
+    def tag(self, text: bytes, cache: Remembered | None = None) -> tuple[np.ndarray, list[bytes]]:
         return self.tag_all([text], cache)[0]
 
-    def tag_all(self, texts: list[bytes], cache: dict | None = None) -> list[tuple[np.ndarray, list[bytes]]]:
-        cache = {} if cache is None else cache
+    def tag_all(self, texts: list[bytes], cache: Remembered | None = None) -> list[tuple[np.ndarray, list[bytes]]]:
+        cache = self.cache() if cache is None else cache
         split = [t.split() for t in texts]
         some = [s for s in split if s]
         if not some:
             return [(np.zeros(0), s) for s in split]
-        emit = np.concatenate([self._emit(s, cache) for s in some])
+        emit = np.concatenate([np.array(list(map(cache.__getitem__, s))) for s in some])
         ends = np.cumsum([len(s) for s in some])
         first = np.zeros(len(emit), bool)
         first[np.concatenate([[0], ends[:-1]])] = True
@@ -236,7 +231,7 @@ class Tagger:
                 break
         self.c = c
 
-    def scores(self, texts: list[bytes], cache: dict | None = None) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    def scores(self, texts: list[bytes], cache: Remembered | None = None) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
         if self.words is None:
             return np.full(len(texts), self.prior), [[] for _ in texts]
         tagged = self.tag_all(texts, cache)
@@ -273,7 +268,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(Tagger(*labelled_sample(docs, labels, "toxic", max_chars=MAX_CHARS)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
+        cache = model.value.cache()
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             score, offsets, at = [], [], 0
