@@ -167,6 +167,27 @@ def test_range_join_by_brute_force(spark):
     assert got == sorted((i, at) for i, s, t in left for q, at in right if s == q and t <= at <= t + 37)
 
 
+@pytest.mark.parametrize(("after", "width"), [(3, 7), (50, 7), (50, 100), (0, 5)])
+def test_sliced_as_of_equals_the_frame(spark, after, width):
+    r = np.random.default_rng(after + width)
+    rows = [("XY"[int(i > 150)], int(r.integers(0, 400)), float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, t long, price double")
+    plain, sliced = (sorted(map(str, J.as_of_forward(df, after, "price", width=w).select("symbol", "t", "price", "later_t", "later_price").collect())) for w in (None, width))
+    want = []
+    for s, t, p in rows:
+        best = min(((u, q) for z, u, q in rows if z == s and u >= t + after), default=(None, None))
+        want.append(f"Row(symbol='{s}', t={t}, price={p}, later_t={best[0]}, later_price={best[1]})")
+    assert plain == sorted(want) and sliced == sorted(want)
+
+
+def test_running_sum_in_slices(spark):
+    r = np.random.default_rng(1)
+    rows = [("X", int(t), k, float(r.integers(-5, 6))) for k, t in enumerate(sorted(r.integers(0, 300, 150)))]
+    df = spark.createDataFrame(rows, "symbol string, t long, id long, x double")
+    got = [x["s"] for x in J.running_sum(df, F.col("x"), "s", ("symbol",), ("t", "id"), 20).orderBy("t", "id").collect()]
+    assert got == np.cumsum([x[3] for x in rows]).tolist()
+
+
 # ---- profiles and microstructure
 
 def test_close_profile_grows_right_on_ties(spark):

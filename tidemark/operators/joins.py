@@ -25,10 +25,44 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], low: Column,
     return a.join(b, on, how).drop("_slice", "r_slice", "_low", "_high", *[f"r_{k}" for k in keys])
 
 
-def as_of_forward(df: DataFrame, after: int, value: str, keys: tuple[str, ...] = ("symbol",), at: str = "t") -> DataFrame:
-    """Adds later_t and later_<value>: of the first row of the key at least `after` seconds on. No join: a range frame."""
-    ahead = Window.partitionBy(*keys).orderBy(at).rangeBetween(after, Window.unboundedFollowing)
-    return df.withColumn("later_t", F.first(at).over(ahead)).withColumn(f"later_{value}", F.first(value).over(ahead))
+def as_of_forward(df: DataFrame, after: int, value: str, keys: tuple[str, ...] = ("symbol",), at: str = "t", width: int | None = None) -> DataFrame:
+    """Adds later_t and later_<value>: of the first row of the key at least `after` seconds on; of equal times, the least value.
+
+    Without width, a range frame over the whole key: right where a key's rows fit a task. With width, rows and their
+    targets are dealt to slices of that many seconds. A target takes the next row of its slice or, past its last, the
+    first of the next slice that has rows; so a key with a large share of all rows is spread over many tasks.
+    """
+    if width is None:
+        ahead = Window.partitionBy(*keys).orderBy(at).rangeBetween(after, Window.unboundedFollowing)
+        first = F.min(F.struct(at, value)).over(ahead)
+        return df.withColumn("_f", first).withColumn("later_t", F.col(f"_f.{at}")).withColumn(f"later_{value}", F.col(f"_f.{value}")).drop("_f")
+    slice_ = lambda c: F.floor(c / width)
+    points = df.groupBy(*keys, at).agg(F.min(value).alias("_v")).select(*keys, F.col(at).alias("_at"), F.struct(F.col(at).alias("t"), F.col("_v").alias("v")).alias("_p"), slice_(F.col(at)).alias("_s"))
+    heads = points.groupBy(*keys, "_s").agg(F.min("_p").alias("_head"))
+    nxt = Window.partitionBy(*keys).orderBy("_s")  # a row for each slice
+    heads = heads.withColumn("_next", F.lead("_head").over(nxt)).withColumn("_to", F.lead("_s").over(nxt))
+    # targets past a slice's last row, or in a slice without rows, need the first row of a later slice: every slice
+    # from one head to the next knows it
+    after_head = heads.select(*keys, F.explode(F.when(F.col("_to").isNull(), F.sequence("_s", F.col("_s") + F.lit(-(-after // width) + 1))).otherwise(F.sequence("_s", F.col("_to") - 1))).alias("_s"), "_next")
+    ask = df.withColumn("_at", F.col(at) + after).withColumn("_s", slice_(F.col(at) + after)).withColumn("_p", F.lit(None).cast(points.schema["_p"].dataType)).withColumn("_ask", F.lit(0))
+    both = ask.unionByName(points.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
+    ahead = Window.partitionBy(*keys, "_s").orderBy("_at", "_ask").rowsBetween(0, Window.unboundedFollowing)
+    met = both.withColumn("_in", F.first("_p", ignorenulls=True).over(ahead)).where("_ask = 0").drop("_p", "_at", "_ask")
+    met = met.join(after_head, [*keys, "_s"], "left").withColumn("_hit", F.coalesce("_in", "_next"))
+    return met.withColumn("later_t", F.col("_hit.t")).withColumn(f"later_{value}", F.col("_hit.v")).select(*df.columns, "later_t", f"later_{value}")
+
+
+def running_sum(df: DataFrame, value: Column, name: str, keys: tuple[str, ...], order: tuple[str, ...], width: int) -> DataFrame:
+    """Adds the running sum of value along order (the first a time) within keys, of a key as large as may be.
+
+    Sums of slices of `width` seconds come first; a slice starts at the sum of those before it, and its rows add up
+    in a task of their own. The window over whole keys sees a row for each slice only.
+    """
+    df = df.withColumn("_s", F.floor(F.col(order[0]) / width)).withColumn("_x", value)
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*keys, "_s").agg(F.sum("_x").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    within = Window.partitionBy(*keys, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(starts, [*keys, "_s"]).withColumn(name, F.col("_start") + F.sum("_x").over(within)).drop("_s", "_x", "_start")
 
 
 def as_of_backward(left: DataFrame, right: DataFrame, value: str, keys: tuple[str, ...] = ("symbol",), at: str = "t") -> DataFrame:
@@ -80,3 +114,23 @@ def latest_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 def without(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(seen.select(*keys).distinct(), keys, "left_anti")
+
+
+def similar_sets(df: DataFrame, asked: Column, least: float, top: int, key: str = "event_id", tokens: str = "tokens") -> DataFrame:
+    """query_<key>, <key>, similarity: for rows where asked holds, the top others by Jaccard, smaller keys first.
+
+    Rows with one set of tokens are one class that keeps its top + 1 least keys, as no more can be reported; classes
+    meet by the tokens they share. So the work goes by distinct sets, not by pairs of rows.
+    """
+    from ..functions.scalars import jaccard
+
+    few = df.select(key, F.sort_array(F.array_distinct(tokens)).alias("set"))
+    k = F.row_number().over(Window.partitionBy("set").orderBy(key))
+    ids = few.withColumn("k", k).where(F.col("k") <= top + 1).groupBy("set").agg(F.collect_list(key).alias("ids"))
+    queries = df.where(asked).select(F.col(key).alias(f"query_{key}"), F.sort_array(F.array_distinct(tokens)).alias("qset"))
+    a = queries.select("qset").distinct().select("qset", F.explode("qset").alias("token"))
+    pairs = a.join(ids.select("set", F.explode("set").alias("token")), "token").select("qset", "set").distinct()
+    near = pairs.withColumn("similarity", jaccard(F.col("qset"), F.col("set"))).where(F.col("similarity") >= least).join(ids, "set")
+    best = Window.partitionBy(f"query_{key}").orderBy(F.desc("similarity"), key)
+    out = queries.join(near, "qset").select(f"query_{key}", "similarity", F.explode("ids").alias(key)).where(F.col(key) != F.col(f"query_{key}"))
+    return out.withColumn("k", F.row_number().over(best)).where(F.col("k") <= top).drop("k")

@@ -9,6 +9,7 @@ from ..functions.scalars import reasons, safe_float
 from ..operators import folds as P
 from ..operators import profiles as V
 from ..operators import windows as W
+from ..operators.joins import running_sum
 from .q_joins import outcomes, touch_sql
 from .q_windows import B
 from .registry import query
@@ -209,8 +210,8 @@ def _(v):
 
 @query("a22_cumulative_delta", T + " SELECT symbol, event_id, round(sum(CASE side WHEN 'buy' THEN size ELSE -size END) OVER (PARTITION BY symbol ORDER BY t, event_id), 4) AS cvd FROM tape")
 def _(v):
-    w = Window.partitionBy("symbol").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return v.tape.select("symbol", "event_id", F.round(F.sum(F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))).over(w), 4).alias("cvd"))
+    signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))
+    return running_sum(v.tape, signed, "cvd", ("symbol",), ("t", "event_id"), 86_400).select("symbol", "event_id", F.round("cvd", 4).alias("cvd"))
 
 
 @query("a22_book_imbalance", "WITH " + BOOK + ", k AS (SELECT *, row_number() OVER (PARTITION BY snap, side ORDER BY CASE side WHEN 'bid' THEN -price ELSE price END) AS k FROM book), g AS (SELECT snap, sum(CASE side WHEN 'bid' THEN size ELSE 0 END) AS b, sum(CASE side WHEN 'ask' THEN size ELSE 0 END) AS a FROM k WHERE k <= 5 GROUP BY 1) SELECT snap, round((b - a) / (b + a), 6) AS imbalance FROM g")

@@ -24,10 +24,11 @@ def _(v):
     return one("click", "price").join(one("view", "hashrate"), "day").join(one("refund", "fear"), "day", "left")
 
 
-@query("j2_forward_as_of", "WITH " + EV + " SELECT a.event_id, min(b.sec) AS later_t, arg_min(b.value, b.sec) AS later_value FROM ev a LEFT JOIN ev b ON a.event_type = b.event_type AND b.sec BETWEEN a.sec + 3600 AND a.sec + 40 * 86400 WHERE a.event_id % 5 = 0 GROUP BY 1")
+@query("j2_forward_as_of", "WITH " + EV + " SELECT a.event_id, min(b.sec) AS later_t, arg_min(b.value, (b.sec, b.event_id)) AS later_value FROM ev a LEFT JOIN ev b ON a.event_type = b.event_type AND b.sec BETWEEN a.sec + 3600 AND a.sec + 40 * 86400 WHERE a.event_id % 5 = 0 GROUP BY 1")
 def _(v):
     ev = v.events.withColumnsRenamed({"event_type": "symbol", "sec": "t"})
-    return J.as_of_forward(ev, 3600, "value").where("event_id % 5 = 0").select("event_id", "later_t", "later_value")
+    ev = ev.withColumn("row", F.struct("event_id", "value"))  # of equal times, the least event_id
+    return J.as_of_forward(ev, 3600, "row", width=86_400).where("event_id % 5 = 0").select("event_id", "later_t", F.col("later_row.value").alias("later_value"))
 
 
 @query("j2_live_ic_pairs", "WITH " + VOTES + ", p AS (SELECT a.symbol, a.t, a.agent, a.vote, a.price, min(b.t) AS lt FROM votes a LEFT JOIN votes b ON a.symbol = b.symbol AND b.t >= a.t + 86400 GROUP BY ALL) SELECT p.symbol, p.t, p.agent, p.vote, round(ln(min(b.price) / p.price), 6) AS fwd FROM p JOIN votes b ON b.symbol = p.symbol AND b.t = p.lt GROUP BY p.symbol, p.t, p.agent, p.vote, p.price")
@@ -246,16 +247,13 @@ def _(v):
     return v.bars.withColumn("step", F.greatest(F.lit(3), F.floor((n - 20) / 40))).where("rn > 20 and (rn - 21) % step = 0").select("symbol", "t")
 
 
-@query("t13_recall", "WITH " + EV + ", s AS (SELECT event_id, ['symbol=' || event_type, 'side=' || (user_id % 2), 'hour=' || (sec // 3600) % 24, 'size=' || (value > 50)] AS tokens, value FROM ev), q AS (SELECT event_id AS query_id, tokens AS qt FROM s WHERE event_id % 100 = 0), j AS (SELECT query_id, event_id, len(list_intersect(qt, tokens)) * 1.0::DOUBLE / len(list_distinct(list_concat(qt, tokens))) AS sim FROM q JOIN s ON s.event_id <> query_id AND s.tokens[1] = qt[1] AND s.tokens[3] = qt[3]) SELECT query_id, event_id, round(sim, 6) AS similarity FROM j WHERE sim >= 0.34 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, event_id) <= 5")
+@query("t13_recall", "WITH " + EV + ", s AS (SELECT event_id, ['symbol=' || event_type, 'side=' || (user_id % 2), 'hour=' || (sec // 3600) % 24, 'size=' || (value > 50)] AS tokens FROM ev), j AS (SELECT q.event_id AS query_event_id, s.event_id, round(len(list_intersect(q.tokens, s.tokens))::DOUBLE / len(list_distinct(list_concat(q.tokens, s.tokens))), 6) AS similarity FROM s q JOIN s ON s.event_id <> q.event_id WHERE q.event_id % 100 = 0) SELECT * FROM j WHERE similarity >= 0.34 QUALIFY row_number() OVER (PARTITION BY query_event_id ORDER BY similarity DESC, event_id) <= 5")
 def _(v):
-    """Nearest remembered situations of every hundredth one, among those that share symbol and hour."""
-    from ..functions.scalars import jaccard
-
-    s = v.events.select("event_id", "event_type", ((F.floor(F.col("sec") / 3600)) % 24).alias("hour"), F.array(F.concat(F.lit("symbol="), "event_type"), F.concat(F.lit("side="), (F.col("user_id") % 2).cast("string")), F.concat(F.lit("hour="), ((F.floor(F.col("sec") / 3600)) % 24).cast("string")), F.concat(F.lit("size="), (F.col("value") > 50).cast("string"))).alias("tokens"))
-    q = s.where("event_id % 100 = 0").select(F.col("event_id").alias("query_id"), "event_type", "hour", F.col("tokens").alias("qt"))
-    met = q.join(s, ["event_type", "hour"]).where("event_id <> query_id").withColumn("similarity", F.round(jaccard(F.col("qt"), F.col("tokens")), 6)).where("similarity >= 0.34")
-    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "event_id"))
-    return met.withColumn("k", k).where("k <= 5").select("query_id", "event_id", "similarity")
+    """The nearest remembered situations of every hundredth one."""
+    word = lambda k, c: F.concat(F.lit(k), c.cast("string"))
+    tokens = F.array(word("symbol=", F.col("event_type")), word("side=", F.col("user_id") % 2), word("hour=", F.floor(F.col("sec") / 3600) % 24), word("size=", F.col("value") > 50))
+    near = J.similar_sets(v.events.select("event_id", tokens.alias("tokens")), F.col("event_id") % 100 == 0, 0.34, 5)
+    return near.withColumn("similarity", F.round("similarity", 6))
 
 
 @query("t14_budget_allocation")
