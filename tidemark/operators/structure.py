@@ -89,7 +89,7 @@ def character_changes(bars: DataFrame) -> DataFrame:
 def session_levels(bars: DataFrame) -> DataFrame:
     """High, low, midnight open, evening high and bars in the morning zones of each New York day."""
     df = bars
-    df = df.withColumn("ny", F.expr("convert_timezone('UTC', 'America/New_York', TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, t))"))
+    df = df.withColumn("ny", new_york())
     h = F.hour("ny")
     return df.groupBy("symbol", F.to_date("ny").alias("day")).agg(
         F.round(F.max("high"), 6).alias("day_high"), F.round(F.min("low"), 6).alias("day_low"), F.round(F.min_by("open", "t"), 6).alias("midnight_open"),
@@ -124,3 +124,16 @@ def checklist(bars: DataFrame) -> DataFrame:
         return pd.DataFrame([(g.symbol.iloc[0], score, bias, entry, stop, rr, ok)], columns=["symbol", "score", "bias", "entry", "stop", "risk_reward", "coherent"])
 
     return bars.groupBy("symbol").applyInPandas(run, "symbol string, score int, bias string, entry double, stop double, risk_reward double, coherent boolean")
+
+
+def new_york(seconds: str = "t"):
+    """New York's clock, with its summer time, from epoch seconds and whatever the session's zone."""
+    return F.expr(f"convert_timezone('UTC', 'America/New_York', TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds}))")
+
+
+def kill_zone(df: DataFrame, seconds: str = "t") -> DataFrame:
+    """Adds ny_hour, zone (asian, london, newyork or null), silver_bullet, tradeable."""
+    h = F.col("ny_hour")
+    df = df.withColumn("ny_hour", F.hour(new_york(seconds)))
+    zone = F.when(h >= 20, "asian").when((h >= 2) & (h < 5), "london").when((h >= 7) & (h < 10), "newyork")
+    return df.withColumn("zone", zone).withColumn("silver_bullet", h.isin(3, 10, 14)).withColumn("tradeable", F.coalesce(zone.isin("london", "newyork"), F.lit(False)))
