@@ -200,7 +200,7 @@ def test_language_model_adds_up(spark):
     model, _ = language_model.train(spark.createDataFrame([(bytearray(w), *c) for w, c in [*zip(words, n), (b"new", (0, 0, 0, 0))]], "word binary, n0 long, n1 long, n2 long, n3 long").repartition(2))
     rows = {bytes(r["word"]): r for r in model.collect()}
     assert set(rows) == {*words, b"new"} and rows[b"new"]["n"] == 0
-    total = sum(10 ** np.frombuffer(bytes(r["lp"]), "<f4").astype(float) for r in rows.values())
+    total = sum(10 ** np.array([r["lp01"], r["lp23"]], "<i8").view("<f4").astype(float) for r in rows.values())
     assert np.allclose(total, 1, atol=1e-5)
     assert rows[b"new"]["spell"] < 0 and rows[b"a"]["spell"] == 0
 
