@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import Remembered, held_out
 from .sampling import class_weights, labelled_sample
 
 DIM, NONZERO, SPAN = 48, 6, 2
@@ -58,7 +59,7 @@ class Model:
     def __init__(self, texts: list[bytes], labels: list[int], sizes: dict[int, int]):
         y = np.array(labels, float)
         self.prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        self.net = None
+        self.net, self.ids, self.shapes = None, {}, {b"\x02same": 0, b"\x02other": 1}
         if len(set(labels)) < 2:
             return
         split = [t.split() for t in texts]
@@ -68,31 +69,22 @@ class Model:
         names = words + sorted({shape(w) for w in counts if w not in self.ids}) + [b"\x02same", b"\x02other"]
         self.shapes = {n: i for i, n in enumerate(names) if i >= len(words)}
         base = np.stack([index_vector(n) for n in names])
-        self.vectors = self._learn([self.encode(ws) for ws in split], base)
-        x = np.stack([self.pool(ws) for ws in split])
+        kept = self.cache()
+        self.vectors = self._learn([self.encode(ws, kept) for ws in split], base)
+        x = np.stack([self.pool(ws, kept) for ws in split])
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         self._fit((x - self.mean) / self.scale, y, class_weights(labels, sizes))
 
-    def encode(self, words: list[bytes], cache: dict | None = None) -> np.ndarray:
-        cache = {} if cache is None else cache
-        ids, out = self.ids.get, np.empty(len(words), np.int64)
-        get, last = cache.get, None
-        same = self.shapes[b"\x02same"]
-        other = self.shapes[b"\x02other"]
-        for k, w in enumerate(words):
-            if w == last:
-                out[k] = same
-                continue
-            i = get(w)
-            if i is None:
-                i = ids(w)
-                if i is None:
-                    i = self.shapes.get(shape(w), other)
-                if len(cache) > HELD:
-                    cache.clear()
-                cache[w] = i
-            out[k] = i
-            last = w
+    def cache(self) -> Remembered:
+        other, shapes, ids = self.shapes[b"\x02other"], self.shapes, self.ids
+        return Remembered(lambda w: ids[w] if w in ids else shapes.get(shape(w), other), HELD)
+
+    def encode(self, words: list[bytes], cache: Remembered | None = None) -> np.ndarray:
+        """Places of the words' vectors; a word that repeats the one before has a place of its own."""
+        cache = self.cache() if cache is None else cache
+        out = np.array(list(map(cache.__getitem__, words)), np.int64)
+        if len(out) > 1:
+            out[1:][np.fromiter(map(operator.eq, words[1:], words), bool, len(words) - 1)] = self.shapes[b"\x02same"]
         return out
 
     def _learn(self, texts: list[np.ndarray], base: np.ndarray) -> np.ndarray:
@@ -110,7 +102,7 @@ class Model:
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         return (base / np.sqrt(NONZERO) + total / np.where(norm > 0, norm, 1)).astype(np.float32)
 
-    def pool(self, words: list[bytes], cache: dict | None = None) -> np.ndarray:
+    def pool(self, words: list[bytes], cache: Remembered | None = None) -> np.ndarray:
         ids = self.encode(words, cache)
         extra = sum((index_vector(p) for p in profile(words)), np.zeros(DIM, np.float32))
         if not len(ids):
@@ -146,11 +138,12 @@ class Model:
         x = x if scaled else (x - self.mean) / self.scale
         return np.tanh(x @ self.net[0] + self.net[1]) @ self.net[2] + self.net[3]
 
-    def scores(self, texts: list[bytes], cache: dict | None = None) -> np.ndarray:
+    def scores(self, texts: list[bytes], cache: Remembered | None = None) -> np.ndarray:
         if self.net is None:
             return np.full(len(texts), self.prior)
         if not texts:
             return np.zeros(0)
+        cache = self.cache() if cache is None else cache
         x = np.stack([self.pool(t.split(), cache) for t in texts])
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
@@ -168,7 +161,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(Model(*labelled_sample(docs, labels, "quality")))  # VOCABULARY bounds it
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
+        cache = model.value.cache()
         for batch in batches:
             s = model.value.scores([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()], cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["doc_id", "held_out", "score"])
