@@ -28,27 +28,25 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], low: Column,
 def as_of_forward(df: DataFrame, after: int, value: str, keys: tuple[str, ...] = ("symbol",), at: str = "t", width: int | None = None) -> DataFrame:
     """Adds later_t and later_<value>: of the first row of the key at least `after` seconds on; of equal times, the least value.
 
-    Without width, a range frame over the whole key: right where a key's rows fit a task. With width, rows and their
+    Without width, one sort of a key's rows: right where they fit a task. With width, rows and their
     targets are dealt to slices of that many seconds. A target takes the next row of its slice or, past its last, the
     first of the next slice that has rows; so a key with a large share of all rows is spread over many tasks.
     """
-    if width is None:
-        ahead = Window.partitionBy(*keys).orderBy(at).rangeBetween(after, Window.unboundedFollowing)
-        first = F.min(F.struct(at, value)).over(ahead)
-        return df.withColumn("_f", first).withColumn("later_t", F.col(f"_f.{at}")).withColumn(f"later_{value}", F.col(f"_f.{value}")).drop("_f")
-    slice_ = lambda c: F.floor(c / width)
+    slice_ = (lambda c: F.lit(0)) if width is None else (lambda c: F.floor(c / width))
     points = df.groupBy(*keys, at).agg(F.min(value).alias("_v")).select(*keys, F.col(at).alias("_at"), F.struct(F.col(at).alias("t"), F.col("_v").alias("v")).alias("_p"), slice_(F.col(at)).alias("_s"))
-    heads = points.groupBy(*keys, "_s").agg(F.min("_p").alias("_head"))
-    nxt = Window.partitionBy(*keys).orderBy("_s")  # a row for each slice
-    heads = heads.withColumn("_next", F.lead("_head").over(nxt)).withColumn("_to", F.lead("_s").over(nxt))
-    # targets past a slice's last row, or in a slice without rows, need the first row of a later slice: every slice
-    # from one head to the next knows it
-    after_head = heads.select(*keys, F.explode(F.when(F.col("_to").isNull(), F.sequence("_s", F.col("_s") + F.lit(-(-after // width) + 1))).otherwise(F.sequence("_s", F.col("_to") - 1))).alias("_s"), "_next")
     ask = df.withColumn("_at", F.col(at) + after).withColumn("_s", slice_(F.col(at) + after)).withColumn("_p", F.lit(None).cast(points.schema["_p"].dataType)).withColumn("_ask", F.lit(0))
     both = ask.unionByName(points.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
-    ahead = Window.partitionBy(*keys, "_s").orderBy("_at", "_ask").rowsBetween(0, Window.unboundedFollowing)
-    met = both.withColumn("_in", F.first("_p", ignorenulls=True).over(ahead)).where("_ask = 0").drop("_p", "_at", "_ask")
-    met = met.join(after_head, [*keys, "_s"], "left").withColumn("_hit", F.coalesce("_in", "_next"))
+    # From the latest on, so that the frame grows by a row at a time; the other way round each row would read the rest.
+    behind = Window.partitionBy(*keys, "_s").orderBy(F.desc("_at"), F.desc("_ask")).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_hit", F.last("_p", ignorenulls=True).over(behind)).where("_ask = 0").drop("_p", "_at", "_ask")
+    if width is not None:
+        heads = points.groupBy(*keys, "_s").agg(F.min("_p").alias("_head"))
+        nxt = Window.partitionBy(*keys).orderBy("_s")  # a row for each slice
+        heads = heads.withColumn("_next", F.lead("_head").over(nxt)).withColumn("_to", F.lead("_s").over(nxt))
+        # targets past a slice's last row, or in a slice without rows, need the first row of a later slice: every
+        # slice from one head to the next knows it
+        far = F.when(F.col("_to").isNull(), F.sequence("_s", F.col("_s") + F.lit(-(-after // width) + 1))).otherwise(F.sequence("_s", F.col("_to") - 1))
+        met = met.join(heads.select(*keys, F.explode(far).alias("_s"), "_next"), [*keys, "_s"], "left").withColumn("_hit", F.coalesce("_hit", "_next"))
     return met.withColumn("later_t", F.col("_hit.t")).withColumn(f"later_{value}", F.col("_hit.v")).select(*df.columns, "later_t", f"later_{value}")
 
 

@@ -198,7 +198,7 @@ def trapped(level: Column, way: int, n: int = 3, tolerance: float = 0.001) -> Co
 
 def gaps(df: DataFrame) -> DataFrame:
     """Three-bar gaps: symbol, t, way, gap_low, gap_high, filled (by any later bar)."""
-    later = by().rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("symbol").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)  # latest first: the frame grows
     df = df.withColumn("_h", lag("high", 2)).withColumn("_l", lag("low", 2)).withColumn("_minlow", F.min("low").over(later)).withColumn("_maxhigh", F.max("high").over(later))
     up = df.where("_h < low").select("symbol", "t", F.lit(1).alias("way"), F.col("_h").alias("gap_low"), F.col("low").alias("gap_high"), F.coalesce(F.col("_minlow") <= F.col("_h"), F.lit(False)).alias("filled"))
     down = df.where("_l > high").select("symbol", "t", F.lit(-1).alias("way"), F.col("high").alias("gap_low"), F.col("_l").alias("gap_high"), F.coalesce(F.col("_maxhigh") >= F.col("_l"), F.lit(False)).alias("filled"))

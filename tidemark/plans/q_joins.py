@@ -10,7 +10,7 @@ from ..operators import folds as P
 from ..operators import joins as J
 from ..operators import windows as W
 from .registry import query
-from .views import BARS, EV, FILLS, JOURNAL, SIGNALS, TAPE, VENUES, VOTES
+from .views import BARS, EV, FILLS, JOURNAL, SIGNALS, TAPE, VENUES, VOTES, WALK
 
 B = "WITH " + BARS
 S = "WITH " + SIGNALS
@@ -152,9 +152,9 @@ def _(v):
     return a.join(b, F.col("a.symbol") < F.col("b.symbol")).select(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b"), F.when(tops, -1).when(lows, 1).otherwise(0).alias("divergence"))
 
 
-@query("j14_balanced_ranges", B + ", g AS (SELECT c.symbol, c.rn, c.t, 1 AS way, a.high AS lo, c.low AS hi FROM bars a JOIN bars c ON a.symbol = c.symbol AND c.rn = a.rn + 2 WHERE a.high < c.low UNION ALL SELECT c.symbol, c.rn, c.t, -1, c.high, a.low FROM bars a JOIN bars c ON a.symbol = c.symbol AND c.rn = a.rn + 2 WHERE a.low > c.high) SELECT u.symbol, u.t AS up_t, d.t AS down_t, round(greatest(u.lo, d.lo), 6) AS lo, round(least(u.hi, d.hi), 6) AS hi FROM g u JOIN g d ON u.symbol = d.symbol AND u.way = 1 AND d.way = -1 AND abs(u.rn - d.rn) <= 6 WHERE greatest(u.lo, d.lo) < least(u.hi, d.hi)")
+@query("j14_balanced_ranges", "WITH " + WALK + ", g AS (SELECT c.symbol, c.rn, c.t, 1 AS way, a.high AS lo, c.low AS hi FROM walk a JOIN walk c ON a.symbol = c.symbol AND c.rn = a.rn + 2 WHERE a.high < c.low UNION ALL SELECT c.symbol, c.rn, c.t, -1, c.high, a.low FROM walk a JOIN walk c ON a.symbol = c.symbol AND c.rn = a.rn + 2 WHERE a.low > c.high) SELECT u.symbol, u.t AS up_t, d.t AS down_t, round(greatest(u.lo, d.lo), 6) AS lo, round(least(u.hi, d.hi), 6) AS hi FROM g u JOIN g d ON u.symbol = d.symbol AND u.way = 1 AND d.way = -1 AND abs(u.rn - d.rn) <= 6 WHERE greatest(u.lo, d.lo) < least(u.hi, d.hi)")
 def _(v):
-    g = W.gaps(v.bars).join(v.bars.select("symbol", "t", "rn"), ["symbol", "t"])
+    g = W.gaps(v.walk).join(v.walk.select("symbol", "t", "rn"), ["symbol", "t"])
     up = g.where("way = 1").select("symbol", F.col("t").alias("up_t"), F.col("rn").alias("up_rn"), F.col("gap_low").alias("ul"), F.col("gap_high").alias("uh"))
     down = g.where("way = -1").select(F.col("symbol").alias("r_symbol"), F.col("t").alias("down_t"), F.col("rn").alias("down_rn"), F.col("gap_low").alias("dl"), F.col("gap_high").alias("dh"))
     met = J.range_join(up, down, ["symbol"], F.col("up_rn") - 6, F.col("up_rn") + 6, "down_rn", 12)

@@ -19,7 +19,7 @@ from ..operators import structure as SM
 from ..operators import windows as W
 from .q_windows import B, BY, frame
 from .registry import query
-from .views import BARS, EV, SIGNALS, VOTES
+from .views import BARS, EV, SIGNALS, VOTES, WALK
 
 VO = "WITH " + VOTES
 PAIRS = VOTES + ", days AS (SELECT DISTINCT symbol, t, price FROM votes), nx AS (SELECT *, lead(price) OVER (PARTITION BY symbol ORDER BY t) AS later FROM days), pr AS (SELECT v.agent, v.symbol, v.t, v.vote, v.confidence, round(later / v.price - 1, 9) AS fwd FROM votes v JOIN nx USING (symbol, t) WHERE later IS NOT NULL)"
@@ -362,14 +362,14 @@ def _(v):
     return r.agg(F.round(F.corr("a", "b"), 6).alias("rank_correlation"), F.count("*").alias("n"))
 
 
-@query("w16_liquidity_sweeps", B + f", s AS (SELECT *, coalesce(low < lag(low, 1) OVER {BY} AND low < lag(low, 2) OVER {BY} AND low < lead(low, 1) OVER {BY} AND low < lead(low, 2) OVER {BY}, false) AS sl, coalesce(high > lag(high, 1) OVER {BY} AND high > lag(high, 2) OVER {BY} AND high > lead(high, 1) OVER {BY} AND high > lead(high, 2) OVER {BY}, false) AS sh FROM bars) SELECT a.symbol, a.t, 'sell' AS side, round(arg_min(b.low, b.rn), 6) AS level, min(b.rn) AS swing_rn FROM bars a JOIN s b ON a.symbol = b.symbol AND b.rn < a.rn AND b.sl AND a.low < b.low AND a.close > b.low GROUP BY a.symbol, a.t UNION ALL SELECT a.symbol, a.t, 'buy', round(arg_min(b.high, b.rn), 6), min(b.rn) FROM bars a JOIN s b ON a.symbol = b.symbol AND b.rn < a.rn AND b.sh AND a.high > b.high AND a.close < b.high GROUP BY a.symbol, a.t")
+@query("w16_liquidity_sweeps", "WITH " + WALK + f", s AS (SELECT *, coalesce(low < lag(low, 1) OVER {BY} AND low < lag(low, 2) OVER {BY} AND low < lead(low, 1) OVER {BY} AND low < lead(low, 2) OVER {BY}, false) AS sl, coalesce(high > lag(high, 1) OVER {BY} AND high > lag(high, 2) OVER {BY} AND high > lead(high, 1) OVER {BY} AND high > lead(high, 2) OVER {BY}, false) AS sh FROM walk) SELECT a.symbol, a.t, 'sell' AS side, round(arg_min(b.low, b.rn), 6) AS level, min(b.rn) AS swing_rn FROM walk a JOIN s b ON a.symbol = b.symbol AND b.rn < a.rn AND b.sl AND a.low < b.low AND a.close > b.low GROUP BY a.symbol, a.t UNION ALL SELECT a.symbol, a.t, 'buy', round(arg_min(b.high, b.rn), 6), min(b.rn) FROM walk a JOIN s b ON a.symbol = b.symbol AND b.rn < a.rn AND b.sh AND a.high > b.high AND a.close < b.high GROUP BY a.symbol, a.t")
 def _(v):
-    return SM.sweeps(v.bars)
+    return SM.sweeps(v.walk)
 
 
 @query("w17_character_changes")
 def _(v):
-    return SM.character_changes(v.bars)
+    return SM.character_changes(v.walk)
 
 
 @query("w18_sessions", B + ", n AS (SELECT *, timezone('America/New_York', to_timestamp(t)) AS ny FROM bars) SELECT symbol, ny::DATE AS day, round(max(high), 6) AS day_high, round(min(low), 6) AS day_low, round(arg_min(open, t), 6) AS midnight_open, round(max(high) FILTER (WHERE hour(ny) >= 19), 6) AS asian_high, count(*) FILTER (WHERE hour(ny) BETWEEN 2 AND 4) AS london, count(*) FILTER (WHERE hour(ny) BETWEEN 7 AND 9) AS newyork FROM n GROUP BY 1, 2")
@@ -380,4 +380,4 @@ def _(v):
 @query("x18_structure_checklist")
 def _(v):
     """Score, bias and plan of each series from sweeps, changes of character, gaps and sessions."""
-    return SM.checklist(v.bars)
+    return SM.checklist(v.walk)

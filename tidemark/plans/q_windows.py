@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import folds as P
 from ..operators import windows as W
 from .registry import query
-from .views import BARS, EV, SIGNALS, Views
+from .views import BARS, EV, SIGNALS, WALK, Views
 
 KEY = ["symbol", "t"]
 B = "WITH " + BARS
@@ -168,9 +168,9 @@ def _(v):
     return df.select(*KEY, (F.coalesce((F.col("high") > F.col("level") * 1.001) & (F.col("close") < F.col("level")), F.lit(False)) | one(1) | one(2)).alias("trap"))
 
 
-@query("w15_gaps", B + ", g AS (SELECT c.symbol, c.t, c.rn, 1 AS way, a.high AS gap_low, c.low AS gap_high FROM bars a JOIN bars c ON a.symbol = c.symbol AND c.rn = a.rn + 2 WHERE a.high < c.low UNION ALL SELECT c.symbol, c.t, c.rn, -1, c.high, a.low FROM bars a JOIN bars c ON a.symbol = c.symbol AND c.rn = a.rn + 2 WHERE a.low > c.high) SELECT symbol, t, way, round(gap_low, 6) AS gap_low, round(gap_high, 6) AS gap_high, EXISTS (SELECT 1 FROM bars b WHERE b.symbol = g.symbol AND b.rn > g.rn AND CASE WHEN way = 1 THEN b.low <= gap_low ELSE b.high >= gap_high END) AS filled FROM g")
+@query("w15_gaps", "WITH " + WALK + ", g AS (SELECT c.symbol, c.t, c.rn, 1 AS way, a.high AS gap_low, c.low AS gap_high FROM walk a JOIN walk c ON a.symbol = c.symbol AND c.rn = a.rn + 2 WHERE a.high < c.low UNION ALL SELECT c.symbol, c.t, c.rn, -1, c.high, a.low FROM walk a JOIN walk c ON a.symbol = c.symbol AND c.rn = a.rn + 2 WHERE a.low > c.high) SELECT symbol, t, way, round(gap_low, 6) AS gap_low, round(gap_high, 6) AS gap_high, EXISTS (SELECT 1 FROM walk b WHERE b.symbol = g.symbol AND b.rn > g.rn AND CASE WHEN way = 1 THEN b.low <= gap_low ELSE b.high >= gap_high END) AS filled FROM g")
 def _(v):
-    return W.gaps(v.bars).select(*KEY, "way", r6("gap_low"), r6("gap_high"), "filled")
+    return W.gaps(v.walk).select(*KEY, "way", r6("gap_low"), r6("gap_high"), "filled")
 
 
 @query("w19_up_fraction", B + f", x AS (SELECT *, (close > lag(close) OVER {BY})::INT AS up FROM bars) SELECT symbol, t, round(coalesce(avg(up) OVER {frame(62)}, 0.0), 6) AS up_fraction FROM x")

@@ -33,6 +33,15 @@ class Views:
         )
         return out.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy("t")).cast("bigint"))
 
+    @property
+    def walk(self) -> DataFrame:
+        """Bars whose middle wanders: price moves by what each bar closed off 50, so that gaps and trends occur."""
+        by = Window.partitionBy("symbol").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        mid = F.round(500 + F.sum((F.col("close") - 50) / 10).over(by), 6)
+        c = F.col
+        return self.bars.withColumn("mid", mid).select(
+            "symbol", "t", "rn", F.round(c("mid") - (c("close") - c("open")) / 40, 6).alias("open"), F.round(c("mid") + (c("high") - c("close")) / 60, 6).alias("high"), F.round(c("mid") - (c("close") - c("low")) / 60, 6).alias("low"), c("mid").alias("close"), "volume")
+
     @property
     def tape(self) -> DataFrame:
         """symbol, t, event_id, side, size, price."""
@@ -105,6 +114,8 @@ EV = "ev AS (SELECT event_id, floor(epoch(ts))::BIGINT AS sec, user_id, event_ty
 BARS = EV + """, bars0 AS (SELECT event_type AS symbol, (sec // 21600) * 21600 AS t, first(value ORDER BY sec, event_id) AS open, max(value) AS high, min(value) AS low,
   last(value ORDER BY sec, event_id) AS close, count(*)::DOUBLE AS volume FROM ev GROUP BY 1, 2),
 bars AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM bars0)"""
+WALK = BARS + """, walk0 AS (SELECT *, round(500 + sum((close - 50) / 10) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING), 6) AS mid FROM bars),
+walk AS (SELECT symbol, t, rn, round(mid - (close - open) / 40, 6) AS open, round(mid + (high - close) / 60, 6) AS high, round(mid - (close - low) / 60, 6) AS low, mid AS close, volume FROM walk0)"""
 TAPE = EV + ", tape AS (SELECT event_type AS symbol, sec AS t, event_id, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, value AS size, 100.0::DOUBLE + user_id % 50 AS price FROM ev)"
 BOOK = """book AS (SELECT l_orderkey AS snap, CASE WHEN l_linenumber % 2 = 1 THEN 'bid' ELSE 'ask' END AS side,
   (floor(l_extendedprice::DOUBLE / l_quantity::DOUBLE * 100) / 100.0::DOUBLE + CASE WHEN l_linenumber % 2 = 1 THEN 0.0 ELSE 2000.0 END)::DOUBLE AS price, sum(l_quantity::DOUBLE) AS size FROM lineitem GROUP BY 1, 2, 3)"""
