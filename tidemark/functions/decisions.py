@@ -198,3 +198,42 @@ def sessions(minute: Column) -> Column:
 def announcement_kind(title: Column) -> Column:
     t = F.lower(F.coalesce(title, F.lit("")))
     return F.when(t.rlike("delist|will remove|will no longer"), "delisting").when(t.rlike("suspen|halt|pause trading"), "suspension").when(t.rlike("maintenance|system upgrade"), "maintenance").when(t.contains("list"), "listing").otherwise("other")
+
+
+def macro_vote(stance: Column, coverage: Column, event: Column | None = None) -> dict[str, Column]:
+    """Hawkish policy, and a hawkish surprise, lean against the asset; confidence goes with the share of indicators known."""
+    bias = clamp(-stance)
+    if event is not None:
+        bias = F.when(event.isNull(), bias).otherwise(clamp(0.7 * bias - 0.3 * event))
+    return {"vote": F.when(coverage > 0, bias).otherwise(0.0), "confidence": F.when(coverage > 0, F.least(F.lit(1.0), coverage) * (0.4 + 0.6 * F.abs(bias))).otherwise(0.0)}
+
+
+def surprise(actual: Column, forecast: Column, dovish: Column) -> Column:
+    """Announcement above forecast is hawkish, below dovish, in tenths of the forecast; turned for unemployment and claims."""
+    gap = (actual - forecast) / F.greatest(F.abs(forecast), F.lit(1e-9)) / 0.1
+    return F.when(actual.isNotNull() & forecast.isNotNull(), clamp(gap) * F.when(dovish, -1.0).otherwise(1.0))
+
+
+def buy_window(now: Column, last: Column, start: float = 16.0, end: float = 20.0, late_hours: float = 30.0) -> Column:
+    """Within the daily hours, or too late to wait, or never bought."""
+    hour = (now % 86400) / 3600
+    return last.isNull() | (now - last > late_hours * 3600) | ((hour >= start) & (hour < end))
+
+
+def due(now: Column, last: Column, hours: float) -> Column:
+    return last.isNull() | (now - last >= hours * 3600)
+
+
+def ribbon_state(signal: Column) -> Column:
+    return F.when(signal > 0, "reprise").when(signal < 0, "capitulation").otherwise("neutre")
+
+
+def congestion(fee: Column) -> Column:
+    """0 to 1 from the fast fee: 0 up to 2, 1 from 200 on, by the root between; 0 where there is none."""
+    share = (fee - 2.0) / 198.0
+    return F.when(share >= 1, 1.0).when(share > 0, F.sqrt(share)).otherwise(0.0)
+
+
+def implied_regime(level: Column, slope: Column) -> dict[str, Column]:
+    """Calm under 40, stress from 70 on, and whether the level has grown by over 10 %."""
+    return {"regime": F.when(level.isNull(), "inconnu").when(level < 40, "calme").when(level < 70, "normal").otherwise("stress"), "expansion": F.coalesce(slope > 10, F.lit(False))}

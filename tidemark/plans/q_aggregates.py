@@ -228,7 +228,7 @@ def _(v):
     return g.select("symbol", "n", "mid", "trade_sign", (F.col("last_t") >= F.max("last_t").over(Window.partitionBy()) - 120).alias("fresh"))  # a row for each symbol
 
 
-@query("a24_scan_cycles")
+@query("a24_scan_cycles", "WITH RECURSIVE " + EV + ", o AS (SELECT 'S' || (user_id % 8) AS symbol, sec AS t, row_number() OVER (PARTITION BY user_id % 8 ORDER BY sec, event_id) AS rn FROM ev), c AS (SELECT symbol, t, rn, t AS start, 0::BIGINT AS cycle FROM o WHERE rn = 1 UNION ALL SELECT o.symbol, o.t, o.rn, CASE WHEN o.t - c.start > 3600 THEN o.t ELSE c.start END, c.cycle + CASE WHEN o.t - c.start > 3600 THEN 1 ELSE 0 END FROM c JOIN o ON o.symbol = c.symbol AND o.rn = c.rn + 1) SELECT symbol, cycle, min(t) AS t, count(*) AS n FROM c GROUP BY 1, 2")
 def _(v):
     df = v.events.select(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.col("sec").alias("t"), "event_id")
     return P.per_series(df, lambda g: {"cycle": P.gap_cycles(g["t"].to_numpy(), 3600)}, "cycle long", order=("t", "event_id")).groupBy("symbol", "cycle").agg(F.min("t").alias("t"), F.count("*").alias("n"))

@@ -224,3 +224,69 @@ def _(v):
     from ..sources.files import retain
 
     return retain(v.events.select("event_type", "event_id"), ["event_type"], [F.desc("event_id")], 100)
+
+
+@query("f7_flow_signal")
+def _(v):
+    """Money flow against price: the signal of each series and the lean it gives."""
+    from ..operators import strategies as ST
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t", kind="stable")
+        k = ST.flow_signal(g["ned"].to_numpy(float), g["close"].to_numpy(float))
+        return pd.DataFrame([(g.symbol.iloc[0], k, ST.flow_nudge(k))], columns=["symbol", "signal", "nudge"])
+
+    return W.money_flow(v.walk, 5).where("ned is not null").select("symbol", "t", "ned", "close").groupBy("symbol").applyInPandas(run, "symbol string, signal int, nudge double")
+
+
+@query("x16_edge_summary", "WITH " + PAIRS + ", " + RANKS + " SELECT agent, n, round(ic, 6) AS ic FROM ic ORDER BY ic DESC, agent LIMIT 3")
+def _(v):
+    return Q.rank_ic(pairs(v), ["agent"]).select("agent", "n", F.round("ic", 6).alias("ic")).orderBy(F.desc("ic"), "agent").limit(3)
+
+
+@query("x22_macro_votes", E + ", x AS (SELECT event_id, (user_id % 21 - 10) / 10.0::DOUBLE AS s, (event_id % 11) / 10.0::DOUBLE AS c FROM ev) SELECT event_id, CASE WHEN c > 0 THEN greatest(-1, least(1, -s)) ELSE 0.0 END AS vote, round(CASE WHEN c > 0 THEN least(1, c) * (0.4 + 0.6 * abs(s)) ELSE 0 END, 6) AS confidence FROM x")
+def _(v):
+    from ..functions.decisions import macro_vote
+
+    m = macro_vote((F.col("user_id") % 21 - 10) / 10.0, (F.col("event_id") % 11) / 10.0)
+    return v.events.select("event_id", (m["vote"] + 0.0).alias("vote"), F.round(m["confidence"], 6).alias("confidence"))
+
+
+@query("x22_surprises", E + ", x AS (SELECT event_id, value AS a, CASE WHEN event_id % 6 <> 0 THEN 50.0::DOUBLE END AS f, user_id % 2 = 0 AS dove FROM ev) SELECT event_id, round(CASE WHEN f IS NOT NULL THEN greatest(-1, least(1, (a - f) / greatest(abs(f), 1e-9) / 0.1)) * CASE WHEN dove THEN -1 ELSE 1 END END, 6) AS pressure FROM x")
+def _(v):
+    from ..functions.decisions import surprise
+
+    f = F.when(F.col("event_id") % 6 != 0, 50.0)
+    return v.events.select("event_id", F.round(surprise(F.col("value"), f, F.col("user_id") % 2 == 0), 6).alias("pressure"))
+
+
+@query("x31_ribbon_states", B + f", x AS (SELECT *, CASE WHEN rn >= 30 THEN avg(close) OVER {frame(29)} END AS fast, CASE WHEN rn >= 60 THEN avg(close) OVER {frame(59)} END AS slow FROM bars), c AS (SELECT *, coalesce(round(lag(fast) OVER {BY}, 9) < round(lag(slow) OVER {BY}, 9) AND round(fast, 9) > round(slow, 9), false)::INT AS crossed FROM x) SELECT symbol, t, CASE WHEN rn < 65 THEN 'neutre' WHEN max(crossed) OVER {frame(13)} = 1 THEN 'reprise' WHEN fast < slow THEN 'capitulation' ELSE 'neutre' END AS state FROM c")
+def _(v):
+    from ..functions.decisions import ribbon_state
+
+    return W.ribbons(v.bars, "close").select("symbol", "t", ribbon_state(F.col("signal")).alias("state"))
+
+
+@query("x32_venue_totals", "SELECT r_name AS chain, count(*) AS tokens, round(sum(c_acctbal), 2) AS total, max(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') AS top FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def _(v):
+    c, n, r = v.table("customer"), v.table("nation"), v.table("region")
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return j.groupBy(F.col("r_name").alias("chain")).agg(F.count("*").alias("tokens"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.max(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("top"))
+
+
+@query("r6_buy_windows", E + " SELECT event_id, (sec % 86400) / 3600.0 >= 16 AND (sec % 86400) / 3600.0 < 20 OR user_id % 3 = 0 OR user_id % 3 = 1 AND (event_id % 50) > 30 AS ok, user_id % 3 = 0 OR CASE WHEN user_id % 3 = 1 THEN event_id % 50 ELSE 1 END >= 8 AS due FROM ev")
+def _(v):
+    from ..functions.decisions import buy_window, due
+
+    u = F.col("user_id") % 3
+    last = F.when(u == 1, F.col("sec") - (F.col("event_id") % 50) * 3600).when(u == 2, F.col("sec") - 3600)
+    return v.events.select("event_id", buy_window(F.col("sec"), last).alias("ok"), due(F.col("sec"), last, 8).alias("due"))
+
+
+@query("f4_implied_regime", B + f", x AS (SELECT symbol, t, close, lag(close, 4) OVER {BY} AS was, stddev_pop(close) OVER {frame(13)} AS rv FROM bars) SELECT symbol, t, CASE WHEN close < 40 THEN 'calme' WHEN close < 70 THEN 'normal' ELSE 'stress' END AS regime, coalesce((close - was) / was * 100 > 10, false) AS expansion, round(close - rv, 4) AS premium, round(CASE WHEN (close - 2) / 198 >= 1 THEN 1 WHEN close > 2 THEN sqrt((close - 2) / 198) ELSE 0 END, 6) AS congestion FROM x")
+def _(v):
+    from ..functions.decisions import congestion, implied_regime
+
+    was = W.lag("close", 4)
+    r = implied_regime(F.col("close"), (F.col("close") - was) / was * 100)
+    return v.bars.select("symbol", "t", r["regime"].alias("regime"), r["expansion"].alias("expansion"), F.round(F.col("close") - F.stddev_pop("close").over(W.last(14)), 4).alias("premium"), F.round(congestion(F.col("close")), 6).alias("congestion"))

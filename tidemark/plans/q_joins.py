@@ -256,7 +256,7 @@ def _(v):
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("t14_budget_allocation")
+@query("t14_budget_allocation", "WITH RECURSIVE " + EV + ", o AS (SELECT user_id % 50 AS book, event_id, value AS x, (event_id % 40) / 100.0::DOUBLE AS d, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS rn FROM ev), a AS (SELECT book, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 0 AS n, 0.0::DOUBLE AS total, 0.0::DOUBLE AS risk, false AS accepted, '' AS reasons FROM (SELECT DISTINCT book FROM o) UNION ALL SELECT book, rn, event_id, n + ok::INT, total + CASE WHEN ok THEN x ELSE 0 END, risk + ok::INT, ok, why FROM (SELECT *, why = '' AS ok FROM (SELECT a.book, o.rn, o.event_id, a.n, a.total, a.risk, o.x, array_to_string(list_filter([CASE WHEN o.d < 0.2 THEN 'stop_distance' END, CASE WHEN a.n + 1 > 3 THEN 'positions' END, CASE WHEN a.total + o.x > 300 THEN 'notional' END, CASE WHEN a.risk + 1 > 5 THEN 'risk' END], lambda y: y IS NOT NULL), ',') AS why FROM a JOIN o ON o.book = a.book AND o.rn = a.rn + 1))) SELECT book, event_id, accepted, reasons FROM a WHERE rn > 0")
 def _(v):
     """Orders of each user group in turn against caps; accepted ones use up the budget, refused ones don't."""
     df = v.events.select((F.col("user_id") % 50).alias("book"), "event_id", F.col("value").alias("notional"), (F.col("event_id") % 40 / 100.0).alias("distance"))

@@ -330,7 +330,7 @@ def _(v):
     return W.volatility_regime(v.bars).select(*KEY, r6("ratio"), "regime")
 
 
-@query("w38_daily_baseline")
+@query("w38_daily_baseline", R + ", e AS (SELECT symbol, t, rn, close, close AS baseline FROM bars WHERE rn = 1 UNION ALL SELECT b.symbol, b.t, b.rn, b.close, CASE WHEN b.t // 86400 <> e.t // 86400 THEN b.close WHEN abs(b.close - e.close) / e.close > 0.15 THEN e.baseline + b.close - e.close ELSE e.baseline END FROM e JOIN bars b ON b.symbol = e.symbol AND b.rn = e.rn + 1) SELECT symbol, t, round(close, 6) AS close, round(baseline, 6) AS baseline, round((baseline - close) / baseline, 6) AS loss FROM e")
 def _(v):
     df = P.per_series(v.bars.select("symbol", "t", "close"), lambda g: {"baseline": P.drift_baseline(g["t"].to_numpy(), g["close"].to_numpy(float))}, "baseline double")
     return df.select(*KEY, r6("close"), r6("baseline"), F.round((F.col("baseline") - F.col("close")) / F.col("baseline"), 6).alias("loss"))
