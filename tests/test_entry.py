@@ -22,3 +22,18 @@ def test_without_the_optional_parts(tmp_path):
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
+
+
+def test_workers_need_no_path(tmp_path):
+    """From another folder, with the repository on sys.path of the driver alone."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", e.queries()["w3_rsi"](s, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows" in out.stdout, out.stderr[-2000:]

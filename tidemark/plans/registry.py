@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
 from .views import Views
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +19,12 @@ def query(name: str, sql: str | None = None):
     def keep(plan: Callable[[Views], DataFrame]):
         if name in _queries:
             raise ValueError(f"{name} is registered twice")
-        _queries[name] = lambda spark, folder: plan(Views(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return plan(Views(spark, folder))
+
+        _queries[name] = run
         if sql:
             _sql[name] = sql
         return plan
