@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import Remembered, held_out
 from .sampling import class_weights, labelled_sample
 
@@ -158,6 +159,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null text: empty, scored by its length pseudo-word. Null doc_id: not held out, not learned from. Repeated rows
     each get a row. Only doc_id and text are read, and doc_id and quality of labels. Empty table: no rows.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Model(*labelled_sample(docs, labels, "quality")))  # VOCABULARY bounds it
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

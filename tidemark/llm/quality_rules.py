@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import cut
 
 MIN_WORDS, MAX_REPEAT = 10, 20
@@ -160,6 +161,7 @@ def quality(docs: DataFrame) -> DataFrame:
     Null text: no words, so base_failed. Null lang: a language of its own. Repeated rows each get a row.
     Only doc_id, text and lang are read. Empty table: no rows.
     """
+    ship(docs.sparkSession)
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))  # 100 languages of 64 words at most
 
     def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import cut
 
 SHINGLE = 3
@@ -39,9 +40,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * count > total, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter((fingerprint(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
+        prints = np.fromiter((fingerprint(t or b"", shingle) for t in batch.column(2).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "mark", "print"])
 
 
@@ -100,13 +101,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     Null and blank texts have fingerprint 0 and link like others. Null doc_id: linked, never a component_id unless
     no member has an id (then null). Repeated rows each get a row. Only doc_id and text are read. Empty table: no rows.
     """
+    ship(docs.sparkSession)
     if most_bits != 2:
         raise ValueError("grid and check are laid out for 2 bits")
-    if shingle != SHINGLE:
-        raise ValueError("shingles are of 3 words")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, mark bigint, print bigint"
     text = docs["text"].cast("string")
-    printed = cut(docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(_fingerprints, schema), "prints")
+    printed = cut(docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(lambda batches: _fingerprints(batches, shingle), schema), "prints")
     classes = cut(printed.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
     celled = classes.select("print", grid_cell(F.col("print")).alias("cell"))
     placed = celled.select("print", F.explode(cells_within_one(F.col("cell"))).alias("cell"))

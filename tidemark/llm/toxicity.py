@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import Remembered, held_out
 from .sampling import class_weights, labelled_sample
 
@@ -265,6 +266,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null text: empty, scored without evidence. Null doc_id: not held out, not learned from. Repeated rows each get a
     row. Only doc_id and text are read, and doc_id and toxic of labels. Empty table: no rows.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Tagger(*labelled_sample(docs, labels, "toxic", max_chars=MAX_CHARS)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
