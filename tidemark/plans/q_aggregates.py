@@ -138,9 +138,9 @@ def _(v):
     return df.select("symbol", F.round("own", 6).alias("cost_basis"), F.round((F.col("flat") - F.col("own")) / F.col("flat") * 100, 6).alias("advantage_pct"))
 
 
-@query("a14_daily_spend", "WITH " + EV + " SELECT sec // 86400 AS day, round(sum(value), 4) AS spent, round(sum(value) FILTER (WHERE event_type = 'refund'), 4) AS lost FROM ev GROUP BY 1")
+@query("a14_daily_spend", "WITH " + EV + " SELECT sec // 86400 AS day, round(sum(value), 4) AS spent, round(sum(value) FILTER (WHERE event_type = 'signup'), 4) AS lost FROM ev GROUP BY 1")
 def _(v):
-    return v.events.groupBy(F.floor(F.col("sec") / 86400).alias("day")).agg(F.round(F.sum("value"), 4).alias("spent"), F.round(F.sum(F.when(F.col("event_type") == "refund", F.col("value"))), 4).alias("lost"))
+    return v.events.groupBy(F.floor(F.col("sec") / 86400).alias("day")).agg(F.round(F.sum("value"), 4).alias("spent"), F.round(F.sum(F.when(F.col("event_type") == "signup", F.col("value"))), 4).alias("lost"))
 
 
 @query("a15_gross_book", O + " SELECT symbol, round(sum(entry), 4) AS gross, round(sum(CASE WHEN side = 'LONG' THEN entry ELSE -entry END), 4) AS net, count(*) AS n FROM o WHERE outcome LIKE 'EN COURS%' AND entry >= 1.0 GROUP BY 1")

@@ -17,11 +17,11 @@ S = "WITH " + SIGNALS
 SIX_DAYS = 6 * 86400
 
 
-@query("j1_daily_inner_left", B + ", d AS (SELECT symbol, t // 86400 AS day, arg_max(close, t) AS close FROM bars GROUP BY ALL) SELECT a.day, round(a.close, 6) AS price, round(b.close, 6) AS hashrate, round(c.close, 6) AS fear FROM d a JOIN d b ON a.day = b.day AND b.symbol = 'view' LEFT JOIN d c ON a.day = c.day AND c.symbol = 'refund' WHERE a.symbol = 'click'")
+@query("j1_daily_inner_left", B + ", d AS (SELECT symbol, t // 86400 AS day, arg_max(close, t) AS close FROM bars GROUP BY ALL) SELECT a.day, round(a.close, 6) AS price, round(b.close, 6) AS hashrate, round(c.close, 6) AS fear FROM d a JOIN d b ON a.day = b.day AND b.symbol = 'view' LEFT JOIN d c ON a.day = c.day AND c.symbol = 'signup' WHERE a.symbol = 'click'")
 def _(v):
     day = v.bars.groupBy("symbol", F.floor(F.col("t") / 86400).alias("day")).agg(F.max_by("close", "t").alias("close"))
     one = lambda s, n: day.where(F.col("symbol") == s).select("day", F.round("close", 6).alias(n))
-    return one("click", "price").join(one("view", "hashrate"), "day").join(one("refund", "fear"), "day", "left")
+    return one("click", "price").join(one("view", "hashrate"), "day").join(one("signup", "fear"), "day", "left")
 
 
 @query("j2_forward_as_of", "WITH " + EV + " SELECT a.event_id, min(b.sec) AS later_t, arg_min(b.value, (b.sec, b.event_id)) AS later_value FROM ev a LEFT JOIN ev b ON a.event_type = b.event_type AND b.sec BETWEEN a.sec + 3600 AND a.sec + 40 * 86400 WHERE a.event_id % 5 = 0 GROUP BY 1")
@@ -122,11 +122,11 @@ def _(v):
     return ev.where("reduce and not was").select("symbol", "side", "open_id", F.col("event_id").alias("close_id"), "t_open", F.col("t").alias("t_close"))
 
 
-@query("j10_disappeared", "WITH " + EV + ", p AS (SELECT DISTINCT user_id FROM ev WHERE sec < 1705276800), c AS (SELECT DISTINCT user_id FROM ev WHERE sec >= 1705276800 AND event_type = 'click'), r AS (SELECT DISTINCT user_id FROM ev WHERE sec >= 1705276800 AND event_type = 'refund') SELECT user_id FROM p EXCEPT SELECT user_id FROM c EXCEPT SELECT user_id FROM r")
+@query("j10_disappeared", "WITH " + EV + ", p AS (SELECT DISTINCT user_id FROM ev WHERE sec < 1706572800), c AS (SELECT DISTINCT user_id FROM ev WHERE sec >= 1706572800 AND event_type = 'click'), r AS (SELECT DISTINCT user_id FROM ev WHERE sec >= 1706572800 AND event_type = 'signup') SELECT user_id FROM p EXCEPT SELECT user_id FROM c EXCEPT SELECT user_id FROM r")
 def _(v):
-    ev, cut = v.events, F.col("sec") >= 1705276800
+    ev, cut = v.events, F.col("sec") >= 1706572800
     gone = J.without(ev.where(~cut).select("user_id").distinct(), ev.where(cut & (F.col("event_type") == "click")), ["user_id"])
-    return J.without(gone, ev.where(cut & (F.col("event_type") == "refund")), ["user_id"])
+    return J.without(gone, ev.where(cut & (F.col("event_type") == "signup")), ["user_id"])
 
 
 @query("j11_last_event", "WITH " + EV + " SELECT event_type, max(sec) AS t, arg_max(value, (sec, event_id)) AS value, max(sec) >= (SELECT max(sec) FROM ev) - 900 AS fresh FROM ev GROUP BY 1")
@@ -222,16 +222,16 @@ def _(v):
     return v.journal.select("event_id", "symbol").orderBy(F.desc("event_id")).limit(5)
 
 
-@query("t9_event_feed", "WITH " + EV + " SELECT * FROM (SELECT sec AS t, 'order' AS kind, event_id AS id FROM ev WHERE event_type = 'purchase' UNION ALL SELECT sec, 'note', event_id FROM ev WHERE event_type = 'view' UNION ALL SELECT sec, 'refund', event_id FROM ev WHERE event_type = 'refund') ORDER BY t DESC, id DESC LIMIT 12")
+@query("t9_event_feed", "WITH " + EV + " SELECT * FROM (SELECT sec AS t, 'order' AS kind, event_id AS id FROM ev WHERE event_type = 'purchase' UNION ALL SELECT sec, 'note', event_id FROM ev WHERE event_type = 'view' UNION ALL SELECT sec, 'signup', event_id FROM ev WHERE event_type = 'signup') ORDER BY t DESC, id DESC LIMIT 12")
 def _(v):
     part = lambda kind, label: v.events.where(F.col("event_type") == kind).select(F.col("sec").alias("t"), F.lit(label).alias("kind"), F.col("event_id").alias("id"))
-    return part("purchase", "order").unionByName(part("view", "note")).unionByName(part("refund", "refund")).orderBy(F.desc("t"), F.desc("id")).limit(12)
+    return part("purchase", "order").unionByName(part("view", "note")).unionByName(part("signup", "signup")).orderBy(F.desc("t"), F.desc("id")).limit(12)
 
 
-@query("t10_set_operations", "WITH " + EV + ", a AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'refund') SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+@query("t10_set_operations", "WITH " + EV + ", a AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'signup') SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
 def _(v):
     one = lambda kind: v.events.where(F.col("event_type") == kind).select("user_id").distinct()
-    a, b = one("click"), one("refund")
+    a, b = one("click"), one("signup")
     return a.intersect(b).agg(F.lit("both").alias("part"), F.count("*").alias("n")).unionByName(a.subtract(b).agg(F.lit("only_a").alias("part"), F.count("*").alias("n")))
 
 

@@ -79,9 +79,9 @@ def _(v):
     return invalidate(v.votes.withColumn("invalid_below", F.lit(45.0)).withColumn("invalid_above", F.lit(60.0))).select("symbol", "t", "agent", "invalidated", "confidence")
 
 
-@query("p9_watch_list", "WITH " + VOTES + " SELECT agent, round(sum(CASE WHEN agent IN ('error', 'refund') THEN 0.0 ELSE 1.0 END * confidence), 4) AS weight FROM votes GROUP BY 1")
+@query("p9_watch_list", "WITH " + VOTES + " SELECT agent, round(sum(CASE WHEN agent IN ('error', 'signup') THEN 0.0 ELSE 1.0 END * confidence), 4) AS weight FROM votes GROUP BY 1")
 def _(v):
-    w = F.when(F.col("agent").isin("error", "refund"), 0.0).otherwise(1.0)
+    w = F.when(F.col("agent").isin("error", "signup"), 0.0).otherwise(1.0)
     return v.votes.groupBy("agent").agg(F.round(F.sum(w * F.col("confidence")), 4).alias("weight"))
 
 
