@@ -13,7 +13,7 @@ from ..operators.joins import running_sum
 from .q_joins import outcomes, touch_sql
 from .q_windows import B
 from .registry import query
-from .views import BOOK, EV, FILLS, JOURNAL, SIGNALS, TAPE, VENUES, VOTES
+from .views import BARS, BOOK, EV, FILLS, JOURNAL, SIGNALS, TAPE, VENUES, VOTES
 
 J = "WITH " + JOURNAL
 FL = "WITH " + FILLS
@@ -171,7 +171,15 @@ def _(v):
     return df.groupBy("symbol").agg(F.round(F.sum((F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume")) / F.sum("volume"), 6).alias("vwap"), F.round(F.max_by("volume", "t"), 6).alias("last_volume"), F.round(F.avg(F.when(F.col("rn") > F.col("n") - 20, F.col("volume"))), 6).alias("avg_volume"))
 
 
-@query("a19_close_profile")
+@query("a19_close_profile", "WITH RECURSIVE " + BARS + """, e AS (SELECT symbol, min(close) AS lo, max(close) AS hi, sum(volume) AS total FROM bars GROUP BY 1),
+g AS (SELECT b.symbol, least(floor((close - lo) / ((hi - lo) / 24))::INT, 23) AS bin, sum(volume) AS vol FROM bars b JOIN e USING (symbol) GROUP BY 1, 2),
+l AS (SELECT symbol, list(coalesce(vol, 0.0) ORDER BY n) AS vols FROM (SELECT e.symbol, n, vol FROM e CROSS JOIN range(24) r(n) LEFT JOIN g ON g.symbol = e.symbol AND g.bin = n) GROUP BY 1),
+p AS (SELECT symbol, vols, list_position(vols, list_max(vols)) AS peak FROM l),
+x AS (SELECT symbol, vols, total, peak, peak AS a, peak AS z, vols[peak] AS got, 0 AS step FROM p JOIN e USING (symbol)
+  UNION ALL SELECT symbol, vols, total, peak, CASE WHEN right_ >= left_ THEN a ELSE a - 1 END, CASE WHEN right_ >= left_ THEN z + 1 ELSE z END, got + greatest(left_, right_), step + 1
+  FROM (SELECT *, CASE WHEN a > 1 THEN vols[a - 1] ELSE -1 END AS left_, CASE WHEN z < 24 THEN vols[z + 1] ELSE -1 END AS right_ FROM x) WHERE got < 0.7 * total AND (a > 1 OR z < 24)),
+f AS (SELECT symbol, arg_max(peak, step) AS peak, arg_max(a, step) AS a, arg_max(z, step) AS z FROM x GROUP BY 1)
+SELECT symbol, round(lo + (peak - 0.5) * (hi - lo) / 24, 6) AS poc, round(lo + (a - 0.5) * (hi - lo) / 24, 6) AS value_area_low, round(lo + (z - 0.5) * (hi - lo) / 24, 6) AS value_area_high, total AS total_volume FROM f JOIN e USING (symbol)""")
 def _(v):
     return V.close_profile(v.bars)
 

@@ -102,7 +102,10 @@ def _(v):
     return ev.groupBy("symbol").applyInPandas(run, "symbol string, kind string, buy_id long, fill_id long")
 
 
-@query("j9_round_trips")
+ROUND_TRIPS = "WITH " + EV + ", e AS (SELECT 'S' || (user_id % 8) AS symbol, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, sec AS t, event_id, event_type = 'purchase' AS reduce FROM ev), l AS (SELECT *, lag(reduce) OVER w AS was, lag(event_id) OVER w AS open_id, lag(t) OVER w AS t_open FROM e WINDOW w AS (PARTITION BY symbol, side ORDER BY t, event_id)) SELECT symbol, side, open_id, event_id AS close_id, t_open, t AS t_close FROM l WHERE reduce AND was = false"
+
+
+@query("j9_round_trips", ROUND_TRIPS)
 def _(v):
     ev = v.events.select(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.when(F.col("user_id") % 2 == 0, "long").otherwise("short").alias("side"), F.col("sec").alias("t"), "event_id", (F.col("event_type") == "purchase").alias("reduce"), F.col("value").alias("entry"))
 
@@ -113,7 +116,7 @@ def _(v):
     return ev.groupBy("symbol", "side").applyInPandas(run, "symbol string, side string, open_id long, close_id long, t_open long, t_close long")
 
 
-@query("j9_round_trips_by_window", "WITH " + EV + ", e AS (SELECT 'S' || (user_id % 8) AS symbol, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, sec AS t, event_id, event_type = 'purchase' AS reduce FROM ev), l AS (SELECT *, lag(reduce) OVER w AS was, lag(event_id) OVER w AS open_id, lag(t) OVER w AS t_open FROM e WINDOW w AS (PARTITION BY symbol, side ORDER BY t, event_id)) SELECT symbol, side, open_id, event_id AS close_id, t_open, t AS t_close FROM l WHERE reduce AND was = false")
+@query("j9_round_trips_by_window", ROUND_TRIPS)
 def _(v):
     """The same pairs without a fold: a reduce right after an open closes it, as a further open replaces the one before."""
     ev = v.events.select(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.when(F.col("user_id") % 2 == 0, "long").otherwise("short").alias("side"), F.col("sec").alias("t"), "event_id", (F.col("event_type") == "purchase").alias("reduce"))

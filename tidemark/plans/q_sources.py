@@ -92,7 +92,7 @@ def _(v):
     return parsers.series_csv(lines.unionByName(v.spark.createDataFrame([("DATE,VALUE",), ("2020-01-01,",)], "line string")))
 
 
-@query("s14_page_titles")
+@query("s14_page_titles", r"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<a [^>]*>(.*?)</a>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '')[1:5], '|') AS titles FROM pages")
 def _(v):
     """Links of raw pages as feed titles: the first is the page's own and is dropped."""
     feed = F.regexp_replace("html", r"(?is)<a [^>]*>(.*?)</a>", "<title><![CDATA[$1]]></title>")
