@@ -162,6 +162,7 @@ def nowcast(df: DataFrame) -> DataFrame:
         "recession": 1.5 * c("_credit") + c("_fear") + 1.2 * pos(-c("_slope")) + pos(c("_fin")),
         "recovery": 1.5 * pos(c("easing")) + pos(c("curve_chg")) / 0.4 - pos(c("_credit") - 0.3),
     })
+    df = df.withColumns({n: F.round(n, 9) for n in names})  # scores that differ by rounding alone are equal
     df = df.withColumn("_ranked", F.sort_array(F.array(*names), asc=False))
     top = F.get("_ranked", F.lit(0))
     regime = F.when(c("expansion") == top, "expansion").when(c("slowdown") == top, "slowdown").when(c("recession") == top, "recession").otherwise("recovery")

@@ -119,10 +119,10 @@ def _(v):
     return v.venues.agg(F.round(F.avg(m), 4).alias("mean"), F.round(F.percentile(m, 0.5), 4).alias("median"), F.max_by("exchange", m).alias("top_venue"), F.min_by("exchange", m).alias("low_venue"), F.round((F.max(m) - F.min(m)) / F.min(m) * 100, 6).alias("spread_pct"), F.round(up, 4).alias("upper_median"))
 
 
-@query("a11_orders_from_fills", FL + " SELECT order_id, min(c_time) // 1000 AS t, round(sum(amount) / sum(size), 8) AS price_avg, sum(size) AS size, round(sum(amount), 2) AS amount, round(sum(CASE WHEN fee_coin = 'BTC' THEN abs(fee) ELSE 0 END), 6) AS fee FROM fills WHERE side = 'buy' GROUP BY 1")
+@query("a11_orders_from_fills", FL + " SELECT order_id, min(c_time) // 1000 AS t, round(sum(amount) / sum(size), 9) AS price_avg, sum(size) AS size, round(sum(amount), 2) AS amount, round(sum(CASE WHEN fee_coin = 'BTC' THEN abs(fee) ELSE 0 END), 6) AS fee FROM fills WHERE side = 'buy' GROUP BY 1")
 def _(v):
     fee = F.when(F.col("fee_coin") == "BTC", F.abs("fee")).otherwise(0.0)
-    return v.fills.where("side = 'buy' and size > 0 and amount > 0").groupBy("order_id").agg(F.expr("min(c_time) div 1000").alias("t"), F.round(F.sum("amount") / F.sum("size"), 8).alias("price_avg"), F.sum("size").alias("size"), F.round(F.sum("amount"), 2).alias("amount"), F.round(F.sum(fee), 6).alias("fee"))
+    return v.fills.where("side = 'buy' and size > 0 and amount > 0").groupBy("order_id").agg(F.expr("min(c_time) div 1000").alias("t"), F.round(F.sum("amount") / F.sum("size"), 9).alias("price_avg"), F.sum("size").alias("size"), F.round(F.sum("amount"), 2).alias("amount"), F.round(F.sum(fee), 6).alias("fee"))
 
 
 @query("a12_balance", FL + ", s AS (SELECT sum(amount) AS usdt, sum(size) AS btc, sum(CASE WHEN fee_coin = 'BTC' THEN abs(fee) ELSE 0 END) AS fees, count(*) FILTER (WHERE size > 49) AS odd FROM fills WHERE side = 'buy') SELECT round(usdt, 2) AS usdt, round(btc, 2) AS btc, round(usdt / btc, 4) AS cost_basis, round((1500 / (usdt / btc) - 1) * 100, 4) AS pnl_pct, array_to_string(list_filter([CASE WHEN odd > 0 THEN 'orphans' END, CASE WHEN btc - fees > 1e12 THEN 'balance' END], lambda x: x IS NOT NULL), ',') AS anomalies FROM s")

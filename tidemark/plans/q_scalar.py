@@ -161,7 +161,7 @@ def _(v):
     return v.table("documents").select("doc_id", F.lower("text").rlike(G.SIGNS["secret"][0]).alias("mentions"))
 
 
-@query("p17_risk_profile", "SELECT c_custkey, c_custkey % 6 AS level, coalesce(x, 0.0) AS leverage, coalesce(c_custkey % 6 BETWEEN 1 AND 3, false) AS ok FROM customer LEFT JOIN (VALUES (1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0), (5, 5.0)) p(l, x) ON l = c_custkey % 6")
+@query("p17_risk_profile", "SELECT c_custkey, c_custkey % 6 AS level, coalesce(x::DOUBLE, 0.0::DOUBLE) AS leverage, coalesce(c_custkey % 6 BETWEEN 1 AND 3, false) AS ok FROM customer LEFT JOIN (VALUES (1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0), (5, 5.0)) p(l, x) ON l = c_custkey % 6")
 def _(v):
     prof = v.spark.createDataFrame([(k, float(k)) for k in range(1, 6)], "level long, leverage double")
     df = v.table("customer").select("c_custkey", (F.col("c_custkey") % 6).alias("level")).join(F.broadcast(prof), "level", "left")  # five rows

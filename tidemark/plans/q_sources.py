@@ -99,7 +99,7 @@ def _(v):
     return parsers.rss_titles(v.table("pages").select("page_id", feed.alias("payload")), most=5).select("page_id", F.array_join("titles", "|").alias("titles"))
 
 
-@query("s16_supply_series", "WITH s AS (SELECT n_regionkey AS r, n_nationkey * 86400 AS t, (n_nationkey * 3.5 + 1)::DOUBLE AS value, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS k FROM nation) SELECT r, t, value FROM s WHERE k > 1")
+@query("s16_supply_series", "WITH s AS (SELECT n_regionkey AS r, (n_nationkey * 86400)::BIGINT AS t, (n_nationkey * 3.5 + 1)::DOUBLE AS value, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS k FROM nation) SELECT r, t, value FROM s WHERE k > 1")
 def _(v):
     k = F.col("n_nationkey")
     value = (k * 3.5 + 1).cast("string")
