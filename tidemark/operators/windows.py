@@ -73,7 +73,7 @@ def donchian(df: DataFrame, n: int = 20) -> DataFrame:
 def momentum(n: int = 14) -> Column:
     """Rate of change in percent; 0 from a base of 0, null before."""
     base = lag("close", n)
-    return F.when(base == 0, 0.0).when(base.isNotNull(), (F.col("close") / base - 1) * 100)
+    return F.when(base == 0, 0.0).when(base.isNotNull(), (F.try_divide("close", base) - 1) * 100)
 
 
 def savitzky_weights(window: int = 11, poly: int = 2) -> list[float]:
@@ -224,7 +224,7 @@ def slope_probability(df: DataFrame, n: int = 20, clip: float = 3.0) -> DataFram
 
 def log_return() -> Column:
     was = lag("close")
-    return F.when((was > 0) & (F.col("close") > 0), F.log(F.col("close") / was))
+    return F.when((was > 0) & (F.col("close") > 0), F.log(F.try_divide("close", was)))
 
 
 def zscore(name: str, n: int, sample: bool = False, least: int = 10) -> Column:
@@ -257,14 +257,17 @@ def future_return(h: int) -> Column:
 
 
 def corwin_schultz(df: DataFrame) -> DataFrame:
-    """Spread from the highs and lows of two bars; 0 where negative."""
+    """Spread from the highs and lows of two bars; 0 where negative, or a low is not above 0, null for the first bar."""
     import math
 
-    beta = F.pow(F.log(F.col("high") / F.col("low")), 2) + F.pow(F.log(lag("high") / lag("low")), 2)
-    gamma = F.pow(F.log(F.greatest(F.col("high"), lag("high")) / F.least(F.col("low"), lag("low"))), 2)
+    low, was = F.least(F.col("low"), lag("low")), lag("low")
+    square = lambda c: F.pow(F.log(c), 2)
+    beta = square(F.try_divide("high", "low")) + square(F.try_divide(lag("high"), lag("low")))
+    gamma = square(F.try_divide(F.greatest(F.col("high"), lag("high")), low))
     k = 3 - 2 * math.sqrt(2)
-    alpha = (F.sqrt(2 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k)
-    return df.withColumn("spread", F.greatest(F.lit(0.0), 2 * (F.exp(alpha) - 1) / (1 + F.exp(alpha))))
+    df = df.withColumn("_a", (F.sqrt(2 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k))
+    spread = F.greatest(F.lit(0.0), 2 * (F.exp("_a") - 1) / (1 + F.exp("_a")))
+    return df.withColumn("spread", F.when(was.isNotNull(), F.when(low > 0, spread).otherwise(0.0))).drop("_a")
 
 
 def bipower(df: DataFrame, n: int = 60) -> DataFrame:

@@ -62,7 +62,7 @@ def _(v):
 
 @query("x10_numeraire", B + ", c AS (SELECT symbol, t, (close / lag(close, 28) OVER (PARTITION BY symbol ORDER BY t) - 1) * 100 AS usd FROM bars) SELECT symbol, t, CASE WHEN usd <= -3 THEN 'REFUGE' ELSE 'USDT' END AS hold FROM c")
 def _(v):
-    usd = (F.col("close") / W.lag("close", 28) - 1) * 100
+    usd = (F.try_divide("close", W.lag("close", 28)) - 1) * 100
     return v.bars.select("symbol", "t", F.when(usd <= -3, "REFUGE").otherwise("USDT").alias("hold"))
 
 
@@ -114,7 +114,7 @@ def _(v):
 @query("x23_macro_snapshot", B + f", x AS (SELECT symbol, t, close, lag(close, 5) OVER {BY} AS five, lag(close, 12) OVER {BY} AS year, lag(close) OVER {BY} AS was FROM bars) SELECT symbol, round(arg_max(close, t), 6) AS last, round(arg_max((close / five - 1) * 100, t), 6) AS change_pct, round(arg_max((close / year - 1) * 100, t), 6) AS yoy_pct, round(arg_max(close - was, t), 6) AS delta FROM x GROUP BY symbol")
 def _(v):
     c = F.col("close")
-    x = v.bars.select("symbol", "t", "close", ((c / W.lag("close", 5) - 1) * 100).alias("a"), ((c / W.lag("close", 12) - 1) * 100).alias("b"), (c - W.lag("close")).alias("d"))
+    x = v.bars.select("symbol", "t", "close", ((F.try_divide(c, W.lag("close", 5)) - 1) * 100).alias("a"), ((F.try_divide(c, W.lag("close", 12)) - 1) * 100).alias("b"), (c - W.lag("close")).alias("d"))
     g = x.groupBy("symbol").agg(F.max_by(F.struct("close", "a", "b", "d"), "t").alias("l"))
     return g.select("symbol", F.round("l.close", 6).alias("last"), F.round("l.a", 6).alias("change_pct"), F.round("l.b", 6).alias("yoy_pct"), F.round("l.d", 6).alias("delta"))
 
@@ -131,7 +131,7 @@ def _(v):
 
 @query("x27_nudges", B + f", z AS (SELECT symbol, t, CASE WHEN rn >= 10 THEN (close - avg(close) OVER {frame(29)}) / nullif(stddev_pop(close) OVER {frame(29)}, 0) END AS z, (close / lag(close, 28) OVER {BY} - 1) * 100 AS m FROM bars) SELECT symbol, t, round(0.3 - 0.2 * tanh(z), 6) AS trend_up, round(-0.3 - 0.2 * tanh(z), 6) AS trend_down, round(m, 6) AS month_pct FROM z")
 def _(v):
-    df = v.bars.select("symbol", "t", W.zscore("close", 30).alias("z"), ((F.col("close") / W.lag("close", 28) - 1) * 100).alias("m"))
+    df = v.bars.select("symbol", "t", W.zscore("close", 30).alias("z"), ((F.try_divide("close", W.lag("close", 28)) - 1) * 100).alias("m"))
     pull = 0.2 * F.tanh("z")
     return df.select("symbol", "t", F.round(0.3 - pull, 6).alias("trend_up"), F.round(-0.3 - pull, 6).alias("trend_down"), F.round("m", 6).alias("month_pct"))
 

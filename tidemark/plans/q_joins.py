@@ -40,7 +40,7 @@ def _(v):
 
 @query("j3_offset_self_join", B + " SELECT a.symbol, a.t, round(b.close / a.close - 1, 6) AS fwd FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.rn = a.rn + 8")
 def _(v):
-    return v.bars.select("symbol", "t", F.round(W.lead("close", 8) / F.col("close") - 1, 6).alias("fwd")).where("fwd is not null")
+    return v.bars.select("symbol", "t", F.round(F.try_divide(W.lead("close", 8), "close") - 1, 6).alias("fwd")).where("fwd is not null")
 
 
 def touch_sql(both: str) -> str:
@@ -102,7 +102,7 @@ def _(v):
     return ev.groupBy("symbol").applyInPandas(run, "symbol string, kind string, buy_id long, fill_id long")
 
 
-ROUND_TRIPS = "WITH " + EV + ", e AS (SELECT 'S' || (user_id % 8) AS symbol, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, sec AS t, event_id, event_type = 'purchase' AS reduce FROM ev), l AS (SELECT *, lag(reduce) OVER w AS was, lag(event_id) OVER w AS open_id, lag(t) OVER w AS t_open FROM e WINDOW w AS (PARTITION BY symbol, side ORDER BY t, event_id)) SELECT symbol, side, open_id, event_id AS close_id, t_open, t AS t_close FROM l WHERE reduce AND was = false"
+ROUND_TRIPS = "WITH " + EV + ", e AS (SELECT 'S' || (user_id % 8) AS symbol, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, sec AS t, event_id, event_type = 'purchase' AS reduce FROM ev WHERE event_type = 'purchase' OR value <> 0), l AS (SELECT *, lag(reduce) OVER w AS was, lag(event_id) OVER w AS open_id, lag(t) OVER w AS t_open FROM e WINDOW w AS (PARTITION BY symbol, side ORDER BY t, event_id)) SELECT symbol, side, open_id, event_id AS close_id, t_open, t AS t_close FROM l WHERE reduce AND was = false"
 
 
 @query("j9_round_trips", ROUND_TRIPS)
@@ -119,7 +119,8 @@ def _(v):
 @query("j9_round_trips_by_window", ROUND_TRIPS)
 def _(v):
     """The same pairs without a fold: a reduce right after an open closes it, as a further open replaces the one before."""
-    ev = v.events.select(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.when(F.col("user_id") % 2 == 0, "long").otherwise("short").alias("side"), F.col("sec").alias("t"), "event_id", (F.col("event_type") == "purchase").alias("reduce"))
+    ev = v.events.select(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.when(F.col("user_id") % 2 == 0, "long").otherwise("short").alias("side"), F.col("sec").alias("t"), "event_id", (F.col("event_type") == "purchase").alias("reduce"), F.col("value").alias("entry"))
+    ev = ev.where("reduce or entry <> 0").drop("entry")
     by = Window.partitionBy("symbol", "side").orderBy("t", "event_id")
     ev = ev.withColumn("was", F.lag("reduce").over(by)).withColumn("open_id", F.lag("event_id").over(by)).withColumn("t_open", F.lag("t").over(by))
     return ev.where("reduce and not was").select("symbol", "side", "open_id", F.col("event_id").alias("close_id"), "t_open", F.col("t").alias("t_close"))
@@ -203,7 +204,7 @@ def _(v):
 
 @query("t4_t5_basket", B + ", r AS (SELECT symbol, t, close, close / lag(close, 27) OVER (PARTITION BY symbol ORDER BY t) - 1 AS ret, lead(close, 4) OVER (PARTITION BY symbol ORDER BY t) / close - 1 AS fwd FROM bars), k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY ret DESC, symbol) AS up, row_number() OVER (PARTITION BY t ORDER BY ret, symbol) AS down, count(*) OVER (PARTITION BY t) AS n FROM r WHERE ret IS NOT NULL) SELECT t, CASE WHEN count(fwd) FILTER (WHERE up <= 2 OR down <= 2) = 4 THEN round(avg(CASE WHEN up <= 2 THEN fwd ELSE -fwd END) FILTER (WHERE up <= 2 OR down <= 2), 6) END AS pnl FROM k WHERE n >= 4 GROUP BY t")
 def _(v):
-    r = v.bars.select("symbol", "t", (F.col("close") / W.lag("close", 27) - 1).alias("ret"), (W.lead("close", 4) / F.col("close") - 1).alias("fwd")).where("ret is not null")
+    r = v.bars.select("symbol", "t", (F.try_divide("close", W.lag("close", 27)) - 1).alias("ret"), (F.try_divide(W.lead("close", 4), "close") - 1).alias("fwd")).where("ret is not null")
     at = Window.partitionBy("t")
     k = r.withColumn("up", F.row_number().over(at.orderBy(F.desc("ret"), "symbol"))).withColumn("down", F.row_number().over(at.orderBy("ret", "symbol"))).withColumn("n", F.count("*").over(at)).where("n >= 4")
     g = k.groupBy("t").agg(F.count(F.when((F.col("up") <= 2) | (F.col("down") <= 2), F.col("fwd"))).alias("known"), F.avg(F.when(F.col("up") <= 2, F.col("fwd")).when(F.col("down") <= 2, -F.col("fwd"))).alias("pnl"))

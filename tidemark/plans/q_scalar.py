@@ -58,7 +58,7 @@ def _(v):
 
 @query("p6_series_ok", B + f", x AS (SELECT *, abs(close / lag(close) OVER {BY} - 1) AS jump FROM bars) SELECT symbol, count(*) >= 2 AND min(close) > 0 AND coalesce(max(jump), 0) <= 0.8 AS ok, count(*) FILTER (WHERE jump > 0.8) AS jumps FROM x GROUP BY 1")
 def _(v):
-    df = v.bars.withColumn("jump", F.abs(F.col("close") / W.lag("close") - 1)).groupBy("symbol").agg(F.count("*").alias("n"), F.min("close").alias("m"), F.max("jump").alias("j"), F.count_if(F.col("jump") > 0.8).alias("jumps"))
+    df = v.bars.withColumn("jump", F.abs(F.try_divide("close", W.lag("close")) - 1)).groupBy("symbol").agg(F.count("*").alias("n"), F.min("close").alias("m"), F.max("jump").alias("j"), F.count_if(F.col("jump") > 0.8).alias("jumps"))
     return df.select("symbol", ((F.col("n") >= 2) & (F.col("m") > 0) & (F.coalesce("j", F.lit(0.0)) <= 0.8)).alias("ok"), "jumps")
 
 

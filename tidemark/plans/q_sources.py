@@ -191,7 +191,7 @@ def _(v):
 def _(v):
     from ..operators import windows as W
 
-    r = v.bars.select("symbol", (F.col("close") / W.lag("close") - 1).alias("r"))
+    r = v.bars.select("symbol", (F.try_divide("close", W.lag("close")) - 1).alias("r"))
     return r.groupBy("symbol").agg(F.round(F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(1460.0)), 6).alias("sharpe"))
 
 
@@ -251,8 +251,8 @@ def _(v):
     return m.crossJoin(F.broadcast(w)).select("exchange", F.round("fair", 4).alias("fair"), F.round(prem, 6).alias("premium_pct"), (prem <= 0.1).alias("fair_to_buy"), F.round("wm", 4).alias("weighted_mark"))
 
 
-@query("r4_minute_history", "WITH " + TAPE + ", s AS (SELECT symbol, t, avg(price) AS mid, sum(CASE side WHEN 'buy' THEN size ELSE -size END) AS ofi FROM tape GROUP BY 1, 2) SELECT symbol, (t // 3600) * 3600 AS t, round(arg_max(mid, t), 4) AS mid, round(avg(ofi), 6) AS ofi, count(*) AS n FROM s GROUP BY 1, (s.t // 3600) * 3600")
+@query("r4_minute_history", "WITH " + TAPE + ", s AS (SELECT symbol, t, avg(price) AS mid, sum(CASE side WHEN 'buy' THEN size ELSE -size END) AS ofi FROM tape GROUP BY 1, 2) SELECT symbol, (t // 3600) * 3600 AS t, round(arg_max(mid, t), 4) AS mid, round(avg(ofi), 9) AS ofi, count(*) AS n FROM s GROUP BY 1, (s.t // 3600) * 3600")
 def _(v):
     signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))
     s = v.tape.groupBy("symbol", "t").agg(F.avg("price").alias("mid"), F.sum(signed).alias("ofi")).withColumn("queue_imbalance", F.lit(0.0)).withColumn("trade_sign", F.lit(0.0)).withColumn("spread_bps", F.lit(0.0))
-    return M.minute_history(s, 3600).select("symbol", "t", F.round("mid", 4).alias("mid"), F.round("ofi", 6).alias("ofi"), "n")
+    return M.minute_history(s, 3600).select("symbol", "t", F.round("mid", 4).alias("mid"), F.round("ofi", 9).alias("ofi"), "n")

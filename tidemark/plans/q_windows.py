@@ -217,7 +217,7 @@ def _(v):
 
 @query("w22_purged_returns", B + f" SELECT symbol, t, round(lead(close, 4) OVER {BY} / close - 1, 6) AS fwd FROM bars QUALIFY lead(close, 4) OVER {BY} IS NOT NULL AND (rn - 1) % 4 = 0")
 def _(v):
-    return v.bars.withColumn("fwd", F.round(W.lead("close", 4) / F.col("close") - 1, 6)).where("fwd is not null and (rn - 1) % 4 = 0").select(*KEY, "fwd")
+    return v.bars.withColumn("fwd", F.round(F.try_divide(W.lead("close", 4), "close") - 1, 6)).where("fwd is not null and (rn - 1) % 4 = 0").select(*KEY, "fwd")
 
 
 @query("w23_cumulative_pnl", "WITH " + __import__("tidemark.plans.views", fromlist=["FILLS"]).FILLS + ", d AS (SELECT c_time // 1000 AS t, sum(profit - CASE WHEN fee_coin = 'USDT' THEN abs(fee) ELSE 0 END) AS net FROM fills GROUP BY 1) SELECT t, round(sum(net) OVER (ORDER BY t), 2) AS cum FROM d")
@@ -244,16 +244,16 @@ def _(v):
     return v.bars.select("symbol", "t", "close").groupBy("symbol").applyInPandas(run, "symbol string, vol double").select("symbol", r6("vol"))
 
 
-@query("w27_realised_vol", B + f", r AS (SELECT *, ln(close / lag(close) OVER {BY}) AS r FROM bars) SELECT symbol, round(stddev_pop(r), 6) AS realised, round(0.6005612 * avg(ln(high / low)), 6) AS parkinson, round(-quantile_cont(r, 0.05), 6) AS var95, round(stddev_pop(r) * arg_max(close, t) * sqrt(4), 6) AS expected_move FROM r GROUP BY symbol")
+@query("w27_realised_vol", B + f", r AS (SELECT *, CASE WHEN close > 0 AND lag(close) OVER {BY} > 0 THEN ln(close / lag(close) OVER {BY}) END AS r FROM bars) SELECT symbol, round(stddev_pop(r), 6) AS realised, round(0.6005612 * avg(CASE WHEN low > 0 THEN ln(high / low) END), 6) AS parkinson, round(-quantile_cont(r, 0.05), 6) AS var95, round(stddev_pop(r) * arg_max(close, t) * sqrt(4), 6) AS expected_move FROM r GROUP BY symbol")
 def _(v):
-    df = v.bars.withColumn("r", W.log_return()).groupBy("symbol").agg(F.stddev_pop("r").alias("s"), F.avg(F.log(F.col("high") / F.col("low"))).alias("hl"), F.percentile("r", 0.05).alias("q"), F.max_by("close", "t").alias("c"))
+    df = v.bars.withColumn("r", W.log_return()).groupBy("symbol").agg(F.stddev_pop("r").alias("s"), F.avg(F.when(F.col("low") > 0, F.log(F.try_divide("high", "low")))).alias("hl"), F.percentile("r", 0.05).alias("q"), F.max_by("close", "t").alias("c"))
     return df.select("symbol", F.round("s", 6).alias("realised"), F.round(0.6005612 * F.col("hl"), 6).alias("parkinson"), F.round(-F.col("q"), 6).alias("var95"), F.round(F.col("s") * F.col("c") * 2, 6).alias("expected_move"))
 
 
-@query("w28_spread_estimates", B + f", x AS (SELECT *, ln(high / low) ** 2 + ln(lag(high) OVER {BY} / lag(low) OVER {BY}) ** 2 AS beta, ln(greatest(high, lag(high) OVER {BY}) / least(low, lag(low) OVER {BY})) ** 2 AS gamma, abs(close / lag(close) OVER {BY} - 1) / (close * volume) AS amihud FROM bars), y AS (SELECT *, (sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2)) - sqrt(gamma / (3 - 2 * sqrt(2))) AS alpha FROM x) SELECT symbol, t, CASE WHEN rn > 1 THEN round(greatest(0, 2 * (exp(alpha) - 1) / (1 + exp(alpha))), 6) END AS spread, round(amihud, 9) AS amihud FROM y")
+@query("w28_spread_estimates", B + f", x AS (SELECT *, lag(high) OVER {BY} AS ph, lag(low) OVER {BY} AS pl, lag(close) OVER {BY} AS pc FROM bars), y AS (SELECT *, ln(high / low) ** 2 + ln(ph / pl) ** 2 AS beta, ln(greatest(high, ph) / least(low, pl)) ** 2 AS gamma FROM x WHERE low > 0 AND pl > 0), z AS (SELECT *, (sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2)) - sqrt(gamma / (3 - 2 * sqrt(2))) AS alpha FROM y) SELECT symbol, t, round(greatest(0, 2 * (exp(alpha) - 1) / (1 + exp(alpha))), 6) AS spread, round(abs(close / pc - 1) / (close * volume), 9) AS amihud FROM z")
 def _(v):
-    df = W.corwin_schultz(v.bars).withColumn("amihud", F.round(F.abs(F.col("close") / W.lag("close") - 1) / (F.col("close") * F.col("volume")), 9))
-    return df.select(*KEY, F.when(F.col("rn") > 1, F.round("spread", 6)).alias("spread"), "amihud")
+    df = W.corwin_schultz(v.bars).withColumn("amihud", F.round(F.try_divide(F.abs(F.try_divide("close", W.lag("close")) - 1), F.col("close") * F.col("volume")), 9)).withColumn("pl", W.lag("low"))
+    return df.where("low > 0 and pl > 0").select(*KEY, F.round("spread", 6).alias("spread"), "amihud")
 
 
 @query("w29_bipower", B + f", r AS (SELECT *, ln(close / lag(close) OVER {BY}) AS r FROM bars), c AS (SELECT *, abs(r) * abs(lag(r) OVER {BY}) AS c FROM r), s AS (SELECT symbol, t, rn, sum(r * r) OVER {frame(59)} AS rv, pi() / 2 * sum(c) OVER {frame(58)} AS bv FROM c) SELECT symbol, t, round(rv, 6) AS rv, round(bv, 6) AS bv, round(CASE WHEN rv > 0 THEN CASE WHEN bv IS NULL THEN 0.0 ELSE greatest(0, least(1, (rv - bv) / rv)) END ELSE 0.0 END, 6) AS jump FROM s WHERE rn > 2")
@@ -297,7 +297,7 @@ def _(v):
     from ..operators.joins import nearest_before
 
     df = nearest_before(v.bars.select("symbol", "t", "close"), 7 * 86400, int(1.5 * 86400))
-    return df.where("was is not null").select(*KEY, F.round((F.col("close") / F.col("was") - 1) * 100, 6).alias("change_pct"))
+    return df.where("was is not null").select(*KEY, F.round((F.try_divide("close", "was") - 1) * 100, 6).alias("change_pct"))
 
 
 @query("w33_series_summary", B + f", x AS (SELECT *, lag(close, 13) OVER {BY} AS was, avg(close / 100000) OVER {frame(29)} AS rate FROM bars) SELECT symbol, round(arg_max(close, t), 6) AS last, round(arg_max(close - was, t), 6) AS change, round(arg_max(rate, t) * 3 * 365 * 100, 6) AS apr_gross, round(arg_max(rate, t) * 3 * 365 * 100 - 0.2 * 365 / 30, 6) AS apr_net FROM x GROUP BY symbol")
@@ -311,7 +311,7 @@ def _(v):
 @query("w35_markout", B + f", x AS (SELECT symbol, t, close, lead(close, 5) OVER {BY} AS later, CASE WHEN close >= open THEN 1 ELSE -1 END AS sgn FROM bars) SELECT symbol, round(avg(sgn * (later - close) / close * 10000), 4) AS markout_bps, count(later)::BIGINT AS n FROM x GROUP BY symbol")
 def _(v):
     df = v.bars.select("symbol", "close", W.lead("close", 5).alias("later"), F.when(F.col("close") >= F.col("open"), 1).otherwise(-1).alias("sgn"))
-    return df.groupBy("symbol").agg(F.round(F.avg(F.col("sgn") * (F.col("later") - F.col("close")) / F.col("close") * 10000), 4).alias("markout_bps"), F.count("later").alias("n"))
+    return df.groupBy("symbol").agg(F.round(F.avg(F.try_divide(F.col("sgn") * (F.col("later") - F.col("close")), "close") * 10000), 4).alias("markout_bps"), F.count("later").alias("n"))
 
 
 @query("w36_hit_rate", R + f", x AS (SELECT symbol, rn, (lead(close) OVER {BY} > close)::INT::DOUBLE AS hit FROM bars QUALIFY lead(close) OVER {BY} IS NOT NULL), e AS (SELECT symbol, 0::BIGINT AS rn, 0.5::DOUBLE AS hr FROM x GROUP BY symbol UNION ALL SELECT x.symbol, x.rn, 0.9 * e.hr + 0.1 * x.hit FROM e JOIN x ON x.symbol = e.symbol AND x.rn = e.rn + 1) SELECT symbol, round(arg_max(hr, rn), 6) AS hit_rate FROM e GROUP BY symbol")
@@ -345,7 +345,7 @@ def _(v):
 
 @query("x26_week_return", B + f" SELECT symbol, t, round(close / lag(close, 27) OVER {BY} - 1, 6) AS week_return FROM bars")
 def _(v):
-    return v.bars.select(*KEY, F.round(F.col("close") / W.lag("close", 27) - 1, 6).alias("week_return"))
+    return v.bars.select(*KEY, F.round(F.try_divide("close", W.lag("close", 27)) - 1, 6).alias("week_return"))
 
 
 @query("x33_log_returns", B + f", x AS (SELECT symbol, t, ln(close / lag(close) OVER {BY}) AS r FROM bars) SELECT symbol, t, round(r, 6) AS r, round((r - avg(r) OVER (PARTITION BY symbol)) / stddev_pop(r) OVER (PARTITION BY symbol), 6) AS z FROM x")
