@@ -101,6 +101,13 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def pieces(batches, rows: int = 512):
+    """Arrow batches in slices of so many rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than that and one."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Remembered, held_out
+from .common import Remembered, held_out, pieces
 from .sampling import class_weights, labelled_sample
 
 DIM, NONZERO, SPAN = 48, 6, 2
@@ -164,7 +164,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = model.value.cache()
-        for batch in batches:
+        for batch in pieces(batches):
             s = model.value.scores([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()], cache)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["doc_id", "held_out", "score"])
 

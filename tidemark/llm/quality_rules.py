@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut
+from .common import cut, pieces
 
 MIN_WORDS, MAX_REPEAT = 10, 20
 #: Texts of fewer words are not held against a histogram of characters, of words.
@@ -61,7 +61,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: dict[str | None, Counter] = {}
     flat = lambda: Counter({(lang, w): n for lang, c in held.items() for w, n in c.items()})
-    for batch in batches:
+    for batch in pieces(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             c = held.setdefault(lang, Counter())
             c.update((text or b"").lower().split())
@@ -165,7 +165,7 @@ def quality(docs: DataFrame) -> DataFrame:
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))  # 100 languages of 64 words at most
 
     def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [rules(t or b"", refs.value) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             cols = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)]], names=["doc_id", *COLUMNS])

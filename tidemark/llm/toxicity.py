@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Remembered, held_out
+from .common import Remembered, held_out, pieces
 from .sampling import class_weights, labelled_sample
 
 THRESHOLD = 0.3
@@ -271,7 +271,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = model.value.cache()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             score, offsets, at = [], [], 0
             while at < len(texts):
