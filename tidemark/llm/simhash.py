@@ -19,6 +19,7 @@ MOST_BITS = 2
 #: 32 segments of 2 bits; a segment's count of ones (0 to 2) fits its own 2 bits of one long.
 SEGMENTS = 32
 LOW = 0x5555555555555555
+EDGES_A_FILE = 200_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -79,7 +80,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         met = large.join(lower, F.col("a") == F.col("u"))
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(met.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut(small, "edges")
+        # as many files as the edges need, so that rounds over few edges are not many tiny tasks
+        edges = cut(small.coalesce(max(1, before[0] // EDGES_A_FILE)) if before else small, "edges")
         seen = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == before or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
