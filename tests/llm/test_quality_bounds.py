@@ -30,3 +30,14 @@ def test_clean_texts_of_every_language_stay(spark, docs):
     for lang in {r["lang"] for r in got}:
         kept = [r["kept"] for r in got if r["lang"] == lang]
         assert sum(kept) >= 0.95 * len(kept), lang
+
+
+def test_a_rare_language_in_another_script_stays(spark, docs):
+    """A language with too few rows for a reference is not judged by the others."""
+    words = "утром город просыпается рано люди спешат на работу мимо старого рынка где продают хлеб рыбу овощи цветы книги посуду".split()
+    rng = random.Random(5)
+    text = " ".join(rng.choice(words) for _ in range(120))
+    rare = spark.createDataFrame([(-1, text, "ru"), (-2, text, "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.op3_quality_rules(docs.select("doc_id", "text", "lang").union(rare)).where("doc_id < 0").collect()}
+    assert got[-1]["char_divergence"] > quality_rules.MOST_CHARS and got[-1]["kept"]
+    assert not got[-2]["kept"]

@@ -21,7 +21,7 @@ MOST_CHARS = 0.08
 #: Of the divergence that a text without any common word has from the same reference (0.18 to 0.19 on sf0.1).
 MOST_WORDS = 0.9
 COMMON = 64
-#: A language with less than this share of the rows gets no reference, so there are 100 at most.
+#: A language with less than this share of the rows gets no reference, so there are 100 at most; its texts are not held against any.
 LEAST_SHARE = 0.01
 #: A word below this share of a language's words is not common, so 2,000 a language are ranked at most.
 LEAST_WORD = 0.0005
@@ -91,7 +91,7 @@ def references(docs: DataFrame, common: int = COMMON) -> list[dict]:
     words = known.where(~special & (F.col("n") >= LEAST_WORD * F.col("words"))).withColumn("k", F.row_number().over(top)).where(F.col("k") <= common)
     refs: dict = {}
     for lang, key, n, of in known.where(special & (F.col("key") != F.lit(b" n"))).select("lang", "key", "n", "words").union(words.select("lang", "key", "n", "words")).orderBy("lang", F.desc("n"), "key").collect():
-        r = refs.setdefault(lang, {"classes": np.zeros(CLASSES), "keys": [], "counts": [], "words": of})
+        r = refs.setdefault(lang, {"lang": lang, "classes": np.zeros(CLASSES), "keys": [], "counts": [], "words": of})
         key = bytes(key)
         if key[:1] == b" ":
             r["classes"][int(key[1:])] = n
@@ -127,7 +127,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(marks[:n]) > 0).sum())
 
 
-def rules(text: bytes, refs: list[dict]) -> tuple:
+def rules(text: bytes, refs: list[dict], judged: bool = True) -> tuple:
     words = text.split()
     n = len(words)
     letters = text.translate(None, b" \t\n\x0b\x0c\r")
@@ -148,7 +148,7 @@ def rules(text: bytes, refs: list[dict]) -> tuple:
             own = np.array([c.get(k, 0) for k in r["keys"]], float)
             far = divergence(np.append(own, n - own.sum()), r["shares"])
             wordy, usual = min(wordy, far), usual or far <= r["most"]
-    kept = not failed and chars <= MOST_CHARS and usual
+    kept = not failed and (not judged or (chars <= MOST_CHARS and usual))
     return n, word_chars, symbols, len(lines) - len(set(lines)), repeat, failed, chars, wordy, kept
 
 
@@ -162,6 +162,7 @@ def quality(docs: DataFrame) -> DataFrame:
     kept is false if a base rule fails, or if the nearest language reference is further than MOST_CHARS from the
     histogram of character classes (texts of GUARD_CHARS words or more), or if no reference's histogram
     of common words is within MOST_WORDS of what a text without common words has (GUARD_WORDS or more). References are counted over all rows, by lang.
+    Rows whose language has no reference (under LEAST_SHARE of the rows) pass both; the divergences are still given.
 
     Null text: no words, so base_failed. Null lang: a language of its own. Repeated rows each get a row.
     Only doc_id, text and lang are read. Empty table: no rows.
@@ -170,13 +171,14 @@ def quality(docs: DataFrame) -> DataFrame:
     refs = docs.sparkSession.sparkContext.broadcast(references(docs))  # 100 languages of 64 words at most
 
     def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {r["lang"] for r in refs.value}
         for batch in pieces(batches):
-            rows = [rules(t or b"", refs.value) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = [rules(t or b"", refs.value, lang in known) for t, lang in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)]], names=["doc_id", *COLUMNS])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_divergence double, word_divergence double, kept boolean"
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(ruled, schema)
+    return docs.select("doc_id", docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).mapInArrow(ruled, schema)
 
 
 def op3_quality_rules(docs: DataFrame) -> DataFrame:
