@@ -152,8 +152,8 @@ _SCAN = ", ".join("CASE WHEN regexp_matches(t, '" + "|".join(f"(?:{x})" for x in
 
 @query("p16_prompt_scan", f"WITH x AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), h AS (SELECT conv_id, turn, list_filter([{_SCAN}], lambda y: y IS NOT NULL) AS h FROM x) SELECT conv_id, turn, array_to_string(h, ',') AS hits, CASE WHEN len(h) >= 2 OR list_has_any(h, ['override', 'exfil', 'secret', 'jailbreak']) THEN 'high' WHEN len(h) = 1 THEN 'medium' ELSE 'low' END AS risk FROM h")
 def _(v):
-    s = G.scan(F.substring("text", 1, 8000))
-    return v.table("conversations").where("not text rlike '[\u200b-\u200d\u2060\ufeff\u00ad]'").select("conv_id", "turn", s["hits"].alias("hits"), s["risk"].alias("risk"))
+    s = G.scan(F.col("text"))
+    return v.table("conversations").select("conv_id", "turn", s["hits"].alias("hits"), s["risk"].alias("risk"))
 
 
 @query("p16_secret_scan", r"SELECT doc_id, regexp_matches(lower(text), 'api[_ ]?key|secret|password|passphrase|private key|seed phrase|bearer token|clé api|mot de passe') AS mentions FROM documents")
