@@ -108,6 +108,18 @@ def pieces(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-def small_enough(df: DataFrame, most_rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than that and one."""
-    return df.limit(most_rows + 1).count() <= most_rows
+#: Rows and bytes, about, that sent() broadcasts at most.
+MOST_ROWS, MOST_BYTES = 1_000_000, 32_000_000
+
+
+def sent(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """df marked for broadcast if it is counted small, in rows and in bytes of its values; else as it is, so joins shuffle.
+
+    What is read of a larger table to find out is most_rows rows and one.
+    """
+    most_rows = MOST_ROWS if most_rows is None else most_rows
+    fixed = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+    width = lambda c, t: F.lit(16) if t in fixed else F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16
+    size = sum((width(c, t) for c, t in df.dtypes), F.lit(0)).cast("long")
+    n, held = df.limit(most_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= most_rows and held <= MOST_BYTES else df
