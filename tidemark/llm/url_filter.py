@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sent
+
 #: Captures of a host meet only list entries of their own year.
 SLICE = "year"
 
@@ -46,21 +48,27 @@ def blocked_as_of(captures: DataFrame, entries: DataFrame, horizon="2100-01-01")
     the day it was fetched: listed_from <= fetched_on < listed_to. The most specific listed domain is reported.
     Intervals are dealt out by host and calendar year, so a capture meets only entries near its time.
 
-    Null or odd url: host null, not blocked. Null date: not blocked. Null, repeated page_id: rows with equal page_id,
-    url and date give one row. Repeated entries count once. Empty list: nothing blocked. Empty captures: no rows.
+    Captures of one host and day are judged once. Of the domains above a host, those that no entry names are dropped
+    before anything is dealt out, so that all captures under one suffix never meet.
+
+    Null or odd url: host null, not blocked. Null date: not blocked. Null, repeated page_id: each row for itself, also
+    where all of it repeats. Repeated entries count once. Empty list: nothing blocked. Empty captures: no rows.
+    Other columns are left out, whatever their names.
     """
-    held = captures.select("page_id", host_of(F.col("url")).alias("host"), F.xxhash64("url").alias("mark"), F.col("fetched_on").cast("date").alias("fetched_on")).distinct()
+    held = captures.select(captures["page_id"].alias("page_id"), host_of(captures["url"]).alias("host"), captures["fetched_on"].cast("date").alias("fetched_on"))
     listed = validity(entries, horizon)
     last = F.lit(horizon).cast("date")
     years = F.sequence(F.year("listed_from"), F.year(F.least(F.col("listed_to"), last)))
     sliced = listed.select("*", F.explode(years).alias("slice"))
-    asked = held.where(F.col("host").isNotNull() & F.col("fetched_on").isNotNull()).select("page_id", "mark", "host", "fetched_on", F.year("fetched_on").alias("slice"), F.explode(domains(F.col("host"))).alias("entry_host"))
+    asked = held.where(F.col("host").isNotNull() & F.col("fetched_on").isNotNull()).select("host", "fetched_on").distinct()
+    asked = asked.select("host", "fetched_on", F.year("fetched_on").alias("slice"), F.explode(domains(F.col("host"))).alias("entry_host"))
+    asked = asked.join(sent(listed.select("entry_host").distinct()), "entry_host", "left_semi")
     best = F.max(F.struct(F.length("entry_host").alias("l"), F.col("entry_host").alias("matched"), "category", "listed_from")).alias("best")
     met = (
         asked.join(sliced, ["entry_host", "slice"]).where("listed_from <= fetched_on and fetched_on < listed_to")
-        .groupBy(F.col("page_id").alias("p"), F.col("mark").alias("m"), F.col("fetched_on").alias("f")).agg(best)
+        .groupBy(F.col("host").alias("h"), F.col("fetched_on").alias("f")).agg(best)
     )
-    return held.join(met, held["page_id"].eqNullSafe(F.col("p")) & (held["mark"] == F.col("m")) & (held["fetched_on"] == F.col("f")), "left").select(
+    return held.join(met, (F.col("host") == F.col("h")) & (F.col("fetched_on") == F.col("f")), "left").select(
         "page_id", "host", "fetched_on", F.col("best").isNotNull().alias("blocked"), F.col("best.matched").alias("matched"), F.col("best.category").alias("category"), F.col("best.listed_from").alias("listed_from")
     )
 
