@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Remembered, held_out
+from .common import Remembered, held_out, pieces
 from .sampling import class_weights, labelled_sample
 
 THRESHOLD = 0.3
@@ -20,9 +20,10 @@ SUFFIXES = 2048
 EPOCHS, RATE = 40, 0.1
 #: Longest text that the chain is trained on.
 MAX_CHARS = 6000
-LEAST_DOCS, LEAST_GAIN, LEAST_LIFT = 3, 18.0, 8.0
+LEAST_DOCS, LEAST_GAIN, LEAST_LIFT, MOST_OFTEN = 3, 18.0, 8.0, 3
 #: Beginnings of words that stand for them beside the words: toxic words come in many inflections.
 STEMS = (4, 5)
+NEAR = 200
 HELD = 200_000
 BLOCK = 64
 _EDGES = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -107,27 +108,33 @@ def apart(texts: list[list[bytes]]) -> np.ndarray:
     return out
 
 
-def toxic_words(texts: list[set[bytes]], labels: np.ndarray, w: np.ndarray) -> set[bytes]:
-    """Words far more usual in toxic texts: in LEAST_DOCS of them, by lift and by likelihood-ratio gain.
+def toxic_words(texts: list[Counter], lengths: np.ndarray, labels: np.ndarray, w: np.ndarray) -> set[bytes]:
+    """Units far more frequent in toxic texts: in LEAST_DOCS of them, by lift and by likelihood-ratio gain.
 
-    The gain asked for grows with the number of words looked at, so that chance finds none.
+    A text counts a unit MOST_OFTEN times at most, so that no single one makes a unit toxic; what is compared is
+    occurrences a token, so that long clean texts which hold a unit by chance don't clear it. The gain asked for grows
+    with the number of units looked at, so that chance finds none.
     """
-    a, b, na, nb = Counter(), Counter(), w[labels == 1].sum(), w[labels == 0].sum()
-    docs: Counter = Counter()
-    for ws, y, k in zip(texts, labels, w, strict=True):
-        (a if y else b).update(dict.fromkeys(ws, float(k)))
+    bad, good, docs = Counter(), Counter(), Counter()
+    for units_, y, k in zip(texts, labels, w, strict=True):
+        capped = {x: min(n, MOST_OFTEN) for x, n in units_.items()}
         if y:
-            docs.update(ws)
-    least = max(LEAST_GAIN, 2 * np.log(max(1, sum(n >= LEAST_DOCS for n in docs.values()))))
-    n1, n0, out = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum())), set()
-    for x, d in docs.items():
-        p1, p0 = d / n1, (b[x] / max(nb, 1e-9)) if nb else 0.0
-        if d < LEAST_DOCS or (p1 + 0.5 / n1) < LEAST_LIFT * (p0 + 0.5 / n0):
+            bad.update(capped)
+            docs.update(units_.keys())
+        else:
+            for x, n in capped.items():
+                good[x] += n * k
+    looked = [x for x, d in docs.items() if d >= LEAST_DOCS]
+    least = max(LEAST_GAIN, 2 * np.log(max(1, len(looked))))
+    n1, n0 = max(1.0, float(lengths[labels == 1].sum())), max(1.0, float(lengths[labels == 0].sum()))
+    scale, out = w[labels == 0].mean() if (labels == 0).any() else 1.0, set()
+    for x in looked:
+        k1, k0 = bad[x], good[x] / scale
+        if (k1 + 0.5) / n1 < LEAST_LIFT * (k0 + 0.5) / n0:
             continue
-        k0 = p0 * n0
-        both = (d + k0) / (n1 + n0)
-        ll = lambda k, n, p: k * np.log(max(p, 1e-12)) + (n - k) * np.log(max(1 - p, 1e-12))
-        if 2 * (ll(d, n1, p1) + ll(k0, n0, p0) - ll(d, n1, both) - ll(k0, n0, both)) >= least:
+        rate = (k1 + k0) / (n1 + n0)
+        part = lambda k, n: k * np.log(max(k, 1e-12) / (n * rate))
+        if 2 * (part(k1, n1) + part(k0, n0)) >= least:
             out.add(x)
     return out
 
@@ -143,9 +150,9 @@ class Tagger:
             return
         split = [[core(x) for x in t.split()] for t in texts]
         made: dict[bytes, list[bytes]] = {x: units(x) for s in split for x in s}
-        sets = [{u for x in set(s) for u in made[x]} for s in split]
+        counts = [Counter(u for x in s for u in made[x]) for s in split]
         own = np.flatnonzero(apart(split))  # copies of one toxic text must not make its words toxic
-        bad = toxic_words([sets[i] for i in own.tolist()], y[own], class_weights(labels, sizes)[own])
+        bad = toxic_words([counts[i] for i in own.tolist()], np.array([len(split[i]) for i in own.tolist()]), y[own], class_weights(labels, sizes)[own])
         hot = {x for x, us in made.items() if any(u in bad for u in us)}
         seen = Counter(u for s in split for x in s for u in made[x])
         self.words = {u: i for i, u in enumerate(sorted(u for u, n in seen.items() if n >= 3 or u in bad))}
@@ -220,7 +227,10 @@ class Tagger:
 
     @staticmethod
     def evidence(m: np.ndarray) -> list[float]:
-        return [1.0, float(np.log1p(m.sum())), float(m.max(initial=0.0)), float(np.log1p(1000 * m.sum() / (len(m) + 20)))]
+        """Of the marginals: their greatest sum over NEAR tokens in a row, their greatest, their mean. A long text gathers none by its length."""
+        sums = np.concatenate([[0.0], np.cumsum(m)])
+        near = float((sums[NEAR:] - sums[:-NEAR]).max()) if len(m) > NEAR else float(sums[-1])
+        return [1.0, float(np.log1p(near)), float(m.max(initial=0.0)), float(np.log1p(1000 * m.sum() / (len(m) + 20)))]
 
     def _score_step(self, tags: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> None:
         x, c = np.array([self.evidence(m) for m in tags]), np.zeros(4)
@@ -271,7 +281,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = model.value.cache()
-        for batch in batches:
+        for batch in pieces(batches, 2048):
             texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             score, offsets, at = [], [], 0
             while at < len(texts):
