@@ -189,10 +189,10 @@ def _(v):
     return V.range_profile(v.bars)
 
 
-@query("a21_walls", "WITH " + BOOK + " SELECT snap, side, price, size FROM book WHERE snap % 20 = 1 QUALIFY row_number() OVER (PARTITION BY snap, side ORDER BY size DESC, price) <= 2")
+@query("a21_walls", "WITH " + BOOK + " SELECT snap, side, price, size FROM book QUALIFY row_number() OVER (PARTITION BY snap, side ORDER BY size DESC, price) <= 2")
 def _(v):
     k = F.row_number().over(Window.partitionBy("snap", "side").orderBy(F.desc("size"), "price"))
-    return v.book.where("snap % 20 = 1").withColumn("k", k).where("k <= 2").select("snap", "side", "price", "size")
+    return v.book.withColumn("k", k).where("k <= 2").select("snap", "side", "price", "size")
 
 
 TIERS = [(100, 0.05), (50, 0.10), (25, 0.18), (20, 0.15), (10, 0.22), (5, 0.18), (3, 0.12)]

@@ -29,9 +29,9 @@ def _(v):
     return v.journal.select("event_id", S.first_filled(F.col("rsi"), F.col("ranking"), F.col("symbol")).alias("filled"))
 
 
-@query("p3_side", "SELECT doc_id, CASE WHEN lower(text) SIMILAR TO '(?s).*(long|buy).*' THEN 'LONG' WHEN lower(text) SIMILAR TO '(?s).*(short|sell).*' THEN 'SHORT' ELSE 'UNKNOWN' END AS side FROM (SELECT doc_id, substr(text, 1, 4000) AS text FROM documents)")
+@query("p3_side", "SELECT doc_id, CASE WHEN lower(text) SIMILAR TO '(?s).*(long|buy).*' THEN 'LONG' WHEN lower(text) SIMILAR TO '(?s).*(short|sell).*' THEN 'SHORT' ELSE 'UNKNOWN' END AS side FROM documents")
 def _(v):
-    return v.table("documents").select("doc_id", S.side_of(F.substring("text", 1, 4000)).alias("side"))
+    return v.table("documents").select("doc_id", S.side_of("text").alias("side"))
 
 
 @query("p4_symbol_split", "WITH s AS (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) || CASE p_partkey % 4 WHEN 0 THEN 'USDT' WHEN 1 THEN 'USDC' WHEN 2 THEN 'USD' ELSE 'EUR' END AS s FROM part) SELECT p_partkey, CASE WHEN s LIKE '%USDT' OR s LIKE '%USDC' THEN left(s, -4) WHEN s LIKE '%USD' THEN left(s, -3) ELSE s END AS base, CASE WHEN s LIKE '%USDT' THEN 'USDT' WHEN s LIKE '%USDC' THEN 'USDC' WHEN s LIKE '%USD' THEN 'USD' ELSE '' END AS quote FROM s")
@@ -114,11 +114,11 @@ def _(v):
     return v.events.select("event_id", D.sessions(minute).alias("sessions"), ((F.floor(F.col("sec") / 28800) + 1) * 28800 - F.col("sec") <= 1200).alias("defer_funding"))
 
 
-@query("p13_macro_blackout", E + ", a AS (SELECT sec AS tt FROM ev WHERE event_id % 500 = 0) SELECT event_id, EXISTS (SELECT 1 FROM a WHERE ev.sec BETWEEN tt - 1800 AND tt + 900) AS blackout FROM ev WHERE event_id % 3 = 0")
+@query("p13_macro_blackout", E + ", a AS (SELECT sec AS tt FROM ev WHERE event_id % 500 = 0) SELECT event_id, EXISTS (SELECT 1 FROM a WHERE ev.sec BETWEEN tt - 1800 AND tt + 900) AS blackout FROM ev")
 def _(v):
     """Events within 30 minutes before or 15 after an announcement: announcements are dealt to the slices they cover."""
     at = v.events.where("event_id % 500 = 0").select(F.explode(F.sequence(F.floor((F.col("sec") - 1800) / 3600), F.floor((F.col("sec") + 900) / 3600))).alias("slice"), F.col("sec").alias("at"))
-    e = v.events.where("event_id % 3 = 0").withColumn("slice", F.floor(F.col("sec") / 3600))
+    e = v.events.withColumn("slice", F.floor(F.col("sec") / 3600))
     hit = e.join(at, "slice").where("sec between at - 1800 and at + 900").select("event_id").distinct().withColumn("hit", F.lit(True))
     return e.select("event_id").join(hit, "event_id", "left").select("event_id", F.coalesce("hit", F.lit(False)).alias("blackout"))
 
