@@ -59,20 +59,24 @@ def _(v):
     return files.first_source([(first, 10), (second, 1)], ["event_type"])
 
 
-@query("s11_book_payloads", "WITH " + BOOK + " SELECT snap, side, price, size FROM book WHERE snap % 10 = 1")
+@query("s11_book_payloads", "WITH " + BOOK + " SELECT snap, side, price, size FROM book")
 def _(v):
     level = F.array(text("price"), text("size"))
     bid = F.col("side") == "bid"
-    p = v.book.where("snap % 10 = 1").groupBy("snap").agg(F.to_json(F.struct(F.collect_list(F.when(bid, level)).alias("bids"), F.collect_list(F.when(~bid, level)).alias("asks"))).alias("payload"))
+    p = v.book.groupBy("snap").agg(F.to_json(F.struct(F.collect_list(F.when(bid, level)).alias("bids"), F.collect_list(F.when(~bid, level)).alias("asks"))).alias("payload"))
     return parsers.order_book(p).select("snap", "side", "price", "size")
 
 
-@query("s11_trade_payloads", "WITH " + TAPE + " SELECT symbol, t, price, size, side FROM tape WHERE event_id % 7 = 0")
+@query("s11_trade_payloads", "WITH " + TAPE + " SELECT symbol, t, price, size, side FROM tape")
 def _(v):
-    s = v.tape.where("event_id % 7 = 0")
+    """A payload for each symbol and hour, as venues page them; two symbols come as objects, the others as arrays."""
+    s = v.tape
+    page = ["symbol", F.floor(F.col("t") / 3600).alias("hour")]
     obj = F.struct(text("t").alias("ts"), text("price").alias("price"), text("size").alias("size"), F.upper("side").alias("side"))
     arr = F.array(text("t"), text("price"), text("size"), F.col("side"))
-    p = s.where("symbol in ('click', 'view')").groupBy("symbol").agg(F.to_json(F.collect_list(obj)).alias("payload")).unionByName(s.where("symbol not in ('click', 'view')").groupBy("symbol").agg(F.to_json(F.collect_list(arr)).alias("payload")))
+    objects = F.col("symbol").isin("click", "view")
+    p = s.where(objects).groupBy(*page).agg(F.to_json(F.collect_list(obj)).alias("payload"))
+    p = p.unionByName(s.where(~objects).groupBy(*page).agg(F.to_json(F.collect_list(arr)).alias("payload"))).drop("hour")
     return parsers.trades(p).select("symbol", "t", "price", "size", "side")
 
 

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
 from ..streaming import features as S
 from .registry import query
 from .views import TAPE
 
 
 def _folder(v) -> str:
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    return f"{base.rstrip('/')}/tidemark/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(v.spark)}/tidemark/stream-{uuid.uuid4().hex}"
 
 
 def _tape(v):
@@ -54,3 +53,30 @@ def _(v):
     before = v.tape.where("event_id % 10 <> 0").groupBy("symbol").agg(F.count("*").alias("n"))
     after = v.tape.groupBy("symbol").agg(F.count("*").alias("n"))
     return S.changed(before, after, "symbol", ["n"]).select("symbol", "n")
+
+
+@query(
+    "r3_rolling_buffer",
+    "WITH " + TAPE + " SELECT symbol, event_id, t FROM tape QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY t DESC, event_id DESC) <= 600",
+)
+def _(v):
+    """The last 600 trades of each symbol, kept up batch by batch."""
+    at = _folder(v)
+    tape = _tape(v).select("symbol", "event_id", F.unix_seconds("ts").alias("t"))
+    S.rolling_buffer(tape, at + "/buffer", at + "/cp", ["symbol"], ["t", "event_id"], "event_id", 600)
+    return v.spark.read.schema("symbol string, event_id bigint, t bigint").parquet(at + "/buffer")
+
+
+@query(
+    "r8_sessions",
+    """WITH x AS (SELECT event_type AS symbol, ts, value, epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 7200000000 AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+y AS (SELECT *, sum(coalesce(new, true)::INT) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
+SELECT symbol, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n, round(sum(value), 4) AS size FROM y GROUP BY symbol, k""",
+)
+def _(v):
+    """Bursts of trades: a session ends where two hours pass without one."""
+    at, name = _folder(v), "sessions_" + uuid.uuid4().hex
+    s = S.sessions(_tape(v), "2 hours", "400 days")
+    q = s.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", at + "/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return v.spark.table(name).select("symbol", F.unix_seconds("start").alias("start"), "n", F.round("size", 4).alias("size"))

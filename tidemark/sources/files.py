@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,27 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set, a local session gets a folder of its own (tests); on a cluster that would be read by none.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = held.get() if held.isDefined() else None
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return _own_folder[0]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """By Hadoop's file system, so that any store Spark reads will do."""
     fs, p, _ = _fs(spark, path)
@@ -40,11 +62,12 @@ def append(df: DataFrame, path: str, kind: str = "parquet", partition: list[str]
     (w.partitionBy(*partition) if partition else w).format(kind).save(path)
 
 
-def swap(df: DataFrame, path: str, kind: str = "parquet") -> None:
+def swap(df: DataFrame, path: str, kind: str = "parquet", partition: list[str] | None = None) -> None:
     """Replace a folder: write beside it, then rename; readers see the old rows or the new ones."""
     spark = df.sparkSession
     fresh = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.format(kind).save(fresh)
+    w = df.write.option("header", True)
+    (w.partitionBy(*partition) if partition else w).format(kind).save(fresh)
     fs, p, jvm = _fs(spark, path)
     old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
     if fs.exists(p):
@@ -70,6 +93,13 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def write_documents(df: DataFrame, path: str, key: str, order: str) -> None:
+    """One JSON array for each key, in a folder of its own (key=...), its rows in order. A key's rows must fit in one document."""
+    rest = [order, *[c for c in df.columns if c not in (key, order)]]
+    body = F.to_json(F.array_sort(F.collect_list(F.struct(*rest)))).alias("value")
+    swap(df.groupBy(key).agg(body), path, "text", [key])
+
+
 def tail(df: DataFrame, n: int, by: Column) -> DataFrame:
     """The last n rows in an order, by a top-k and not a full sort."""
     return df.orderBy(by.desc()).limit(n)

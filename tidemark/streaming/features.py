@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import files
+
 QUOTES = "symbol string, ts timestamp, bid double, bid_size double, ask double, ask_size double"
 
 
@@ -30,6 +32,31 @@ def windowed_flow(tape: DataFrame, width: str = "60 seconds", late: str = "10 mi
     )
 
 
+def sessions(tape: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """One row for each symbol and burst of trades without a pause of gap: start, trades, size."""
+    return (
+        tape.withWatermark("ts", late).groupBy("symbol", F.session_window("ts", gap).alias("w"))
+        .agg(F.count("*").alias("n"), F.sum("size").alias("size")).select("symbol", F.col("w.start").alias("start"), "n", "size")
+    )
+
+
+def rolling_buffer(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], identity: str, most: int) -> None:
+    """Keep the last rows of each key in a table at path, most at most, from all that has come.
+
+    Each batch is joined to what the table holds and swapped in whole, so readers see one state or the next. A batch
+    that is run again after a failure changes nothing, as rows count once by identity.
+    """
+
+    def merge(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        rows = batch
+        if files.exists(spark, path):
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(path)).dropDuplicates([identity])
+        files.swap(files.retain(rows, keys, [F.desc(c) for c in order], most), path)
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def quotes(tape: DataFrame, width: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
     """Mean price and size of each side by window, as quotes for the order-flow state."""
     buy = F.col("side") == "buy"
