@@ -238,3 +238,39 @@ def congestion(fee: Column) -> Column:
 def implied_regime(level: Column, slope: Column) -> dict[str, Column]:
     """Calm under 40, stress from 70 on, and whether the level has grown by over 10 %."""
     return {"regime": F.when(level.isNull(), "inconnu").when(level < 40, "calme").when(level < 70, "normal").otherwise("stress"), "expansion": F.coalesce(slope > 10, F.lit(False))}
+
+
+def net_positioning(long: Column, short: Column) -> dict[str, Column]:
+    """Net open positions of a class of traders, their share of all in percent, and which way they lean; null if a side is negative."""
+    valid, total, net = (long >= 0) & (short >= 0), long + short, long - short
+    share = F.when(total > 0, net * 100.0 / total).otherwise(0.0)
+    return {"net": F.when(valid, net), "net_pct": F.when(valid, share), "bias": F.when(valid, F.when(net > 0, "LONG").when(net < 0, "SHORT").otherwise("FLAT"))}
+
+
+def sector_ratio(cyclical: Column, defensive: Column) -> Column:
+    """Price of a cyclical sector in units of a defensive one; null unless the latter is above 0."""
+    return F.when(defensive > 0, cyclical / defensive)
+
+
+def input_votes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, agent, vote, confidence of seven agents, a row each, from the columns imbalance, cvd, regime, stance,
+    coverage, fear, funding, net, week, month, crowd. Whoever lacks its input votes 0 with confidence 0."""
+    c = F.col
+    policy = macro_vote(c("stance"), c("coverage"))
+    carry = carry_vote(c("week"), F.coalesce(c("funding"), F.lit(0.0)), c("crowd"), c("month"))["vote"]
+    step = df.select(
+        *keys, "imbalance", "cvd", "regime", "fear", "funding", "net", policy["vote"].alias("policy"), policy["confidence"].cast("double").alias("weight"),
+        F.when(c("regime") == "RISK_ON", 0.6).when(c("regime") == "RISK_OFF", -0.6).otherwise(0.0).alias("base"), F.when(c("regime").isin("RISK_ON", "RISK_OFF"), 0.5).otherwise(0.1).alias("sure"),
+        flow_vote(c("week"), c("month")).alias("flows"), carry.alias("carry"),
+    )
+    blend = F.when(c("weight") > 0, clamp((c("base") * c("sure") + c("policy") * c("weight")) / (c("sure") + c("weight")))).otherwise(c("base"))
+    step = step.select(
+        *keys, "flows", "carry", clamp(2 * c("imbalance") + 0.3 * F.signum(c("cvd").cast("double"))).alias("orderflow"), F.least(F.lit(1.0), F.abs("imbalance") * 1.5).alias("orderflow_sure"),
+        blend.alias("macro"), F.when(c("weight") > 0, F.least(F.lit(1.0), (c("sure") + c("weight")) / 1.5)).otherwise(c("sure")).alias("macro_sure"),
+        F.when(c("fear").isNotNull(), clamp((50 - c("fear")) / 50)).otherwise(0.0).alias("sentiment"), F.when(c("funding").isNotNull(), clamp(-2000 * c("funding"))).otherwise(0.0).alias("derivs"),
+        F.when(c("net").isNotNull(), clamp(c("net"))).otherwise(0.0).alias("liquidations"),
+    )
+    sure = {"orderflow": c("orderflow_sure"), "macro": c("macro_sure"), "flows": F.least(F.lit(0.5), F.abs("flows")), "carry": F.least(F.lit(0.6), F.abs("carry") * 1.2)}
+    names = ("orderflow", "macro", "sentiment", "derivs", "liquidations", "flows", "carry")
+    said = [F.struct(F.col(n).cast("double").alias("vote"), sure.get(n, F.abs(n)).cast("double").alias("confidence")).alias(n) for n in names]
+    return step.select(*keys, *said).unpivot(keys, list(names), "agent", "said").select(*keys, "agent", (c("said.vote") + 0.0).alias("vote"), "said.confidence")

@@ -18,9 +18,9 @@ from ..sources import parsers
 from .q_aggregates import LEVELS, TIERS
 from .q_joins import outcomes, touch_sql
 from .q_quant import PAIRS, RANKS, pairs
-from .q_windows import B, BY, R, RSI, TR, ema_sql, frame
+from .q_windows import CLV, B, BY, R, RSI, TR, ema_sql, frame
 from .registry import query
-from .views import BOOK, EV, SIGNALS, TAPE, VENUES, VOTES
+from .views import BOOK, EV, SIGNALS, TAPE, VENUES, VOTES, WALK
 
 E = "WITH " + EV
 VE = "WITH " + VENUES
@@ -193,17 +193,21 @@ def _(v):
     return v.table("nation").groupBy(F.when(k == 0, "LIVE").when(k == 1, "PROBATION").otherwise("PAPER").alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("q5_equity_measures")
-def _(v):
-    """Worst fall, Calmar ratio and replication ratio of each series' returns."""
+EQUITY = f"""{B}, r AS (SELECT symbol, t, 0.05 * (close / lag(close) OVER {BY} - 1) AS r FROM bars QUALIFY r IS NOT NULL),
+p AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS path FROM r),
+f AS (SELECT *, path - max(path) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) AS fall FROM p),
+e AS (SELECT symbol, count(*)::DOUBLE AS t, 1 - exp(min(fall)) AS mdd, exp(avg(ln(1 + r)) * 24) - 1 AS growth, (avg(r) / stddev_samp(r)) ** 2 AS s2 FROM f GROUP BY 1),
+x AS (SELECT *, s2 / (1 - 2 * s2) AS b FROM e)
+SELECT symbol, round(mdd, 6) AS mdd, round(CASE WHEN mdd > 1e-9 THEN growth / mdd ELSE 0 END, 6) AS calmar,
+  round(CASE WHEN s2 < 0.5 THEN b / sqrt(2 * b * b + (1 + 2 / (t - 2)) * b + 1 / (t - 2)) * sqrt(2 * b * b + (1 + 15 / (t - 2) - 2 / t) * b + 4 / t - 3 / (t + 2) - 1 / (t * t)) / (b + 1 / t) END, 6) AS replication FROM x"""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        c = g.sort_values("t")["close"].to_numpy(float)
-        r = 0.05 * (c[1:] / c[:-1] - 1)
-        sr = float(r.mean() / r.std(ddof=1))
-        return pd.DataFrame([(g.symbol.iloc[0], round(Q.max_drawdown(r), 6), round(Q.calmar(r, 1460), 6), Q.replication_ratio(len(r), abs(sr)))], columns=["symbol", "mdd", "calmar", "replication"])
 
-    return v.bars.groupBy("symbol").applyInPandas(run, "symbol string, mdd double, calmar double, replication double")
+@query("q5_equity_measures", EQUITY)
+def _(v):
+    """Worst fall, Calmar ratio and replication ratio of each series' returns."""
+    r = v.bars.select("symbol", "t", (0.05 * (F.try_divide("close", W.lag("close")) - 1)).alias("r")).where("r is not null")
+    e = Q.equity_measures(r, ["symbol"], "t", 24)
+    return e.select("symbol", F.round("mdd", 6).alias("mdd"), F.round("calmar", 6).alias("calmar"), F.round("replication", 6).alias("replication"))
 
 
 @query("r5_freshness_guard", "WITH " + TAPE + " SELECT symbol, event_id FROM tape WHERE t >= (SELECT max(t) FROM tape) - 7200")
@@ -226,17 +230,24 @@ def _(v):
     return retain(v.events.select("event_type", "event_id"), ["event_type"], [F.desc("event_id")], 100)
 
 
-@query("f7_flow_signal")
+FLOW_SIGNAL = f"""WITH {WALK}, c AS (SELECT *, {CLV} AS clv FROM walk),
+m AS (SELECT symbol, t, close, CASE WHEN sum(volume) OVER {frame(4)} > 0 THEN greatest(-1, least(1, sum(clv * volume) OVER {frame(4)} / sum(volume) OVER {frame(4)})) ELSE avg(clv) OVER {frame(4)} END AS ned FROM c QUALIFY row_number() OVER {BY} >= 5),
+b AS (SELECT *, row_number() OVER {BY} AS rn, count(*) OVER (PARTITION BY symbol) AS n, last(ned) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now,
+  max(close) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hi, min(close) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS lo FROM m),
+s AS (SELECT *, CASE WHEN close = hi THEN 'top' ELSE 'bottom' END AS side FROM b WHERE rn BETWEEN 3 AND n - 2 AND hi > lo AND (close = hi OR close = lo)),
+d AS (SELECT *, sign(close - lag(close) OVER (PARTITION BY symbol, side ORDER BY t)) AS dp, sign(ned - lag(ned) OVER (PARTITION BY symbol, side ORDER BY t)) AS dn FROM s QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY t DESC) = 1),
+z AS (SELECT u.symbol, u.n, p.dp AS pp, p.dn AS pn, p.rn AS pr, sign(p.now - p.ned) AS pf, q.dp AS qp, q.dn AS qn, q.rn AS qr, sign(q.now - q.ned) AS qf FROM (SELECT DISTINCT symbol, n FROM b) u
+  LEFT JOIN d p ON p.symbol = u.symbol AND p.side = 'top' LEFT JOIN d q ON q.symbol = u.symbol AND q.side = 'bottom'),
+g AS (SELECT symbol, CASE WHEN n < 7 THEN 0 WHEN qp > 0 AND qn <= 0 THEN 3 WHEN pp < 0 AND pn >= 0 THEN 4 WHEN pp > 0 AND pn > 0 THEN 1 WHEN pp < 0 AND pn < 0 THEN 2 WHEN pr >= n - 3 AND pf < 0 THEN 5 WHEN qr >= n - 3 AND qf > 0 THEN 6 ELSE 0 END AS signal FROM z)
+SELECT symbol, signal, CASE signal WHEN 1 THEN 0.1 WHEN 2 THEN -0.1 WHEN 3 THEN 0.2 WHEN 6 THEN 0.2 WHEN 4 THEN -0.2 WHEN 5 THEN -0.2 ELSE 0.0 END::DOUBLE AS nudge FROM g"""
+
+
+@query("f7_flow_signal", FLOW_SIGNAL)
 def _(v):
     """Money flow against price: the signal of each series and the lean it gives."""
-    from ..operators import strategies as ST
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t", kind="stable")
-        k = ST.flow_signal(g["ned"].to_numpy(float), g["close"].to_numpy(float))
-        return pd.DataFrame([(g.symbol.iloc[0], k, ST.flow_nudge(k))], columns=["symbol", "signal", "nudge"])
+    from ..operators.strategies import flow_signals
 
-    return W.money_flow(v.walk, 5).where("ned is not null").select("symbol", "t", "ned", "close").groupBy("symbol").applyInPandas(run, "symbol string, signal int, nudge double")
+    return flow_signals(W.money_flow(v.walk, 5).where("ned is not null").select("symbol", "t", "ned", "close"))
 
 
 @query("x16_edge_summary", "WITH " + PAIRS + ", " + RANKS + " SELECT agent, n, round(ic, 6) AS ic FROM ic ORDER BY ic DESC, agent LIMIT 3")
@@ -290,3 +301,49 @@ def _(v):
     was = W.lag("close", 4)
     r = implied_regime(F.col("close"), (F.col("close") - was) / was * 100)
     return v.bars.select("symbol", "t", r["regime"].alias("regime"), r["expansion"].alias("expansion"), F.round(F.col("close") - F.stddev_pop("close").over(W.last(14)), 4).alias("premium"), F.round(congestion(F.col("close")), 6).alias("congestion"))
+
+
+@query("f12_positioning", E + ", x AS (SELECT event_id, value + 1 AS a, (user_id % 30)::BIGINT AS l, (event_id % 37 - 3)::BIGINT AS s, event_id % 5 * 10.0::DOUBLE AS d FROM ev) SELECT event_id, round(CASE WHEN d > 0 THEN a / d END, 6) AS sector_ratio, CASE WHEN s >= 0 THEN l - s END AS net, round(CASE WHEN s >= 0 THEN CASE WHEN l + s > 0 THEN (l - s) * 100.0 / (l + s) ELSE 0 END END, 6) AS net_pct, CASE WHEN s >= 0 THEN CASE WHEN l > s THEN 'LONG' WHEN l < s THEN 'SHORT' ELSE 'FLAT' END END AS bias FROM x")
+def _(v):
+    """Net positions of a trader class, and the ratio of two sectors' prices."""
+    from ..functions import decisions as D
+
+    p = D.net_positioning(F.col("user_id") % 30, F.col("event_id") % 37 - 3)
+    ratio = D.sector_ratio(F.col("value") + 1, F.col("event_id") % 5 * 10.0)
+    return v.events.select("event_id", F.round(ratio, 6).alias("sector_ratio"), p["net"].alias("net"), F.round(p["net_pct"], 6).alias("net_pct"), p["bias"].alias("bias"))
+
+
+INPUTS = E + """, x AS (SELECT event_id, (user_id % 21 - 10) / 10.0::DOUBLE AS imb, event_id % 3 - 1 AS cvd, CASE WHEN event_id % 7 > 0 THEN value END AS fear, CASE WHEN event_id % 5 > 0 THEN (user_id % 40 - 20) / 20000.0::DOUBLE END AS f,
+  CASE WHEN event_id % 11 > 0 THEN (event_id % 41 - 20) / 15.0::DOUBLE END AS net, event_id % 4 AS reg, (user_id % 9 - 4) / 4.0::DOUBLE AS stance, (event_id % 6) / 5.0::DOUBLE AS cover, (value - 50) / 40 AS wk, (event_id % 20 - 10) / 10.0::DOUBLE AS mo, CASE WHEN event_id % 4 <> 0 THEN (user_id % 30 - 15) / 15.0::DOUBLE END AS crowd FROM ev),
+y AS (SELECT *, CASE reg WHEN 0 THEN 0.6 WHEN 1 THEN -0.6 ELSE 0.0 END AS base, CASE WHEN reg < 2 THEN 0.5 ELSE 0.1 END AS bc, CASE WHEN cover > 0 THEN greatest(-1, least(1, -stance)) ELSE 0 END AS mv, CASE WHEN cover > 0 THEN least(1, cover) * (0.4 + 0.6 * abs(greatest(-1, least(1, -stance)))) ELSE 0 END AS mc, 0.6 * tanh(wk / 0.5) + 0.4 * tanh(mo / 2) AS fl,
+  greatest(-1, least(1, -greatest(-1, least(1, wk / 2.5)) * CASE WHEN abs(coalesce(f, 0)) >= 0.0005 THEN 1.5 ELSE 1 END)) AS cf, -greatest(-1, least(1, mo / 0.5)) * 0.4 AS cb FROM x),
+z AS (SELECT *, greatest(-1, least(1, (0.5 * cf + coalesce(0.35 * -crowd * 0.8, 0) + 0.15 * cb) / CASE WHEN crowd IS NULL THEN 0.65 ELSE 1.0 END)) AS ca FROM y),
+v(event_id, agent, vote, confidence) AS (
+  SELECT event_id, 'orderflow', greatest(-1, least(1, 2 * imb + 0.3 * cvd)), least(1, abs(imb) * 1.5) FROM z
+  UNION ALL SELECT event_id, 'macro', CASE WHEN mc > 0 THEN greatest(-1, least(1, (base * bc + mv * mc) / (bc + mc))) ELSE base END, CASE WHEN mc > 0 THEN least(1, (bc + mc) / 1.5) ELSE bc END FROM z
+  UNION ALL SELECT event_id, 'sentiment', CASE WHEN fear IS NULL THEN 0 ELSE greatest(-1, least(1, (50 - fear) / 50)) END, CASE WHEN fear IS NULL THEN 0 ELSE least(1, abs(50 - fear) / 50) END FROM z
+  UNION ALL SELECT event_id, 'derivs', CASE WHEN f IS NULL THEN 0 ELSE greatest(-1, least(1, -2000 * f)) END, CASE WHEN f IS NULL THEN 0 ELSE least(1, 2000 * abs(f)) END FROM z
+  UNION ALL SELECT event_id, 'liquidations', CASE WHEN net IS NULL THEN 0 ELSE greatest(-1, least(1, net)) END, CASE WHEN net IS NULL THEN 0 ELSE least(1, abs(net)) END FROM z
+  UNION ALL SELECT event_id, 'flows', fl, least(0.5, abs(fl)) FROM z
+  UNION ALL SELECT event_id, 'carry', ca, least(0.6, 1.2 * abs(ca)) FROM z)
+SELECT event_id, agent, round(vote, 6)::DOUBLE AS vote, round(confidence, 6)::DOUBLE AS confidence FROM v"""
+
+
+def agent_inputs(v):
+    """What the agents that live on other tables than bars read, for each event."""
+    e, u = F.col("event_id"), F.col("user_id")
+    return v.events.select(
+        "event_id", F.col("event_type").alias("symbol"), ((u % 21 - 10) / 10.0).alias("imbalance"), (e % 3 - 1).alias("cvd"), F.when(e % 7 > 0, F.col("value")).alias("fear"), F.when(e % 5 > 0, (u % 40 - 20) / 20000.0).alias("funding"),
+        F.when(e % 11 > 0, (e % 41 - 20) / 15.0).alias("net"), F.when(e % 4 == 0, "RISK_ON").when(e % 4 == 1, "RISK_OFF").alias("regime"), ((u % 9 - 4) / 4.0).alias("stance"), ((e % 6) / 5.0).alias("coverage"),
+        ((F.col("value") - 50) / 40).alias("week"), ((e % 20 - 10) / 10.0).alias("month"),
+        F.when(e % 4 != 0, (u % 30 - 15) / 15.0).alias("crowd"),
+    )
+
+
+@query("q14_input_agents", INPUTS)
+def _(v):
+    """The seven agents that read order flow, macro, sentiment, derivatives, liquidations, supply and positioning."""
+    from ..functions import decisions as D
+
+    x = D.input_votes(agent_inputs(v), ["event_id"])
+    return x.select("event_id", "agent", F.round("vote", 6).alias("vote"), F.round("confidence", 6).alias("confidence"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -24,11 +26,16 @@ def _(v):
     return one("click", "price").join(one("view", "hashrate"), "day").join(one("signup", "fear"), "day", "left")
 
 
-@query("j2_forward_as_of", "WITH " + EV + " SELECT a.event_id, min(b.sec) AS later_t, arg_min(b.value, (b.sec, b.event_id)) AS later_value FROM ev a LEFT JOIN ev b ON a.event_type = b.event_type AND b.sec BETWEEN a.sec + 3600 AND a.sec + 40 * 86400 WHERE a.event_id % 5 = 0 GROUP BY 1")
+FORWARD = "WITH " + EV + """, first AS (SELECT event_type, sec, arg_min(value, event_id) AS value FROM ev GROUP BY 1, 2),
+asked AS (SELECT event_id, event_type, sec + 3600 AS due FROM ev)
+SELECT a.event_id, b.sec AS later_t, b.value AS later_value FROM asked a ASOF LEFT JOIN first b ON a.event_type = b.event_type AND a.due <= b.sec"""
+
+
+@query("j2_forward_as_of", FORWARD)
 def _(v):
     ev = v.events.withColumnsRenamed({"event_type": "symbol", "sec": "t"})
     ev = ev.withColumn("row", F.struct("event_id", "value"))  # of equal times, the least event_id
-    return J.as_of_forward(ev, 3600, "row", width=86_400).where("event_id % 5 = 0").select("event_id", "later_t", F.col("later_row.value").alias("later_value"))
+    return J.as_of_forward(ev, 3600, "row", width=86_400).select("event_id", "later_t", F.col("later_row.value").alias("later_value"))
 
 
 @query("j2_live_ic_pairs", "WITH " + VOTES + ", p AS (SELECT a.symbol, a.t, a.agent, a.vote, a.price, min(b.t) AS lt FROM votes a LEFT JOIN votes b ON a.symbol = b.symbol AND b.t >= a.t + 86400 GROUP BY ALL) SELECT p.symbol, p.t, p.agent, p.vote, round(ln(min(b.price) / p.price), 6) AS fwd FROM p JOIN votes b ON b.symbol = p.symbol AND b.t = p.lt GROUP BY p.symbol, p.t, p.agent, p.vote, p.price")
@@ -139,10 +146,20 @@ def _(v):
     return g.withColumn("fresh", F.col("t") >= F.max("t").over(Window.partitionBy()) - 900)  # a row for each type
 
 
-@query("j12_lead_lag", B + ", z AS (SELECT symbol, t, CASE WHEN rn >= 10 THEN (close - avg(close) OVER w) / nullif(stddev_pop(close) OVER w, 0) END AS z FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) SELECT b.symbol, b.t, round(CASE WHEN b.symbol = 'click' THEN 0 ELSE tanh(z.z) END, 6) AS vote FROM bars b JOIN z ON z.symbol = 'click' AND z.t = b.t")
+LEAD_LAG = B + """, r AS (SELECT symbol, t, rn, ln(close / lag(close) OVER w) AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+z AS (SELECT t, rn, sum(r) OVER (ORDER BY t ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) / (stddev_pop(r) OVER (ORDER BY t ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) * sqrt(8) + 1e-9) AS z FROM r WHERE symbol = 'click')
+SELECT b.symbol, b.t, round(CASE WHEN b.symbol = 'click' OR b.rn < 8 OR z.rn < 73 THEN 0 ELSE -tanh(z / 2) END, 6) AS vote FROM bars b JOIN z USING (t)"""
+
+
+@query("j12_lead_lag", LEAD_LAG)
 def _(v):
-    ref = v.bars.where("symbol = 'click'").select("t", W.zscore("close", 30).alias("z"))
-    return v.bars.join(ref, "t").select("symbol", "t", F.round(F.when(F.col("symbol") == "click", 0.0).otherwise(F.tanh("z")), 6).alias("vote"))
+    """Against the leader's move of eight bars in units of its volatility over 64, on every other series; the leader itself: 0."""
+    vol = Window.partitionBy("symbol").orderBy("t")
+    lead = v.bars.where("symbol = 'click'").withColumn("r", W.log_return())
+    z = F.sum("r").over(vol.rowsBetween(-7, 0)) / (F.stddev_pop("r").over(vol.rowsBetween(-63, 0)) * math.sqrt(8) + 1e-9)
+    lead = lead.select("t", F.col("rn").alias("k"), z.alias("z"))
+    vote = F.when((F.col("symbol") == "click") | (F.col("rn") < 8) | (F.col("k") < 73), 0.0).otherwise(-F.tanh(F.col("z") / 2))
+    return v.bars.join(lead, "t").select("symbol", "t", F.round(vote, 6).alias("vote"))
 
 
 @query("j13_two_series", B + ", r AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS k, high, low FROM bars), h AS (SELECT symbol, max(high) FILTER (WHERE k <= 10) AS h1, max(high) FILTER (WHERE k BETWEEN 11 AND 20) AS h0, min(low) FILTER (WHERE k <= 10) AS l1, min(low) FILTER (WHERE k BETWEEN 11 AND 20) AS l0 FROM r GROUP BY 1) SELECT a.symbol AS a, b.symbol AS b, CASE WHEN (a.h1 > a.h0) <> (b.h1 > b.h0) THEN -1 WHEN (a.l1 < a.l0) <> (b.l1 < b.l0) THEN 1 ELSE 0 END AS divergence FROM h a JOIN h b ON a.symbol < b.symbol")

@@ -73,19 +73,19 @@ def _(v):
 
 @query("q4_replay")
 def _(v):
-    """Every replayable agent over prefixes of each series, a vote each eight bars, evaluated with fold quorum and replication."""
+    """Every replayable agent on what it sees of each series, a vote each eight bars, evaluated with fold quorum and replication."""
     agents = ST.AGENTS
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t", kind="stable")
-        cols = {c: g[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")}
+        cols = ST.columns(g)
         close, rows = cols["close"], []
         for at in range(80, len(close) - 8, 8):
             for name, fn in agents.items():
-                rows.append((g.symbol.iloc[0], name, at, fn({k: x[: at + 1] for k, x in cols.items()}), float(close[at + 8] / close[at] - 1)))
+                rows.append((g.symbol.iloc[0], name, at, fn({k: x[max(0, at + 1 - ST.LOOK_BACK) : at + 1] for k, x in cols.items()}), float(close[at + 8] / close[at] - 1)))
         return pd.DataFrame(rows, columns=["symbol", "agent", "at", "vote", "fwd"])
 
-    votes = v.bars.groupBy("symbol").applyInPandas(run, "symbol string, agent string, at int, vote double, fwd double")
+    votes = led(v).groupBy("symbol").applyInPandas(run, "symbol string, agent string, at int, vote double, fwd double")
     e = Q.evaluate(votes, ["agent"])
 
     def quorum(g: pd.DataFrame) -> pd.DataFrame:
@@ -216,15 +216,27 @@ def _(v):
     return one_per_series(v, fn, "regime string, toxicity double, geometric double, divergent double, structure double, technical double", ["regime", "toxicity", "geometric", "divergent", "structure", "technical"])
 
 
+def led(v):
+    """Bars, each with the leading series' close at its time; none beside the leader's own."""
+    lead = v.bars.where("symbol = 'click'").select("t", F.col("close").alias("leader"))
+    return v.bars.join(lead, "t", "left").withColumn("leader", F.when(F.col("symbol") != "click", F.col("leader")))
+
+
 @query("q14_agents")
 def _(v):
-    """The registry: each agent that bars alone can feed, its vote and confidence on each series."""
+    """The registry: all fourteen agents' votes and confidences on each series, seven from its bars and seven from its last inputs."""
+    from ..functions import decisions as D
+    from .q_composites import agent_inputs
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        c = ST.columns(g)
-        return pd.DataFrame([(g.symbol.iloc[0], n, round(float(fn(c)), 4), round(min(1.0, abs(float(fn(c))) * 1.2), 4)) for n, fn in ST.AGENTS.items()], columns=["symbol", "agent", "vote", "confidence"])
-
-    return v.bars.groupBy("symbol").applyInPandas(run, "symbol string, agent string, vote double, confidence double")
+        c = {k: x[-ST.LOOK_BACK :] for k, x in ST.columns(g).items()}
+        said = {n: float(fn(c)) for n, fn in ST.AGENTS.items()}
+        return pd.DataFrame([(g.symbol.iloc[0], n, round(x, 4), round(min(1.0, abs(x) * ST.SURENESS.get(n, 1.2)), 4)) for n, x in said.items()], columns=["symbol", "agent", "vote", "confidence"])
+
+    own = led(v).groupBy("symbol").applyInPandas(run, "symbol string, agent string, vote double, confidence double")
+    last = agent_inputs(v).groupBy("symbol").agg(F.max_by(F.struct("*"), "event_id").alias("x")).select("x.*")
+    fed = D.input_votes(last, ["symbol"]).select("symbol", "agent", F.round("vote", 4).alias("vote"), F.round("confidence", 4).alias("confidence"))
+    return own.unionByName(fed)
 
 
 @query("q15_cognition", VO + ", w AS (SELECT *, CASE agent WHEN 'click' THEN 0.5 ELSE 1.0 END AS w FROM votes), c AS (SELECT symbol, t, sum(vote * confidence * w) / sum(confidence * w) AS con, sum(w) AS tw FROM w GROUP BY 1, 2), j AS (SELECT w.*, con, w / tw AS p FROM w JOIN c USING (symbol, t)) SELECT symbol, t, round(sum(-p * ln(p)) / CASE WHEN count(*) > 1 THEN ln(count(*)) ELSE 1 END, 6) AS weight_entropy, round(coalesce(avg(CASE WHEN confidence > 0.05 AND vote <> 0 THEN (sign(vote) = sign(con))::INT END), 0), 6) AS agreement, round(stddev_pop(vote), 9) AS dispersion, count(*) FILTER (WHERE confidence >= 0.4 AND abs(vote) >= 0.5 AND (vote > 0) <> (con > 0)) AS against FROM j GROUP BY symbol, t")
