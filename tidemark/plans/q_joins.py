@@ -94,19 +94,46 @@ def _(v):
     return J.without(v.signals, live, ["symbol", "side"]).select("signal_id")
 
 
-@query("j8_greedy_nearest_match")
-def _(v):
-    """Ledger buys against fills of the same customer group, nearest first."""
+GREEDY = "WITH RECURSIVE " + EV + """, e AS (SELECT event_type AS symbol, event_id, sec AS t, value AS amount, event_id % 3 = 0 AS buy FROM ev),
+j AS (SELECT *, coalesce(t - lag(t) OVER w > 300, true)::INT AS jump FROM e WINDOW w AS (PARTITION BY symbol ORDER BY t, event_id)),
+g AS (SELECT *, sum(jump) OVER (PARTITION BY symbol ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS chain FROM j),
+b AS (SELECT *, row_number() OVER (PARTITION BY symbol, chain ORDER BY t, event_id) AS k FROM g WHERE buy),
+r AS (SELECT DISTINCT symbol, chain, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS buy_id, NULL::BIGINT AS fill_id FROM b
+  UNION ALL SELECT symbol, chain, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, buy_id, pick FROM (
+    SELECT r.symbol, r.chain, b.k, r.used, b.event_id AS buy_id, arg_min(f.event_id, (abs(f.t - b.t), f.t, f.event_id)) AS pick FROM r JOIN b ON b.symbol = r.symbol AND b.chain = r.chain AND b.k = r.k + 1
+      LEFT JOIN g f ON f.symbol = b.symbol AND f.chain = b.chain AND NOT f.buy AND abs(f.t - b.t) <= 300 AND (abs(f.amount - b.amount) <= 0.35 * b.amount OR b.amount <= 0) AND NOT list_contains(r.used, f.event_id) GROUP BY r.symbol, r.chain, b.k, r.used, b.event_id)),
+first AS (SELECT symbol, min(t) - 300 AS since FROM b GROUP BY 1)
+SELECT symbol, CASE WHEN fill_id IS NULL THEN 'buy' ELSE 'pair' END AS kind, buy_id, fill_id FROM r WHERE k > 0
+UNION ALL SELECT g.symbol, 'fill', NULL, event_id FROM g JOIN first USING (symbol) WHERE NOT buy AND t >= since AND NOT EXISTS (SELECT 1 FROM r WHERE r.fill_id = g.event_id)"""
+
+
+@query("j8_greedy_nearest_match", GREEDY)
+def _(v):
+    """Ledger buys against fills of the same customer group, nearest first. No pair spans a pause of over 300 s, so the
+    chains between pauses are matched apart from each other."""
     ev = v.events.withColumn("kind", F.when(F.col("event_id") % 3 == 0, "buy").otherwise("fill")).select(F.col("event_type").alias("symbol"), "kind", "event_id", F.col("sec").alias("t"), F.col("value").alias("amount"))
+    by = Window.partitionBy("symbol").orderBy("t", "event_id")
+    jump = F.coalesce(F.col("t") - F.lag("t").over(by) > 300, F.lit(True)).cast("int")
+    chains = ev.withColumn("jump", jump).withColumn("chain", F.sum("jump").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("jump")
+    lone = F.count_if(F.col("kind") == "buy").over(Window.partitionBy("symbol", "chain")) == 0
+    chains = chains.withColumn("lone", lone)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         buys = g[g.kind == "buy"].sort_values(["t", "event_id"], ignore_index=True)
         fills = g[g.kind == "fill"].sort_values(["t", "event_id"], ignore_index=True)
-        pairs, left, rest = P.match_nearest(buys, fills, 300, 0.35)
-        rows = [(g.symbol.iloc[0], "pair", buys.event_id[i], fills.event_id[j]) for i, j in pairs] + [(g.symbol.iloc[0], "buy", buys.event_id[i], None) for i in left] + [(g.symbol.iloc[0], "fill", None, fills.event_id[j]) for j in rest]
-        return pd.DataFrame(rows, columns=["symbol", "kind", "buy_id", "fill_id"]).astype({"buy_id": "Int64", "fill_id": "Int64"})
+        pairs, left, _ = P.match_nearest(buys, fills, 300, 0.35)
+        taken = {j for _, j in pairs}
+        rows = [("pair", buys.event_id[i], fills.event_id[j], fills.t[j]) for i, j in pairs] + [("buy", buys.event_id[i], None, buys.t[i]) for i in left]
+        rows += [("fill", None, fills.event_id[j], fills.t[j]) for j in range(len(fills)) if j not in taken]
+        out = pd.DataFrame(rows, columns=["kind", "buy_id", "fill_id", "t"]).astype({"buy_id": "Int64", "fill_id": "Int64"})
+        return out.assign(symbol=g.symbol.iloc[0])
 
-    return ev.groupBy("symbol").applyInPandas(run, "symbol string, kind string, buy_id long, fill_id long")
+    schema = "symbol string, kind string, buy_id long, fill_id long, t long"
+    some = F.floor(F.col("chain") / 256).alias("chains")  # so many chains a group: they can't meet, and groups stay bounded
+    matched = chains.where(~F.col("lone")).groupBy("symbol", some).applyInPandas(run, schema)
+    fills = chains.where("lone").select("symbol", F.lit("fill").alias("kind"), F.lit(None).cast("long").alias("buy_id"), F.col("event_id").alias("fill_id"), "t")
+    since = ev.where("kind = 'buy'").groupBy("symbol").agg((F.min("t") - 300).alias("since"))
+    return matched.unionByName(fills).join(since, "symbol").where("kind <> 'fill' or t >= since").select("symbol", "kind", "buy_id", "fill_id")
 
 
 ROUND_TRIPS = "WITH " + EV + ", e AS (SELECT 'S' || (user_id % 8) AS symbol, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, sec AS t, event_id, event_type = 'purchase' AS reduce FROM ev WHERE event_type = 'purchase' OR value <> 0), l AS (SELECT *, lag(reduce) OVER w AS was, lag(event_id) OVER w AS open_id, lag(t) OVER w AS t_open FROM e WINDOW w AS (PARTITION BY symbol, side ORDER BY t, event_id)) SELECT symbol, side, open_id, event_id AS close_id, t_open, t AS t_close FROM l WHERE reduce AND was = false"
@@ -114,18 +141,7 @@ ROUND_TRIPS = "WITH " + EV + ", e AS (SELECT 'S' || (user_id % 8) AS symbol, CAS
 
 @query("j9_round_trips", ROUND_TRIPS)
 def _(v):
-    ev = v.events.select(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.when(F.col("user_id") % 2 == 0, "long").otherwise("short").alias("side"), F.col("sec").alias("t"), "event_id", (F.col("event_type") == "purchase").alias("reduce"), F.col("value").alias("entry"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t", "event_id"], ignore_index=True)
-        return pd.DataFrame([(g.symbol[i], g.side[i], g.event_id[i], g.event_id[j], g.t[i], g.t[j]) for i, j in P.round_trips(g)], columns=["symbol", "side", "open_id", "close_id", "t_open", "t_close"])
-
-    return ev.groupBy("symbol", "side").applyInPandas(run, "symbol string, side string, open_id long, close_id long, t_open long, t_close long")
-
-
-@query("j9_round_trips_by_window", ROUND_TRIPS)
-def _(v):
-    """The same pairs without a fold: a reduce right after an open closes it, as a further open replaces the one before."""
+    """A reduce right after an open closes it, as a further open replaces the one before: the pairs are neighbours, no fold is needed."""
     ev = v.events.select(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), F.when(F.col("user_id") % 2 == 0, "long").otherwise("short").alias("side"), F.col("sec").alias("t"), "event_id", (F.col("event_type") == "purchase").alias("reduce"), F.col("value").alias("entry"))
     ev = ev.where("reduce or entry <> 0").drop("entry")
     by = Window.partitionBy("symbol", "side").orderBy("t", "event_id")

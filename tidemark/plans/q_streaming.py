@@ -31,7 +31,13 @@ def _(v):
     return v.spark.table(name).select("symbol", F.unix_seconds("start").alias("start"), "n", F.round("buy", 4).alias("buy"), F.round("sell", 4).alias("sell"))
 
 
-@query("r2_order_flow_state")
+ORDER_FLOW = f"""WITH {TAPE}, q AS (SELECT symbol, (t // 3600) * 3600 + 3600 AS e, avg(price) FILTER (WHERE side = 'buy') AS b, sum(size) FILTER (WHERE side = 'buy') AS bs, avg(price) FILTER (WHERE side = 'sell') AS a, sum(size) FILTER (WHERE side = 'sell') AS s FROM tape GROUP BY 1, 2),
+o AS (SELECT * FROM q WHERE b IS NOT NULL AND a IS NOT NULL AND e <= (SELECT epoch(max(ts)) - 86400 FROM events)),
+l AS (SELECT *, lag(b) OVER w AS b0, lag(bs) OVER w AS bs0, lag(a) OVER w AS a0, lag(s) OVER w AS s0 FROM o WINDOW w AS (PARTITION BY symbol ORDER BY e))
+SELECT symbol, e AS t, round(CASE WHEN b0 IS NULL OR least(b0, a0, b, a) <= 0 THEN 0 ELSE CASE WHEN b > b0 THEN bs WHEN b = b0 THEN bs - bs0 ELSE -bs0 END - CASE WHEN a > a0 THEN -s0 WHEN a = a0 THEN s - s0 ELSE s END END, 4)::DOUBLE AS ofi FROM l"""
+
+
+@query("r2_order_flow_state", ORDER_FLOW)
 def _(v):
     """Quotes by window are a table of their own; a second stream folds them, as state can't follow an aggregation."""
     at = _folder(v)
