@@ -15,13 +15,14 @@ HOT_LINES = 500
 
 def _keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
     text = text_of(docs)
-    row = F.struct(docs["text"].isNull().alias("was_null"), *[docs[c].alias(c) for c in carry])
+    own = F.struct(*[docs[f"`{c}`"].alias(c) for c in carry]) if carry else F.lit(None).cast("int")
+    row = F.struct(docs["text"].isNull().alias("was_null"), own.alias("own"))
     return docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"), row.alias("row"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, carry: list[str] | None = None) -> DataFrame:
     r"""Drop repeated lines: doc_id, kept (the text that stays), n_lines, n_dropped; a row for each row of docs.
-    row is a struct of was_null (the text) and the columns of docs named in carry.
+    row is a struct of was_null (the text) and own, a struct of the columns of docs named in carry.
 
     A line's key is the line without white space at its ends, A-Z lower-cased. Keys of min_chars code points or more
     that two or more documents hold lose all their lines but those of the smallest doc_id.

@@ -50,9 +50,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return ranked.select("source", "source_size", "n_docs", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, seed: str = SEED, quality: Column | None = None, carry: bool = False) -> DataFrame:
     """doc_id, source, mark (hash of the text), size, source_size, target, taken; a row for each row of docs.
 
+    quality: the documents' weights, above 0, as a column of docs; quality_weight() of the text if none is given.
+    carry: whole rows of docs come along, in a struct named row.
+
     size is the number of words. A source first gives all its documents as many whole times as its target holds
     its size; the rest of the target goes to its documents in the order of -ln(u) / quality weight, the last one
     in part.
@@ -62,9 +65,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     no words has target 0. Only doc_id, text and source are read. Empty table: no rows.
     """
     text = text_of(docs)
-    priority = -F.log(uniform(docs["doc_id"], seed)) / quality_weight(text)
+    priority = -F.log(uniform(docs["doc_id"], seed)) / (quality_weight(text) if quality is None else F.coalesce(quality.cast("double"), F.lit(1e-9)))
+    rows = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
     sized = cut(
-        docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.xxhash64(text).alias("mark"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), priority.alias("priority")),
+        docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), F.xxhash64(text).alias("mark"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), priority.alias("priority"), *rows),
         "sized",
     )
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, share, most)
@@ -86,7 +90,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     return (
         dealt.join(starts, F.col("source").eqNullSafe(F.col("rs")) & (F.col("run") == F.col("rr")))
         .withColumn("extra", F.least(F.col("size"), F.greatest(rest - ahead, F.lit(0))))
-        .select("doc_id", "source", "mark", "size", "source_size", "target", (epochs * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+        .select("doc_id", "source", "mark", "size", "source_size", "target", (epochs * F.col("size") + F.col("extra")).cast("long").alias("taken"), *(["row"] if carry else []))
     )
 
 
