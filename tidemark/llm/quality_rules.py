@@ -12,17 +12,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut, pieces
+from .common import cut, pieces, sent
 
 MIN_WORDS, MAX_REPEAT = 10, 20
 #: Texts of fewer words are not held against a histogram of characters, of words.
 GUARD_CHARS, GUARD_WORDS = 40, 80
-MOST_CHARS = 0.08
-#: Of the divergence that a text without any common word has from the same reference (0.18 to 0.19 on sf0.1).
-MOST_WORDS = 0.9
+#: Jensen-Shannon distance (the root of the divergence) of character classes.
+MOST_CHARS = 0.28
+#: Of the distance that a text without any common word has from the same reference (0.43 on sf0.1).
+MOST_WORDS = 0.95
 COMMON = 64
-#: A language with less than this share of the rows gets no reference, so there are 100 at most; its texts are not held against any.
-LEAST_SHARE = 0.01
+#: Words that a language's reference is counted from, at least. Texts of a language with fewer are not held against any.
+LEAST_WORDS = 2000
+#: References that go to the executors as they are, at most (about 2 KB each); beyond that they join the texts by language.
+MOST_REFERENCES = 10_000
 #: A word below this share of a language's words is not common, so 2,000 a language are ranked at most.
 LEAST_WORD = 0.0005
 HELD = 200_000
@@ -44,14 +47,14 @@ def class_counts(text: bytes) -> np.ndarray:
     return np.bincount(CLASS_OF[np.frombuffer(text, np.uint8)], minlength=CLASSES + 1)[:CLASSES] if text else np.zeros(CLASSES, np.int64)
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon, base 2, of two histograms of the same bins; 0 where one is empty."""
+def distance(p: np.ndarray, q: np.ndarray) -> float:
+    """Jensen-Shannon, base 2, of two histograms of the same bins, 0 to 1; 0 where one is empty."""
     if not p.sum() or not q.sum():
         return 0.0
     p, q = p / p.sum(), q / q.sum()
     m = (p + q) / 2
     part = lambda x: float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum())
-    return max(0.0, (part(p) + part(q)) / 2)
+    return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +70,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             c = held.setdefault(lang, Counter())
             c.update((text or b"").lower().split())
-            c[b" n"] += 1
             for k, n in enumerate(class_counts(text or b"").tolist()):
                 if n:
                     c[b" %d" % k] += n
@@ -78,30 +80,31 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(flat())
 
 
-def references(docs: DataFrame, common: int = COMMON) -> list[dict]:
-    """A reference for each language of at least LEAST_SHARE of the rows, from all rows: classes, words, shares."""
+def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """lang, classes (counts), keys, counts (of the commonest words), words (all); a row for each language of LEAST_WORDS words, counted over all rows."""
     counted = docs.select(docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).mapInArrow(_counted, "lang string, key binary, n bigint")
     sums = cut(counted.groupBy("lang", "key").agg(F.sum("n").alias("n")), "counts")
     special = F.substring("key", 1, 1) == F.lit(b" ")
-    per = sums.groupBy(F.col("lang").alias("l")).agg(F.sum(F.when(special & (F.col("key") == F.lit(b" n")), F.col("n"))).alias("rows"), F.sum(F.when(~special, F.col("n")).otherwise(0)).alias("words"))
-    total = per.agg(F.sum("rows")).first()[0] or 0
-    big = per.where(F.col("rows") >= max(1, LEAST_SHARE * total))
-    known = sums.join(F.broadcast(big), F.col("lang").eqNullSafe(F.col("l")))  # 100 rows at most
+    per = sums.groupBy(F.col("lang").alias("l")).agg(F.sum(F.when(~special, F.col("n"))).alias("words"), *[F.coalesce(F.max(F.when(F.col("key") == F.lit(b" %d" % k), F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(CLASSES)])
+    per = cut(per.where(F.col("words") >= LEAST_WORDS).select("l", "words", F.array(*[f"c{k}" for k in range(CLASSES)]).alias("classes")), "languages")
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "key")
-    words = known.where(~special & (F.col("n") >= LEAST_WORD * F.col("words"))).withColumn("k", F.row_number().over(top)).where(F.col("k") <= common)
-    refs: dict = {}
-    for lang, key, n, of in known.where(special & (F.col("key") != F.lit(b" n"))).select("lang", "key", "n", "words").union(words.select("lang", "key", "n", "words")).orderBy("lang", F.desc("n"), "key").collect():
-        r = refs.setdefault(lang, {"lang": lang, "classes": np.zeros(CLASSES), "keys": [], "counts": [], "words": of})
-        key = bytes(key)
-        if key[:1] == b" ":
-            r["classes"][int(key[1:])] = n
-        else:
-            r["keys"].append(key)
-            r["counts"].append(n)
-    for r in refs.values():
-        r["shares"] = np.array([*r["counts"], max(0, r["words"] - sum(r["counts"]))], float)
-        r["most"] = MOST_WORDS * divergence(np.append(np.zeros(len(r["keys"])), 1.0), r["shares"])
-    return list(refs.values())
+    ranked = (
+        sums.where(~special).join(sent(per.select("l", "words")), F.col("lang").eqNullSafe(F.col("l"))).where(F.col("n") >= LEAST_WORD * F.col("words"))
+        .withColumn("k", F.row_number().over(top)).where(F.col("k") <= common)
+        .groupBy(F.col("lang").alias("m")).agg(F.sort_array(F.collect_list(F.struct("k", "key", "n"))).alias("top"))
+    )
+    return per.join(ranked, F.col("l").eqNullSafe(F.col("m")), "left").select(
+        F.col("l").alias("lang"), "classes", F.coalesce(F.col("top.key"), F.array().cast("array<binary>")).alias("keys"), F.coalesce(F.col("top.n"), F.array().cast("array<bigint>")).alias("counts"), "words"
+    )
+
+
+class Reference:
+    """A language's histograms, and how far a text of it may be from the one of words."""
+
+    def __init__(self, classes, keys, counts, words):
+        self.classes, self.keys = np.array(classes, float), [bytes(k) for k in keys]
+        self.shares = np.array([*counts, max(0, words - sum(counts))], float)
+        self.most = MOST_WORDS * distance(np.append(np.zeros(len(self.keys)), 1.0), self.shares)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -127,7 +130,7 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(marks[:n]) > 0).sum())
 
 
-def rules(text: bytes, refs: list[dict], judged: bool = True) -> tuple:
+def rules(text: bytes, ref: Reference | None) -> tuple:
     words = text.split()
     n = len(words)
     letters = text.translate(None, b" \t\n\x0b\x0c\r")
@@ -137,48 +140,54 @@ def rules(text: bytes, refs: list[dict], judged: bool = True) -> tuple:
     repeat = repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT * n
     chars = wordy = 0.0
-    usual = True
-    if refs and n >= GUARD_CHARS:
-        own = class_counts(text)
-        chars = min(divergence(own, r["classes"]) for r in refs)
-    if refs and n >= GUARD_WORDS:
+    if ref is not None and n >= GUARD_CHARS:
+        chars = distance(class_counts(text), ref.classes)
+    if ref is not None and n >= GUARD_WORDS:
         c = Counter(text.lower().split())
-        wordy, usual = 1.0, False
-        for r in refs:
-            own = np.array([c.get(k, 0) for k in r["keys"]], float)
-            far = divergence(np.append(own, n - own.sum()), r["shares"])
-            wordy, usual = min(wordy, far), usual or far <= r["most"]
-    kept = not failed and (not judged or (chars <= MOST_CHARS and usual))
+        own = np.array([c.get(k, 0) for k in ref.keys], float)
+        wordy = distance(np.append(own, n - own.sum()), ref.shares)
+    kept = not failed and chars <= MOST_CHARS and (ref is None or wordy <= ref.most)
     return n, word_chars, symbols, len(lines) - len(set(lines)), repeat, failed, chars, wordy, kept
 
 
-COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_divergence", "word_divergence", "kept")
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 TYPES = (pa.int64(),) * 5 + (pa.bool_(), pa.float64(), pa.float64(), pa.bool_())
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id and COLUMNS; a row for each row of docs.
 
-    kept is false if a base rule fails, or if the nearest language reference is further than MOST_CHARS from the
-    histogram of character classes (texts of GUARD_CHARS words or more), or if no reference's histogram
-    of common words is within MOST_WORDS of what a text without common words has (GUARD_WORDS or more). References are counted over all rows, by lang.
-    Rows whose language has no reference (under LEAST_SHARE of the rows) pass both; the divergences are still given.
+    kept is false if a base rule fails, or if the reference of the row's own language is further than MOST_CHARS from
+    the histogram of its character classes (texts of GUARD_CHARS words or more), or further than MOST_WORDS of what a
+    text without common words has from the histogram of its common words (GUARD_WORDS or more). References are counted
+    over all rows, by lang; a language of fewer than LEAST_WORDS words has none, and its texts pass both.
 
     Null text: no words, so base_failed. Null lang: a language of its own. Repeated rows each get a row.
     Only doc_id, text and lang are read. Empty table: no rows.
     """
-    ship(docs.sparkSession)
-    refs = docs.sparkSession.sparkContext.broadcast(references(docs))  # 100 languages of 64 words at most
+    spark = docs.sparkSession
+    ship(spark)
+    refs = cut(references(docs), "references")
+    asked = docs.select("doc_id", docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
+    held = None
+    if refs.count() <= MOST_REFERENCES:
+        held = spark.sparkContext.broadcast({r["lang"]: Reference(r["classes"], r["keys"], r["counts"], r["words"]) for r in refs.collect()})
+    else:
+        kinds = refs.select(F.col("lang").alias("l"), F.struct("classes", "keys", "counts", "words").alias("ref"))
+        asked = asked.join(kinds, F.col("lang").eqNullSafe(F.col("l")), "left").select("doc_id", "text", "lang", "ref")
 
     def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {r["lang"] for r in refs.value}
+        known = held.value if held is not None else {}
         for batch in pieces(batches):
-            rows = [rules(t or b"", refs.value, lang in known) for t, lang in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            langs = batch.column(2).to_pylist()
+            if held is None:
+                known = {k: Reference(**r) for k, r in dict(zip(langs, batch.column(3).to_pylist(), strict=True)).items() if r}
+            rows = [rules(t or b"", known.get(lang)) for t, lang in zip(batch.column(1).cast(pa.binary()).to_pylist(), langs, strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, TYPES, strict=True)]], names=["doc_id", *COLUMNS])
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_divergence double, word_divergence double, kept boolean"
-    return docs.select("doc_id", docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).mapInArrow(ruled, schema)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
+    return asked.mapInArrow(ruled, schema)
 
 
 def op3_quality_rules(docs: DataFrame) -> DataFrame:
