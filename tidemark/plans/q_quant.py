@@ -17,7 +17,7 @@ from ..operators import quant as Q
 from ..operators import strategies as ST
 from ..operators import structure as SM
 from ..operators import windows as W
-from .q_windows import B, BY, frame
+from .q_windows import OPPORTUNITY, B, BY, frame, opportunity
 from .registry import query
 from .views import BARS, EV, SIGNALS, VOTES, WALK
 
@@ -349,22 +349,21 @@ def _(v):
     return wide.withColumn("later", later).where("later is not null").select("symbol", "t", "click", "error", "purchase", "signup", "view", (F.col("later") > F.col("price")).cast("int").alias("label"))
 
 
-@query("q23_accumulation_grid")
+ACCUMULATION = OPPORTUNITY + """, cnt AS (SELECT symbol, count(*) AS n FROM o GROUP BY 1),
+pt AS (SELECT o.*, CASE WHEN o.rn <= floor(0.7 * n) THEN 'in' ELSE 'out' END AS sample FROM o JOIN cnt USING (symbol)),
+gr AS (SELECT symbol, weight, sample, sum(1 + 4 * weight * score) / sum((1 + 4 * weight * score) / close) AS own, count(*) / sum(1 / close) AS flat FROM pt, (VALUES (0.0::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) w(weight) GROUP BY 1, 2, 3)
+SELECT symbol, weight, sample, round((flat - own) / flat * 100, 4) AS advantage_pct FROM gr"""
+
+
+@query("q23_accumulation_grid", ACCUMULATION)
 def _(v):
     """Cost advantage of score-weighted buying over flat buying, in and out of sample, for a grid of weights."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        close, rows = ST.columns(g)["close"], []
-        score = ST.opportunity_scores(close)
-        for w in (0.0, 0.25, 0.5, 1.0):
-            amount = 1 + 4 * w * score
-            for name, part in (("in", slice(0, int(0.7 * len(close)))), ("out", slice(int(0.7 * len(close)), None))):
-                c, a = close[part], amount[part]
-                own, flat = a.sum() / (a / c).sum(), len(c) / (1 / c).sum()
-                rows.append((g.symbol.iloc[0], w, name, round(float((flat - own) / flat * 100), 4)))
-        return pd.DataFrame(rows, columns=["symbol", "weight", "sample", "advantage_pct"])
-
-    return v.bars.groupBy("symbol").applyInPandas(run, "symbol string, weight double, sample string, advantage_pct double")
+    bars = opportunity(v).withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
+    bars = bars.withColumn("sample", F.when(F.col("rn") <= F.floor(0.7 * F.col("n")), "in").otherwise("out"))
+    grid = bars.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in (0.0, 0.25, 0.5, 1.0)])))
+    amount, close = 1 + 4 * F.col("weight") * F.col("score"), F.col("close")
+    g = grid.groupBy("symbol", "weight", "sample").agg((F.sum(amount) / F.sum(amount / close)).alias("own"), (F.count("*") / F.sum(1 / close)).alias("flat"))
+    return g.select("symbol", "weight", "sample", F.round((F.col("flat") - F.col("own")) / F.col("flat") * 100, 4).alias("advantage_pct"))
 
 
 @query("q24_learning_health", VO + ", a AS (SELECT agent, avg(vote) AS x, avg(confidence) AS y FROM votes GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY x, agent) AS a, row_number() OVER (ORDER BY y, agent) AS b FROM a) SELECT round(corr(a, b), 6) AS rank_correlation, count(*) AS n FROM r")

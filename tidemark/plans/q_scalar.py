@@ -309,9 +309,10 @@ def _(v):
     return v.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("f11_version_marks")
+@query("f11_version_marks", "WITH " + VOTES + """, l AS (SELECT symbol, arg_max(agent, (t, agent)) AS agent, arg_max((vote * 1000000)::BIGINT, (t, agent)) AS vote FROM votes GROUP BY 1)
+SELECT symbol, substr(md5('{"agent":"' || agent || '","millionths":' || vote || '}'), 1, 12) AS mark FROM l""")
 def _(v):
-    return v.votes.groupBy("symbol").agg(F.max_by(F.struct("agent", "vote"), F.struct("t", "agent")).alias("s")).select("symbol", S.json_mark(F.col("s.agent"), F.col("s.vote")).alias("mark"))
+    return v.votes.groupBy("symbol").agg(F.max_by(F.struct("agent", "vote"), F.struct("t", "agent")).alias("s")).select("symbol", S.json_mark(F.col("s.agent"), F.round(F.col("s.vote") * 1_000_000).cast("bigint").alias("millionths")).alias("mark"))
 
 
 RANKED = R + f", f AS {ema_sql(9, 'close').format(name='f')}, s AS {ema_sql(21, 'close').format(name='s')}, " + RSI + ", " + TR + f""", w AS (SELECT *, min(low) OVER {frame(9)} AS lo, max(high) OVER {frame(9)} AS hi FROM bars), x AS (SELECT b.*, f.ema AS f, s.ema AS s, rsi, atr FROM w b JOIN f USING (symbol, rn) JOIN s USING (symbol, rn) JOIN rsi USING (symbol, rn) JOIN aw USING (symbol, rn)),

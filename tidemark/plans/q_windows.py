@@ -276,11 +276,15 @@ def clamp01(c):
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-@query("w31_opportunity_score", R + ", " + RSI + f""", f AS (SELECT *, max(close) OVER {frame(89)} AS hi, avg(close) OVER {frame(89)} AS ma, avg(close) OVER {frame(23)} AS ma24, ln(close / lag(close) OVER {BY}) AS r FROM bars),
+OPPORTUNITY = R + ", " + RSI + f""", f AS (SELECT *, max(close) OVER {frame(89)} AS hi, avg(close) OVER {frame(89)} AS ma, avg(close) OVER {frame(23)} AS ma24, ln(close / lag(close) OVER {BY}) AS r FROM bars),
 g AS (SELECT f.*, rsi, stddev_pop(r) OVER {frame(22)} AS sd FROM f LEFT JOIN rsi USING (symbol, rn) WINDOW w AS {BY}),
-h AS (SELECT *, greatest(0, least(1, (hi - close) / hi / 0.30)) AS s_dd, coalesce(greatest(0, least(1, (50 - rsi) / 40)), 0) AS s_rsi, greatest(0, least(1, (ma - close) / ma / 0.20)) AS s_ma, CASE WHEN rn < 25 OR sd <= 1e-9 THEN 0 ELSE greatest(0, least(1, (ma24 - close) / (close * sd) / 3)) END AS s_st FROM g)
-SELECT symbol, t, round(CASE WHEN rn < 20 THEN 0 ELSE greatest(0, least(1, 0.7 * (0.35 * s_dd + 0.25 * s_rsi + 0.20 * s_ma) + 0.3 * s_st)) END, 6) AS score, round(10.0 * (1 + 4 * CASE WHEN rn < 20 THEN 0 ELSE greatest(0, least(1, 0.7 * (0.35 * s_dd + 0.25 * s_rsi + 0.20 * s_ma) + 0.3 * s_st)) END), 4) AS amount FROM h""")
-def _(v):
+h AS (SELECT *, greatest(0, least(1, (hi - close) / hi / 0.30)) AS s_dd, coalesce(greatest(0, least(1, (50 - rsi) / 40)), 0) AS s_rsi, greatest(0, least(1, (ma - close) / ma / 0.20)) AS s_ma, CASE WHEN rn < 25 OR sd <= 1e-9 THEN 0 ELSE greatest(0, least(1, (ma24 - close) / (close * sd) / 3)) END AS s_st FROM g),
+o AS (SELECT *, CASE WHEN rn < 20 THEN 0 ELSE greatest(0, least(1, 0.7 * (0.35 * s_dd + 0.25 * s_rsi + 0.20 * s_ma) + 0.3 * s_st)) END AS score FROM h)
+"""
+
+
+def opportunity(v):
+    """Bars with score: how cheap each close is against its past."""
     df = P.per_series(v.bars, lambda g: {"rsi": P.rsi(g["close"].to_numpy(float))}, "rsi double").replace(float("nan"), None, subset=["rsi"])
     c = F.col("close")
     hi, ma, ma24 = F.max("close").over(W.last(90)), F.avg("close").over(W.last(90)), F.avg("close").over(W.last(24))
@@ -289,7 +293,12 @@ def _(v):
     df = df.withColumn("s_dd", clamp01((hi - c) / hi / 0.30)).withColumn("s_rsi", F.coalesce(clamp01((50 - F.col("rsi")) / 40), F.lit(0.0))).withColumn("s_ma", clamp01((ma - c) / ma / 0.20))
     df = df.withColumn("s_st", F.when((F.col("rn") < 25) | (sd <= 1e-9), 0.0).otherwise(clamp01((ma24 - c) / (c * sd) / 3)))
     score = F.when(F.col("rn") < 20, 0.0).otherwise(clamp01(0.7 * (0.35 * F.col("s_dd") + 0.25 * F.col("s_rsi") + 0.20 * F.col("s_ma")) + 0.3 * F.col("s_st")))
-    return df.select(*KEY, F.round(score, 6).alias("score"), F.round(10.0 * (1 + 4 * score), 4).alias("amount"))
+    return df.withColumn("score", score)
+
+
+@query("w31_opportunity_score", OPPORTUNITY + "SELECT symbol, t, round(score, 6) AS score, round(10.0 * (1 + 4 * score), 4) AS amount FROM o")
+def _(v):
+    return opportunity(v).select(*KEY, F.round("score", 6).alias("score"), F.round(10.0 * (1 + 4 * F.col("score")), 4).alias("amount"))
 
 
 @query("w32_nearest_variation", B + ", p AS (SELECT a.symbol, a.t, a.close, b.close AS was, abs(b.t - (a.t - 7 * 86400)) AS gap, b.t AS bt FROM bars a JOIN bars b ON a.symbol = b.symbol AND abs(b.t - (a.t - 7 * 86400)) <= 1.5 * 86400) SELECT symbol, t, round((close / arg_min(was, gap * 1000000000000 + bt) - 1) * 100, 6) AS change_pct FROM p GROUP BY symbol, t, close")
