@@ -64,7 +64,7 @@ def _(v):
 def _(v):
     r = v.bars.select("symbol", "rn", W.log_return().alias("r")).where("r is not null")
     a, b = r.alias("a"), r.alias("b")
-    c = a.join(b, (F.col("a.rn") == F.col("b.rn")) & (F.col("a.symbol") < F.col("b.symbol"))).groupBy(F.col("a.symbol").alias("x"), F.col("b.symbol").alias("y")).agg(F.corr("a.r", "b.r").alias("c"))
+    c = a.join(b, (F.col("a.rn") == F.col("b.rn")) & (F.col("a.symbol") < F.col("b.symbol"))).groupBy(F.col("a.symbol").alias("x"), F.col("b.symbol").alias("y")).agg(F.try_divide(F.covar_pop("a.r", "b.r"), F.stddev_pop("a.r") * F.stddev_pop("b.r")).alias("c"))
     m = c.agg(F.avg("c").alias("rho"))
     n = r.agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("k"))
     rho, k = F.col("rho"), F.col("k")
@@ -370,7 +370,7 @@ def _(v):
 def _(v):
     a = v.votes.groupBy("agent").agg(F.avg("vote").alias("x"), F.avg("confidence").alias("y"))
     r = a.select(F.row_number().over(Window.orderBy("x", "agent")).alias("a"), F.row_number().over(Window.orderBy("y", "agent")).alias("b"))  # a row for each agent
-    return r.agg(F.round(F.corr("a", "b"), 6).alias("rank_correlation"), F.count("*").alias("n"))
+    return r.agg(F.round(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), 6).alias("rank_correlation"), F.count("*").alias("n"))
 
 
 @query("w16_liquidity_sweeps", "WITH " + WALK + f", s AS (SELECT *, coalesce(low < lag(low, 1) OVER {BY} AND low < lag(low, 2) OVER {BY} AND low < lead(low, 1) OVER {BY} AND low < lead(low, 2) OVER {BY}, false) AS sl, coalesce(high > lag(high, 1) OVER {BY} AND high > lag(high, 2) OVER {BY} AND high > lead(high, 1) OVER {BY} AND high > lead(high, 2) OVER {BY}, false) AS sh FROM walk) SELECT a.symbol, a.t, 'sell' AS side, round(arg_min(b.low, b.rn), 6) AS level, min(b.rn) AS swing_rn FROM walk a JOIN s b ON a.symbol = b.symbol AND b.rn < a.rn AND b.sl AND a.low < b.low AND a.close > b.low GROUP BY a.symbol, a.t UNION ALL SELECT a.symbol, a.t, 'buy', round(arg_min(b.high, b.rn), 6), min(b.rn) FROM walk a JOIN s b ON a.symbol = b.symbol AND b.rn < a.rn AND b.sh AND a.high > b.high AND a.close < b.high GROUP BY a.symbol, a.t")

@@ -186,7 +186,8 @@ def _(v):
 @query("w19_autocorrelation", B + f", x AS (SELECT *, ln(close / lag(close) OVER {BY}) AS r FROM bars), y AS (SELECT *, lag(r) OVER {BY} AS p FROM x) SELECT symbol, round(corr(r, p), 6) AS autocorrelation FROM y GROUP BY symbol")
 def _(v):
     df = v.bars.withColumn("r", W.log_return())
-    return df.withColumn("p", W.lag("r")).groupBy("symbol").agg(F.round(F.corr("r", "p"), 6).alias("autocorrelation"))
+    df = df.withColumn("p", W.lag("r")).where("p is not null")
+    return df.groupBy("symbol").agg(F.round(F.try_divide(F.covar_pop("r", "p"), F.stddev_pop("r") * F.stddev_pop("p")), 6).alias("autocorrelation"))
 
 
 @query("w20_transition_entropy", B + f", s AS (SELECT symbol, t, floor(close / 10)::BIGINT % 15 AS a, lead(floor(close / 10)::BIGINT % 15) OVER {BY} AS b FROM bars), c AS (SELECT symbol, a, b, count(*) AS n FROM s WHERE b IS NOT NULL GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY symbol, a) AS ra, sum(n) OVER (PARTITION BY symbol) AS total FROM c) SELECT symbol, round(sum(-(ra / total) * (n / ra) * ln(n / ra)) / ln(15), 6) AS entropy FROM r GROUP BY symbol")
