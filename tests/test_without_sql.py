@@ -159,3 +159,33 @@ def test_replay(spark, series):
         den = math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b))
         want = sum((x - ma) * (y - mb) for x, y in zip(a, b, strict=True)) / den if den else 0.0
         assert r["ic"] == pytest.approx(want, abs=2e-3), name
+
+
+def test_correlation_graph(spark, series):
+    """Connectivity and weights from a correlation matrix that plain loops make."""
+    import numpy as np
+
+    names = sorted(series)
+    r = {s: {k: math.log(b["close"] / a["close"]) for k, (a, b) in enumerate(itertools.pairwise(series[s]), 2)} for s in names}
+    times = sorted(set.intersection(*[set(x) for x in r.values()]))
+    x = {s: [r[s][t] for t in times] for s in names}
+    mean = {s: fmean(x[s]) for s in names}
+    cov = [[sum((a - mean[p]) * (b - mean[q]) for a, b in zip(x[p], x[q], strict=True)) / (len(times) - 1) for q in names] for p in names]
+    corr = np.array([[cov[i][j] / math.sqrt(cov[i][i] * cov[j][j]) for j in range(len(names))] for i in range(len(names))])
+    w, v = np.linalg.eigh(corr)
+    edge = (1 + math.sqrt(len(names) / len(times))) ** 2
+    noise = w < edge
+    c = corr
+    if noise.any() and not noise.all():
+        c = v @ np.diag(np.where(noise, w[noise].mean(), w)) @ v.T
+        c = c / np.sqrt(np.outer(np.diag(c), np.diag(c)))
+    a = np.abs(c) * (np.abs(c) > 0.05)
+    np.fill_diagonal(a, 0)
+    deg = a.sum(axis=1)
+    half = np.diag([1 / math.sqrt(d) if d > 1e-12 else 0.0 for d in deg])
+    lam = max(0.0, float(np.sort(np.linalg.eigvalsh(np.eye(len(names)) - half @ a @ half))[1])) if deg.sum() else 0.0
+    got = {q["symbol"]: q for q in rows(spark, "q12_correlation_graph")}
+    assert set(got) == set(names)
+    isolated = any(d <= 1e-12 for d in deg)
+    assert isolated or all(q["lambda2"] == pytest.approx(lam, abs=2e-4) for q in got.values())
+    assert sum(q["hrp_weight"] for q in got.values()) == pytest.approx(1, abs=1e-5)

@@ -71,21 +71,39 @@ def _(v):
     return m.crossJoin(F.broadcast(n)).select(F.round(rho, 6).alias("rho"), "n", F.round(F.col("n") / k * (k / (1 + (k - 1) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), rho)))), 4).alias("n_eff"))  # one row each
 
 
-@query("q4_replay")
-def _(v):
-    """Every replayable agent on what it sees of each series, a vote each eight bars, evaluated with fold quorum and replication."""
-    agents = ST.AGENTS
+#: Bars whose votes one task casts; it gets those before them that agents see, and those after that returns need.
+REPLAY_SLICE = 480
+
+
+def replay_votes(bars, every: int | None = 8, most: int = 400, ahead: int = 8, least: int = 80):
+    """symbol, agent, at, vote, fwd: what each agent says of what it sees of a series, and the return over ahead bars after.
+
+    bars: with rn (from 1 on in each series) and maybe the leader's close. A vote each so many bars; every=None: so
+    often that a series gets most votes. Series are dealt out in overlapping slices, so a long one is many tasks.
+    """
+    agents, last = ST.AGENTS, ST.LOOK_BACK
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t", kind="stable")
-        cols = ST.columns(g)
-        close, rows = cols["close"], []
-        for at in range(80, len(close) - 8, 8):
-            for name, fn in agents.items():
-                rows.append((g.symbol.iloc[0], name, at, fn({k: x[max(0, at + 1 - ST.LOOK_BACK) : at + 1] for k, x in cols.items()}), float(close[at + 8] / close[at] - 1)))
+        g = g.sort_values("rn", kind="stable", ignore_index=True)
+        cols, rows = ST.columns(g), []
+        place, n, piece = g["rn"].to_numpy() - 1, int(g["n"].iloc[0]), int(g["slice"].iloc[0])
+        step = every or max(1, (n - least - ahead) // most)
+        for k in np.flatnonzero((place // REPLAY_SLICE == piece) & (place >= least) & (place < n - ahead) & ((place - least) % step == 0)):
+            seen = {c: x[max(0, k + 1 - last) : k + 1] for c, x in cols.items()}
+            after = float(cols["close"][k + ahead] / cols["close"][k] - 1)
+            rows += [(g.symbol.iloc[0], name, int(place[k]), fn(seen), after) for name, fn in agents.items()]
         return pd.DataFrame(rows, columns=["symbol", "agent", "at", "vote", "fwd"])
 
-    votes = led(v).groupBy("symbol").applyInPandas(run, "symbol string, agent string, at int, vote double, fwd double")
+    place = F.col("rn") - 1
+    slices = F.sequence(F.greatest(F.floor((place - ahead) / REPLAY_SLICE), F.lit(0)), F.floor((place + last - 1) / REPLAY_SLICE))
+    sizes = bars.groupBy("symbol").agg(F.max("rn").alias("n"))
+    dealt = bars.join(sizes, "symbol").withColumn("slice", F.explode(slices))
+    return dealt.groupBy("symbol", "slice").applyInPandas(run, "symbol string, agent string, at int, vote double, fwd double")
+
+
+def replay(bars, every: int | None = 8):
+    """Rank correlation, Sharpe ratio, fold quorum and replication of every agent's votes."""
+    votes = replay_votes(bars, every)
     e = Q.evaluate(votes, ["agent"])
 
     def quorum(g: pd.DataFrame) -> pd.DataFrame:
@@ -98,6 +116,12 @@ def _(v):
     return e.join(votes.groupBy("agent").applyInPandas(quorum, "agent string, fold_share double, passed boolean, replication double"), "agent").select("agent", "n", F.round("ic", 4).alias("ic"), F.round("sharpe", 4).alias("sharpe"), "fold_share", "passed", F.round("replication", 3).alias("replication"))
 
 
+@query("q4_replay")
+def _(v):
+    """Every replayable agent on what it sees of each series, a vote each eight bars, evaluated with fold quorum and replication."""
+    return replay(led(v))
+
+
 @query("q6_backtest")
 def _(v):
     """Each named strategy over each series: trades, walk-forward folds, edge over holding, score."""
@@ -187,22 +211,22 @@ def _(v):
     return one_per_series(v, fn, "regime string, " + ", ".join(f"{n} double" for n in names[1:]), names)
 
 
-def returns_matrix(v) -> np.ndarray:
-    """Bars by symbols: a handful of columns, pivoted in Spark; the rows go to one task of a grouped map below."""
-    return v.bars.select("symbol", "rn", W.log_return().alias("r")).where("r is not null")
-
-
 @query("q12_correlation_graph")
 def _(v):
+    """Covariances are summed in Spark; one task gets the matrix, a row for each two symbols."""
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.pivot_table(index="rn", columns="symbol", values="r").dropna()
-        m = x.to_numpy(float)
+        names = sorted(set(g.x))
+        m = Q.Panel(g.pivot(index="x", columns="y", values="cov").loc[names, names].to_numpy(float), int(g.n.iloc[0]))
         graph, (side, cond), apart, w = Q.connectivity(m, 0.05), Q.spectral_cut(m, 0.05), Q.signed_cut(m), Q.risk_parity(m)
-        clean = Q.shrink_noise(Q.correlations(m), m.shape[1] / m.shape[0])
-        return pd.DataFrame([(s, graph["lambda2"], graph["high"], cond, side[k], apart[k], round(float(w[k]), 6), round(float(clean[k].sum() - 1), 6)) for k, s in enumerate(x.columns)],
-                            columns=["symbol", "lambda2", "cheeger_high", "conductance", "cluster", "signed_cluster", "hrp_weight", "row_correlation"])
-
-    return returns_matrix(v).groupBy(F.lit(1).alias("panel")).applyInPandas(run, "symbol string, lambda2 double, cheeger_high double, conductance double, cluster int, signed_cluster int, hrp_weight double, row_correlation double")
+        clean = Q.shrink_noise(m.corr, m.shape[1] / m.shape[0])
+        rows = [(s, graph["lambda2"], graph["high"], cond, side[k], apart[k], round(float(w[k]), 6), round(float(clean[k].sum() - 1), 6)) for k, s in enumerate(names)]
+        return pd.DataFrame(rows, columns=["symbol", "lambda2", "cheeger_high", "conductance", "cluster", "signed_cluster", "hrp_weight", "row_correlation"])
+
+    returns = v.bars.select("symbol", "rn", W.log_return().alias("r")).where("r is not null")
+    cov = Q.covariances(returns, "symbol", "rn", "r")
+    schema = "symbol string, lambda2 double, cheeger_high double, conductance double, cluster int, signed_cluster int, hrp_weight double, row_correlation double"
+    return cov.groupBy(F.lit(1).alias("panel")).applyInPandas(run, schema)
 
 
 @query("q13_composite_signals")
