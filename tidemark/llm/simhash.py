@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import cut, pieces
+from .common import cut, discard, pieces
 
 SHINGLE = 3
 SEED = 42
@@ -76,12 +76,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("merge"), F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        met = large.join(lower, F.col("a") == F.col("u"))
+        met = large.join(lower.hint("merge"), F.col("a") == F.col("u"))
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(met.select("a", F.col("m").alias("b"))).distinct()
         # as many files as the edges need, so that rounds over few edges are not many tiny tasks
-        edges = cut(small.coalesce(max(1, before[0] // EDGES_A_FILE)) if before else small, "edges")
+        spent, edges = edges, cut(small.coalesce(max(1, before[0] // EDGES_A_FILE)) if before else small, "edges")
+        discard(spent)
         seen = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == before or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -96,27 +97,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     Fingerprints that differ in most_bits (2) bits or fewer link; component_id is the least doc_id reachable.
     Equal fingerprints are one class from the start. The bit counts of 32 segments place each class in a grid; the
     Manhattan distance of counts never exceeds the bits that differ, so classes that share no cell within one step
-    of both can't link. For those that do, the exact check: two fingerprints differ in at most 2 bits if and only if
-    some value is within 1 bit of both. Each class is led to the least one at each such value, so a group of any
-    size costs rows in proportion to its members, never to its pairs.
+    of both can't link. That range join names the candidates: each class and the least one of each cell it shares, of
+    which those stay whose bits differ in 2 places at most. Cells that then still hold two groups are checked in whole:
+    two fingerprints differ in at most 2 bits if and only if some value is within 1 bit of both, and each class is led
+    to the least one at each such value. So a group of any size costs rows in proportion to its members, never to its
+    pairs, and no link is lost.
 
     Null and blank texts have fingerprint 0 and link like others. Null doc_id: linked, never a component_id unless
     no member has an id (then null). Repeated rows each get a row. Only doc_id and text are read. Empty table: no rows.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     if most_bits != 2:
         raise ValueError("grid and check are laid out for 2 bits")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, mark bigint, print bigint"
     text = docs["text"].cast("string")
     printed = cut(docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(lambda batches: _fingerprints(batches, shingle), schema), "prints")
     classes = cut(printed.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
-    celled = classes.select("print", grid_cell(F.col("print")).alias("cell"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    celled = classes.select("print").repartition(parts).select("print", grid_cell(F.col("print")).alias("cell"))
     placed = celled.select("print", F.explode(cells_within_one(F.col("cell"))).alias("cell"))
-    met = placed.groupBy("cell").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("cell")
-    near = cut(placed.join(met, "cell", "left_semi").select("print").distinct(), "near")
-    points = near.select("print", F.explode(F.array(F.col("print"), *[F.col("print").bitwiseXOR(_long(1 << i)) for i in range(64)])).alias("point"))
-    hubs = points.groupBy("point").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("point", "lo")
-    linked = components(points.join(hubs, "point").select(F.col("print").alias("a"), F.col("lo").alias("b")).where("a <> b").distinct())
+    met = placed.groupBy("cell").agg(F.min("print").alias("hub"), F.max("print").alias("last")).where("hub < last").select("cell", "hub")
+    met = cut(met, "met")
+    near = cut(placed.join(met.hint("merge"), "cell").select("print", "cell", "hub"), "near")  # candidates: a class and its cell's hub
+    differ = F.bit_count(F.col("print").bitwiseXOR(F.col("hub")))
+    links = cut(near.where((F.col("print") != F.col("hub")) & (differ <= most_bits)).select(F.col("print").alias("a"), F.col("hub").alias("b")).distinct(), "links")
+    linked = cut(components(links), "linked")
+    # Cells that still hold two groups: their classes are checked against all others there, without pairs, by the values
+    # within one bit of each: two fingerprints differ in 2 bits at most if and only if they share one.
+    placed_roots = near.select("print", "cell").join(linked.hint("merge"), F.col("print") == F.col("node"), "left").select("print", "cell", F.coalesce("root", "print").alias("root"))
+    open_ = placed_roots.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
+    rest = cut(placed_roots.join(open_.hint("merge"), "cell", "left_semi").select("print").distinct(), "rest")
+    points = rest.repartition(parts).select("print", F.explode(F.array(F.col("print"), *[F.col("print").bitwiseXOR(_long(1 << i)) for i in range(64)])).alias("point"))
+    hubs = cut(points.groupBy("point").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("point", "lo"), "hubs")
+    more = points.join(hubs.hint("merge"), "point").where("print <> lo").select(F.col("print").alias("a"), F.col("lo").alias("b"))
+    discard(met, near)
+    linked = components(links.union(more).distinct())
+    discard(links, rest, hubs)
     rooted = classes.join(linked, classes["print"] == linked["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("print", "root", "component_id")
