@@ -232,18 +232,122 @@ def test_pipeline_against_its_parts(spark):
             if len(key) < 10 or keep[key] == i:
                 lines.append(line)
         r["text"] = "\n".join(lines)
-    from tests.llm.test_brute_force import brute_components, brute_print
+    from tests.llm.test_near_dup import brute_groups
 
-    roots = brute_components({i: brute_print(r["text"]) for i, r in left.items()})
+    roots = brute_groups({i: r["text"] for i, r in left.items()})
     left = {i: r for i, r in left.items() if roots[i] == i}
     as_table = spark.createDataFrame([(i, r["text"], r["lang"], r["source"], r["n_chars"]) for i, r in left.items()], DOCS)
     hits = {r["doc_id"] for r in decontaminate.op6_decontaminate(as_table, table(spark, sf, "benchmark")).where("contaminated").collect()}
     want = mixing.op5_mix(as_table.where(~F.col("doc_id").isin([-1, *hits])))
-    assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, want.collect()))
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: r["text"] for i, r in left.items() if i not in hits}
+    assert got.columns[: len(DOCS.split(", "))] == [c.split()[0] for c in DOCS.split(", ")]
+
+
+CLASHING = ["k", "m", "mark", "row", "text2", "class", "was_null", "size", "h", "d", "a.b", "i", "n"]
+
+
+def test_pipeline_stages_pass_columns_of_any_name(spark, docs):
+    sf = "/root/testdata/sf0.001"
+    wide = docs.select("*", *[F.col("doc_id").cast("string").alias(c) for c in CLASHING if c not in docs.columns])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns, name
+        assert all(r["k"] == (None if r["doc_id"] is None else str(r["doc_id"])) == r["a.b"] for r in out.collect()), name
+    mixed = corpus_pipeline.mix_stage(spark, wide, sf)
+    assert mixed.count() == docs.count() and "k" in mixed.columns and mixed.columns.count("size") == 1
+
+
+def test_url_filter_keeps_repeated_captures_and_odd_names(spark):
+    """Repeats each get a row; hosts under one suffix, long urls and clashing names do no harm."""
+    import datetime as dt
+
+    day = dt.date(2022, 12, 5)
+    rows = [(1, "https://a.example.net/x", day)] * 50 + [(k, f"http://h{k}.com/", day) for k in range(2, 40)] + [(50, "http://b.example.net/" + "y" * 300_000, day), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, fetched_on date").withColumn("host", F.lit("z")).withColumn("mark", F.lit(1)).withColumn("h", F.lit(2))
+    entries = spark.createDataFrame(url_filter.LIST, "host string, listed_on string, action string, category string").withColumn("listed_on", F.to_date("listed_on"))
+    got = {}
+    for r in url_filter.blocked_as_of(pages, entries).collect():
+        got.setdefault(r["page_id"], []).append(r)
+    assert len(got[1]) == 50 and all(r["blocked"] and r["matched"] == "example.net" for r in got[1])
+    assert got[50][0]["blocked"] and not any(got[k][0]["blocked"] for k in range(2, 40)) and got[None][0]["host"] is None
+
+
+def test_pii_of_many_matches_stays_fast(spark):
+    """Work is n log n in the matches of a text: price lists, and long lists of real spans of which loose ones touch some."""
+    import time
+
+    prices = ", ".join(str(10 + k % 90) for k in range(32_000))
+    ips = " ".join(f"10.{k % 250}.1.{k % 200}" for k in range(8_000))
+    mixed = " ".join(f"secret: abcdefgh{k}xyz a{k}@b.com" for k in range(4_000))
+    docs = spark.createDataFrame([(1, prices), (2, ips), (3, mixed)], "doc_id long, text string")
+    pii.op4_pii(docs.limit(0)).collect()
+    began = time.perf_counter()
+    got = by_id(pii.op4_pii(docs))
+    assert time.perf_counter() - began < 25
+    assert got[2][0]["n_ip"] == 8_000 and got[3][0]["n_email"] == 4_000 and got[1][0]["n_card"] == 0
+
+
+PLANTED = {
+    "email": ["Ann.Lee+x@mail.example.com", "bob_99@post.co.uk"],
+    "ip": ["192.168.10.44", "8.8.4.4"],
+    "card": ["4111 1111 1111 1111", "5500-0000-0000-0004"],
+    "phone": ["+1 (555) 010-4477", "+44 20 7946 0958"],
+    "hidden_email": ["ann.lee (at) example (dot) com", "bob[at]mail[dot]org"],
+    "local_phone": ["(555) 234-5678", "415-555-2671"],
+    "id_number": ["219-09-9999", "457-55-5462"],
+    "secret": ["api_key = 'sk9f8a7d6c5b4e3f2a1b0c'", "password: hunter2hunter2xyz77"],
+}
+DECOYS = ["version 1.2.3 of 2019-11-12", "pages 100-200", "order 4111 1111 1111 1112", "meet at noon", "chapter 12.4", "secret gardens are lovely", "1999-2004", "call me at home"]
+
+
+def test_pii_finds_planted_spans_of_every_kind(spark):
+    """Recall and precision by kind over planted spans among decoys."""
+    rows, want = [], {}
+    for k in range(400):
+        kind = pii.KINDS[k % 8]
+        value = PLANTED[kind][k // 8 % 2]
+        lead = f"Words before {DECOYS[k % len(DECOYS)]}; " + ("my contact: " if k % 3 else "it is ")
+        rows.append((k, f"{lead}{value} and words after."))
+        want[k] = f"{kind}:{len(lead)}:{len(lead) + len(value)}"
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.op4_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in pii.KINDS:
+        ids = [k for k in want if want[k].startswith(kind + ":")]
+        assert sum(want[k] in got[k] for k in ids) >= 0.9 * len(ids), (kind, got[ids[0]], want[ids[0]])
+    spans = sum(len([x for x in s if x]) for s in got.values())
+    assert sum(want[k] in got[k] for k in want) >= 0.9 * spans
+
+
+def test_quality_rules_do_not_turn_on_a_languages_share(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {lang: [f"{lang}{rng.randrange(10**6)}" for _ in range(300)] for lang in ("en", "sv")}
+    text = lambda lang: " ".join(words[lang][min(int(rng.expovariate(0.03)), 299)] for _ in range(150))
+    rows = [(k, text("en"), "en") for k in range(600)]
+    sv = [(1000 + k, text("sv"), "sv") for k in range(40)]
+    verdicts = []
+    for some in (sv[:5], sv):
+        got = {r["doc_id"]: r["kept"] for r in quality_rules.op3_quality_rules(spark.createDataFrame(rows + some, "doc_id long, text string, lang string")).collect()}
+        verdicts.append([got[i] for i, _, _ in sv[:5]])
+        assert sum(got[k] for k in range(600)) >= 595
+    assert verdicts[0] == verdicts[1] == [True] * 5
+
+
+def test_quality_rules_with_more_references_than_are_sent(spark, docs, monkeypatch):
+    from tidemark.llm.common import table
+
+    real = table(spark, "/root/testdata/sf0.01", "documents")
+    want = sorted(map(str, quality_rules.op3_quality_rules(real).collect()))
+    monkeypatch.setattr(quality_rules, "MOST_REFERENCES", 1)
+    assert sorted(map(str, quality_rules.op3_quality_rules(real).collect())) == want
 
 
 def test_cut_writes_to_the_shared_folder_and_forgets(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "_own_folder", [f"file://{tmp_path}"])
+    from tidemark.sources import files
+
+    monkeypatch.setattr(files, "_own_folder", [f"file://{tmp_path}"])
     monkeypatch.setattr(common, "_written", [])
     folder = common.shared_folder(spark)
     assert folder == (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tmp_path}").rstrip("/")
