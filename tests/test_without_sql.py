@@ -189,3 +189,69 @@ def test_correlation_graph(spark, series):
     isolated = any(d <= 1e-12 for d in deg)
     assert isolated or all(q["lambda2"] == pytest.approx(lam, abs=2e-4) for q in got.values())
     assert sum(q["hrp_weight"] for q in got.values()) == pytest.approx(1, abs=1e-5)
+
+
+def solve(m, b):
+    """Gaussian elimination with pivots."""
+    n = len(m)
+    rows_ = [[*row, y] for row, y in zip(m, b, strict=True)]
+    for k in range(n):
+        p = max(range(k, n), key=lambda i: abs(rows_[i][k]))
+        rows_[k], rows_[p] = rows_[p], rows_[k]
+        for i in range(n):
+            if i != k:
+                f = rows_[i][k] / rows_[k][k]
+                rows_[i] = [x - f * y for x, y in zip(rows_[i], rows_[k], strict=True)]
+    return [rows_[k][n] / rows_[k][k] for k in range(n)]
+
+
+def test_dislocation(spark, series):
+    """Distance of the last bar's features from those before it, by elimination; the vote follows from the last 72 bars."""
+    got = {r["symbol"]: r for r in rows(spark, "q10_dislocation")}
+
+    def features(bars):
+        out = []
+        for a, b in itertools.pairwise(bars):
+            r, span = math.log(b["close"] / a["close"]), b["high"] - b["low"]
+            where = (2 * b["close"] - b["low"] - b["high"]) / span if span > 0 else 0.0
+            out.append([r, abs(r), where, span / a["close"], b["volume"]])
+        return out
+
+    def odd(x):
+        d = len(x[0])
+        mu, sd = [fmean(c) for c in zip(*x, strict=True)], [pstdev(c) for c in zip(*x, strict=True)]
+        z = [[(v - mu[j]) / (sd[j] if sd[j] > 1e-12 else 1.0) for j, v in enumerate(row)] for row in x]
+        base, last = z[:-1], z[-1]
+        m = [fmean(c) for c in zip(*base, strict=True)]
+        cov = [[sum((r[i] - m[i]) * (r[j] - m[j]) for r in base) / (len(base) - 1) + (0.01 if i == j else 0.0) for j in range(d)] for i in range(d)]
+        gap = [v - w for v, w in zip(last, m, strict=True)]
+        return sum(g * y for g, y in zip(gap, solve(cov, gap), strict=True))
+
+    for symbol, bars in series.items():
+        x = features(bars)
+        assert got[symbol]["distance"] == pytest.approx(odd(x), rel=1e-3, abs=1e-3)
+        late = features(bars[-73:])
+        broken = 1 - math.exp(-odd(late) / len(late[0]) / 2)
+        way = -1 if late[-1][0] > 0 else 1 if late[-1][0] < 0 else 0
+        vote = way * min((broken - 0.55) / 0.45, 1.0) * 0.6 if broken >= 0.55 else 0.0
+        assert got[symbol]["symmetry_break"] == pytest.approx(broken, abs=1e-3) and got[symbol]["vote"] == pytest.approx(vote, abs=2e-3)
+
+
+def test_backtest(spark, series):
+    """Trades, compound return and deepest fall of each strategy's signals, bar by bar."""
+    signals = {}
+    for r in rows(spark, "q7_strategy_signals"):
+        signals.setdefault(r["symbol"], []).append(r)
+    got = {(r["symbol"], r["strategy"]): r for r in rows(spark, "q6_backtest")}
+    assert set(got) == {(s, n) for s in series for n in ST.NAMES}
+    for (symbol, name), r in got.items():
+        close, said = [b["close"] for b in series[symbol]], [s[name] for s in sorted(signals[symbol], key=lambda s: s["t"])]
+        pnl = [(1 if said[k] > 0 else -1) * (close[k + ST.HORIZON] / close[k] - 1) - ST.FEE for k in range(len(close) - ST.HORIZON) if said[k]]
+        assert r["trades"] == len(pnl)
+        eq = top = 1.0
+        fall = 0.0
+        for p in pnl:
+            eq *= 1 + p
+            top = max(top, eq)
+            fall = min(fall, eq / top - 1)
+        assert r["total_return"] == pytest.approx(eq - 1, abs=2e-5, rel=1e-4) and r["max_drawdown"] == pytest.approx(fall, abs=2e-4)
