@@ -154,13 +154,88 @@ def test_quality_classifier_holds_out(spark, docs):
     assert sum((s >= 0.7) == bool(y) for s, y in test) > 0.85 * len(test)
 
 
-def test_toxicity_holds_out(spark, docs):
-    labels = table(spark, SF, "labels")
-    got = toxicity.op8_toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
-    test = [(r["score"], r["toxic"]) for r in got if r["held_out"] and r["lang"] == "en"]  # elsewhere, toxic texts share no words here
-    assert auc(test) > 0.95
+def test_quality_score_by_plain_loops(spark, docs):
+    """The pooled vector, the network and the temperature, written out with loops over words and units."""
+    import math
+
+    from tidemark.llm.sampling import labelled_sample
+
+    m = quality_model.Model(*labelled_sample(docs, table(spark, SF, "labels"), "quality", per_class=60))
+    (w1, b1, w2, b2), checked = m.net, 0
+    texts = ["", "one", "the the the and", "A word, another word; 12 44 \u00e9t\u00e9 ###"] + [r["text"] or "" for r in docs.orderBy("doc_id").limit(15).collect()]
+    for text in texts:
+        words, pooled = text.encode().split(), [0.0] * quality_model.DIM
+        for k, w in enumerate(words):
+            if k and words[k - 1] == w:
+                at = m.shapes[b"\x02same"]
+            elif w in m.ids:
+                at = m.ids[w]
+            else:
+                at = m.shapes.get(quality_model.shape(w), m.shapes[b"\x02other"])
+            for d in range(quality_model.DIM):
+                pooled[d] += float(m.vectors[at][d]) / len(words)
+        extra = [sum(float(quality_model.index_vector(p)[d]) for p in quality_model.profile(words)) for d in range(quality_model.DIM)]
+        x = [(v - float(mu)) / float(sd) for v, mu, sd in zip(pooled + extra, m.mean, m.scale, strict=True)]
+        hidden = [math.tanh(sum(v * float(w1[i, j]) for i, v in enumerate(x)) + float(b1[j])) for j in range(w1.shape[1])]
+        logit = sum(h * float(w) for h, w in zip(hidden, w2, strict=True)) + float(b2[0])
+        assert m.scores([text.encode()])[0] == pytest.approx(1 / (1 + math.exp(-logit / m.temperature)), abs=1e-4)
+        checked += 1
+    assert checked == len(texts)
+
+
+@pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.1"])
+def test_toxicity_holds_out(spark, folder):
+    """Recall over held-out rows of all languages, and of each with ten toxic ones or more; clean rows stay."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    got = toxicity.op8_toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    caught = Counter((r["lang"], r["predicted"]) for r in got if r["toxic"])
+    assert sum(n for (_, p), n in caught.items() if p) >= 0.9 * sum(caught.values())
+    for lang in {x for x, _ in caught}:
+        n = caught[lang, 1] + caught[lang, 0]
+        assert n < 10 or caught[lang, 1] >= 0.9 * n, lang
     clean = [r["predicted"] for r in got if not r["toxic"]]
-    assert sum(clean) < 0.05 * len(clean)
+    assert sum(clean) <= 0.02 * len(clean)
+
+
+def test_toxic_score_by_enumeration(spark, docs):
+    """A document's score from marginals that sum over all taggings of its words."""
+    import itertools
+    import math
+
+    from tidemark.llm.sampling import labelled_sample
+
+    m = toxicity.Tagger(*labelled_sample(docs, table(spark, SF, "labels"), "toxic", max_chars=3000))
+    for text in ("you idiot", "the cat sat on a mat", "scum, trash! of the of", "Moron clown the it loser"):
+        words = [toxicity.core(w) for w in text.encode().split()]
+        emit, total, hot = [m.emission(w) for w in words], 0.0, [0.0] * len(words)
+        for tags in itertools.product((0, 1), repeat=len(words)):
+            log = float(m.start[tags[0]]) + sum(e for e, t in zip(emit, tags, strict=True) if t) + sum(float(m.trans[x, y]) for x, y in itertools.pairwise(tags))
+            total += math.exp(log)
+            for k, t in enumerate(tags):
+                hot[k] += t * math.exp(log)
+        p = [h / total for h in hot]
+        mass = sum(p)
+        z = float(m.c[0]) + float(m.c[1]) * math.log1p(mass) + float(m.c[2]) * max(p) + float(m.c[3]) * math.log1p(1000 * mass / (len(p) + 20))
+        assert m.scores([text.encode()])[0][0] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+@pytest.mark.parametrize("name", ["op2_url_filter", "op5_mix", "op6_decontaminate", "op7_line_dedup"])
+def test_sql_of_the_same_rows(spark, name):
+    import duckdb
+
+    from tidemark.llm import queries
+    from tests.test_queries import plain
+
+    folder, duck = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = duck.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in got.description]
+    df = queries.queries()[name](spark, folder)
+    assert sorted(names) == sorted(df.columns)
+    order = sorted(names)
+    want = Counter(tuple(plain(dict(zip(names, r, strict=True))[c]) for c in order) for r in got.fetchall())
+    assert Counter(tuple(plain(r[c]) for c in order) for r in df.collect()) == want
 
 
 def test_labels_do_not_leak(spark, docs):
@@ -192,16 +267,27 @@ def test_language_model(docs, texts):
 
 
 def test_language_model_adds_up(spark):
-    """Probabilities of all known words and of all else add up to one."""
+    """Probabilities of all known words and of all else add up to one, after each class and after each word with a restaurant."""
     import numpy as np
 
     words = [b"", b"a", b"b", b"ab", b"abc", b"zz"]
     n = [(5, 1, 0, 0), (20, 3, 2, 0), (4, 0, 0, 9), (1, 0, 0, 0), (60, 7, 1, 1), (2, 0, 0, 0)]
-    model, _ = language_model.train(spark.createDataFrame([(bytearray(w), *c) for w, c in [*zip(words, n), (b"new", (0, 0, 0, 0))]], "word binary, n0 long, n1 long, n2 long, n3 long").repartition(2))
+    cells = {b"a": ([0, 1], [3, 1]), b"ab": ([1], [7])}  # after two words with restaurants of their own, of classes 3 and 2
+    made = [(bytearray(w), *c, *cells.get(w, ([], []))) for w, c in [*zip(words, n), (b"new", (0, 0, 0, 0))]]
+    schema = "word binary, n0 long, n1 long, n2 long, n3 long, ctx array<int>, times array<bigint>"
+    model, totals = language_model.train(spark.createDataFrame(made, schema).repartition(2), np.array([3, 2]))
     rows = {bytes(r["word"]): r for r in model.collect()}
     assert set(rows) == {*words, b"new"} and rows[b"new"]["n"] == 0
     total = sum(10 ** np.array([r["lp01"], r["lp23"]], "<i8").view("<f4").astype(float) for r in rows.values())
     assert np.allclose(total, 1, atol=1e-5)
+    back = (language_model.T2 + language_model.D2 * totals["t"]) / (language_model.T2 + totals["n"])
+    for ctx, kind in ((0, 3), (1, 2)):
+        mass = 0.0
+        for r in rows.values():
+            seen = {c >> 32: float(np.array([c & 0xFFFFFFFF], "<u4").view("<f4")[0]) for c in r["cells"]}
+            rest = float(np.array([r["lp01"], r["lp23"]], "<i8").view("<f4")[kind])
+            mass += 10 ** seen[ctx] if ctx in seen else back[ctx] * 10**rest
+        assert mass == pytest.approx(1, abs=1e-5)
     assert rows[b"new"]["spell"] < 0 and rows[b"a"]["spell"] == 0
 
 
@@ -212,15 +298,42 @@ def test_byte_model_adds_up():
     words = [b"ab", b"ba", b"a", b"b", b"abab"]
     codes, _ = language_model.byte_cells(words)
     seen, n = np.unique(codes, return_counts=True)
-    m = language_model.ByteModel(seen, n)
-    for ctx in ((256 + 1, 256 + 1), (257, 97), (97, 98)):
-        codes = (ctx[0] * 258 + ctx[1]) * 258 + np.arange(257)
-        p = sum(back[codes // 258] * p1[codes % (258 * 258)] for back, p1 in m.rest)
-        at = np.minimum(np.searchsorted(m.codes, codes), len(m.codes) - 1)
-        p = p + np.where(m.codes[at] == codes, m.full[at], 0)
+    often = seen // 258 != seen[0] // 258
+    low, at = np.unique(seen[~often] % 258**3, return_inverse=True)
+    m = language_model.ByteModel(seen[often], n[often], low, np.bincount(at, n[~often]).astype(np.int64))
+    for one, two, three in ((257, 257, 257), (257, 257, 97), (257, 97, 98), (1, 2, 3)):
+        p = m.prob(((one * 258 + two) * 258 + three) * 258 + np.arange(257))
         assert p.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_tables_by_enumeration():
+    """Reseated tables against all seatings of a dish's customers, each weighed by the restaurant's odds."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    d, strength, others, parent, n = 0.6, 3.0, 7.0, 0.05, 6
+    weights = Counter()
+    for seats in itertools.product(range(n), repeat=n):  # the table each customer picks; a new one is the next number
+        if seats[0] or any(s > max(seats[:k]) + 1 for k, s in enumerate(seats) if k):
+            continue
+        sizes, w = Counter(), 1.0
+        for s in seats:
+            w *= (sizes[s] - d) if sizes[s] else (strength + d * (others + len(sizes))) * parent
+            sizes[s] += 1
+        weights[len(sizes)] += w
+    want = sum(t * w for t, w in weights.items()) / sum(weights.values())
+    many = 40_000
+    for dd in (d,):
+        language_model.TABLES.setdefault(dd, language_model.stirling(dd))
+    t = language_model.reseat(np.full(many, n), np.full(many, others), strength, d, np.full(many, parent), np.arange(many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), 5)
+    assert t.mean() == pytest.approx(want, abs=0.02)
+    share = Counter(t.astype(int).tolist())
+    assert all(abs(share[k] / many - w / sum(weights.values())) < 0.01 for k, w in weights.items())
+    assert math.isfinite(want)
+
+
 def test_marginals_by_enumeration():
     import itertools
 
