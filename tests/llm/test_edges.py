@@ -297,7 +297,7 @@ PLANTED = {
     "hidden_email": ["ann.lee (at) example (dot) com", "bob[at]mail[dot]org"],
     "local_phone": ["(555) 234-5678", "415-555-2671"],
     "id_number": ["219-09-9999", "457-55-5462"],
-    "secret": ["api_key = 'sk9f8a7d6c5b4e3f2a1b0c'", "password: hunter2hunter2xyz77"],
+    "secret": ["api_key = sk9f8a7d6c5b4e3f2a1b0c", "password: hunter2hunter2xyz77"],
 }
 DECOYS = ["version 1.2.3 of 2019-11-12", "pages 100-200", "order 4111 1111 1111 1112", "meet at noon", "chapter 12.4", "secret gardens are lovely", "1999-2004", "call me at home"]
 
