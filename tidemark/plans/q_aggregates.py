@@ -58,7 +58,8 @@ def _(v):
     issue = F.when(o.contains("TP"), "TP").when(o.contains("SL"), "SL").when(o.contains("AMBIG"), "AMBIGU").otherwise(o)
     df = outcomes(v).select(issue.alias("issue"))
     tp, sl = F.count_if(F.col("issue") == "TP"), F.count_if(F.col("issue") == "SL")
-    return df.agg(F.count("*").alias("n"), tp.alias("tp"), sl.alias("sl"), F.round(100.0 * tp / (tp + sl), 4).alias("wr_pct"))
+    share = F.coalesce(F.round(100.0 * tp / F.nullif(tp + sl, F.lit(0)), 4), F.lit(float("nan")))  # none decided: NaN, as in SQL
+    return df.agg(F.count("*").alias("n"), tp.alias("tp"), sl.alias("sl"), share.alias("wr_pct"))
 
 
 SINCE = 760_000_000
