@@ -182,6 +182,66 @@ def match_nearest(buys: pd.DataFrame, fills: pd.DataFrame, seconds: float, ratio
     return pairs, left, [int(j) for j in np.flatnonzero(free & (ft >= first))]
 
 
+class NearestMatch:
+    """match_nearest over rows that come in order of time and id, in batches; what it holds is the rows of 2 * seconds.
+
+    add() and finish() return what no later row can change: ids of buys, of their fills and whether they have one; ids and
+    times of fills left. Of fills as near, the first is taken. Rows repeated with their id and time go together.
+    """
+
+    def __init__(self, seconds: int, ratio: float):
+        self.seconds, self.ratio = seconds, ratio
+        none = np.zeros(0, np.int64)
+        self.buys, self.fills = [(none, none, np.zeros(0))], [(none, none, np.zeros(0))]
+        self.first = None
+
+    def held(self) -> int:
+        return sum(len(x[0]) for x in self.buys + self.fills)
+
+    def add(self, t: np.ndarray, ids: np.ndarray, amount: np.ndarray, buy: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        for rows, of in ((self.buys, buy), (self.fills, ~buy)):
+            rows.append((t[of], ids[of], amount[of]))
+        self.first = int(t[0]) if self.first is None else self.first
+        last = int(t[-1])
+        return self._settle(last - self.seconds) if self.first < last - 2 * self.seconds else None
+
+    def finish(self) -> tuple[np.ndarray, ...]:
+        return self._settle(math.inf)
+
+    def _settle(self, until: float) -> tuple[np.ndarray, ...]:
+        """All fills that buys before until can take have come."""
+        (bt, bi, ba), (ft, fi, fa) = ([np.concatenate(c) for c in zip(*rows, strict=True)] for rows in (self.buys, self.fills))
+        n, free = int(np.searchsorted(bt, until)), np.ones(len(ft), bool)
+        taken = np.full(n, -1, np.int64)
+        now = bt[:n]
+        spans = (np.searchsorted(ft, now - self.seconds), np.searchsorted(ft, now), np.searchsorted(ft, now + self.seconds, "right"))
+        for k, (t, a, low, mid, high) in enumerate(zip(now.tolist(), ba[:n].tolist(), *(x.tolist() for x in spans), strict=True)):
+            wide = 32
+            while True:  # from the buy's own time outwards
+                x, y = max(low, mid - wide), min(high, mid + wide)
+                near = np.flatnonzero(free[x:y] if a <= 0 else free[x:y] & (np.abs(fa[x:y] - a) <= self.ratio * a)) + x
+                if len(near):
+                    gaps = np.abs(ft[near] - t)
+                    at = int(np.argmin(gaps))
+                    if (x == low or t - ft[x - 1] > gaps[at]) and (y == high or ft[y] - t >= gaps[at]):
+                        taken[k] = j = int(near[at])
+                        while j < len(ft) and fi[j] == fi[near[at]] and ft[j] == ft[near[at]]:
+                            free[j] = False
+                            j += 1
+                        break
+                elif x == low and y == high:
+                    break
+                wide *= 4
+        found = np.full(n, -1, np.int64)
+        found[taken >= 0] = fi[taken[taken >= 0]]
+        gone = ft < until - self.seconds
+        keep, left = free & ~gone, free & gone
+        self.buys, self.fills = [(bt[n:], bi[n:], ba[n:])], [(ft[keep], fi[keep], fa[keep])]
+        firsts = [int(x[0][0]) for x in (self.buys[0], self.fills[0]) if len(x[0])]
+        self.first = min(firsts) if firsts else None
+        return bi[:n], found, taken >= 0, fi[left], ft[left]
+
+
 def round_trips(events: pd.DataFrame) -> list[tuple[int, int]]:
     """Pairs of row places: each open with the first reduce of its symbol and side after it; a further open replaces."""
     live: dict[tuple, int] = {}

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -107,33 +110,58 @@ SELECT symbol, CASE WHEN fill_id IS NULL THEN 'buy' ELSE 'pair' END AS kind, buy
 UNION ALL SELECT g.symbol, 'fill', NULL, event_id FROM g JOIN first USING (symbol) WHERE NOT buy AND t >= since AND NOT EXISTS (SELECT 1 FROM r WHERE r.fill_id = g.event_id)"""
 
 
+RUN_ROWS = 50_000
+
+
 @query("j8_greedy_nearest_match", GREEDY)
 def _(v):
-    """Ledger buys against fills of the same customer group, nearest first. No pair spans a pause of over 300 s, so the
-    chains between pauses are matched apart from each other."""
-    ev = v.events.withColumn("kind", F.when(F.col("event_id") % 3 == 0, "buy").otherwise("fill")).select(F.col("event_type").alias("symbol"), "kind", "event_id", F.col("sec").alias("t"), F.col("value").alias("amount"))
-    by = Window.partitionBy("symbol").orderBy("t", "event_id")
-    jump = F.coalesce(F.col("t") - F.lag("t").over(by) > 300, F.lit(True)).cast("int")
-    chains = ev.withColumn("jump", jump).withColumn("chain", F.sum("jump").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("jump")
-    lone = F.count_if(F.col("kind") == "buy").over(Window.partitionBy("symbol", "chain")) == 0
-    chains = chains.withColumn("lone", lone)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        buys = g[g.kind == "buy"].sort_values(["t", "event_id"], ignore_index=True)
-        fills = g[g.kind == "fill"].sort_values(["t", "event_id"], ignore_index=True)
-        pairs, left, _ = P.match_nearest(buys, fills, 300, 0.35)
-        taken = {j for _, j in pairs}
-        rows = [("pair", buys.event_id[i], fills.event_id[j], fills.t[j]) for i, j in pairs] + [("buy", buys.event_id[i], None, buys.t[i]) for i in left]
-        rows += [("fill", None, fills.event_id[j], fills.t[j]) for j in range(len(fills)) if j not in taken]
-        out = pd.DataFrame(rows, columns=["kind", "buy_id", "fill_id", "t"]).astype({"buy_id": "Int64", "fill_id": "Int64"})
-        return out.assign(symbol=g.symbol.iloc[0])
-
-    schema = "symbol string, kind string, buy_id long, fill_id long, t long"
-    some = F.floor(F.col("chain") / 256).alias("chains")  # so many chains a group: they can't meet, and groups stay bounded
-    matched = chains.where(~F.col("lone")).groupBy("symbol", some).applyInPandas(run, schema)
-    fills = chains.where("lone").select("symbol", F.lit("fill").alias("kind"), F.lit(None).cast("long").alias("buy_id"), F.col("event_id").alias("fill_id"), "t")
-    since = ev.where("kind = 'buy'").groupBy("symbol").agg((F.min("t") - 300).alias("since"))
-    return matched.unionByName(fills).join(since, "symbol").where("kind <> 'fill' or t >= since").select("symbol", "kind", "buy_id", "fill_id")
+    """Ledger buys against fills of the same customer group, nearest first. No pair spans a pause of over 300 s, so what
+    lies between pauses is matched apart, some RUN_ROWS rows a task. Where a series never pauses, it is one task, which
+    reads its rows in order and holds those of ten minutes."""
+    ev = v.events.where("event_type is not null and event_id is not null").select(F.col("event_type").alias("symbol"), (F.col("event_id") % 3 == 0).alias("buy"), "event_id", F.col("sec").alias("t"), F.col("value").alias("amount"))
+    # Slices of 300 s: between rows of two with an empty one between them is a pause. A row for each slice is ordered, not for each event.
+    ev = ev.withColumn("slice", F.floor(F.col("t") / 300))
+    slices = ev.where("t is not null").groupBy("symbol", "slice").agg(F.count("*").alias("n"), F.min(F.when(F.col("buy"), F.col("t"))).alias("first_buy"))
+    by = Window.partitionBy("symbol").orderBy("slice")
+    begins = F.coalesce(F.col("slice") - F.lag("slice").over(by) > 1, F.lit(True))
+    before = F.sum("n").over(by) - F.col("n")
+    runs = slices.withColumn("from", F.when(begins, before)).withColumn("run", F.floor(F.last("from", ignorenulls=True).over(by) / RUN_ROWS)).select("symbol", "slice", "run")
+    ordered = ev.join(runs, ["symbol", "slice"]).repartition("symbol", "run").sortWithinPartitions("symbol", "run", "t", "event_id")
+    matched = ordered.select("symbol", "run", "t", "event_id", "amount", "buy").mapInArrow(_matched, "symbol string, kind string, buy_id long, fill_id long, t long")
+    since = slices.groupBy("symbol").agg((F.min("first_buy") - 300).alias("since"))
+    timeless = ev.where("t is null and buy").select("symbol", F.lit("buy").alias("kind"), F.col("event_id").alias("buy_id"), F.lit(None).cast("long").alias("fill_id"))
+    return matched.join(since, "symbol").where("kind <> 'fill' or t >= since").select("symbol", "kind", "buy_id", "fill_id").unionByName(timeless)
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of symbol, run, t and event_id -> pairs, buys and fills left."""
+
+    def told(symbol, done) -> pa.RecordBatch:
+        buys, found, has, left, at = done
+        n, m = len(buys), len(left)
+        return pa.RecordBatch.from_arrays([
+            pa.array([symbol]).take(pa.array(np.zeros(n + m, np.int32))), pa.array(["buy", "pair", "fill"]).take(pa.array(np.append(has.astype(np.int32), np.full(m, 2, np.int32)))),
+            pa.array(np.append(buys, left), mask=np.arange(n + m) >= n), pa.array(np.append(found, left), mask=np.append(~has, np.zeros(m, bool))),
+            pa.array(np.append(np.zeros(n, np.int64), at)),
+        ], names=["symbol", "kind", "buy_id", "fill_id", "t"])
+
+    key = live = None
+    for batch in batches:
+        runs, symbols = batch.column(1).to_numpy(), batch.column(0).dictionary_encode()
+        codes = symbols.indices.to_numpy()
+        t, ids, amount, buy = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5))
+        heads = np.flatnonzero(np.append(True, (np.diff(runs) != 0) | (np.diff(codes) != 0))) if len(t) else []
+        for a, b in zip(heads, np.append(heads[1:], len(t)), strict=True):
+            own = (symbols.dictionary[int(codes[a])].as_py(), int(runs[a]))
+            if own != key:
+                if live is not None:
+                    yield told(key[0], live.finish())
+                key, live = own, P.NearestMatch(300, 0.35)
+            done = live.add(t[a:b], ids[a:b], amount[a:b].astype(float), buy[a:b].astype(bool))
+            if done is not None:
+                yield told(key[0], done)
+    if live is not None:
+        yield told(key[0], live.finish())
 
 
 ROUND_TRIPS = "WITH " + EV + ", e AS (SELECT 'S' || (user_id % 8) AS symbol, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, sec AS t, event_id, event_type = 'purchase' AS reduce FROM ev WHERE event_type = 'purchase' OR value <> 0), l AS (SELECT *, lag(reduce) OVER w AS was, lag(event_id) OVER w AS open_id, lag(t) OVER w AS t_open FROM e WINDOW w AS (PARTITION BY symbol, side ORDER BY t, event_id)) SELECT symbol, side, open_id, event_id AS close_id, t_open, t AS t_close FROM l WHERE reduce AND was = false"
