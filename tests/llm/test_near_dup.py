@@ -84,3 +84,22 @@ def test_prefixes_suffice():
             for both in range(-(-4 * (n + m) // 9), n + 1):
                 got = min(near_dup.prefix_length(n) - (n - both), near_dup.prefix_length(m) - (m - both))
                 assert got >= min(near_dup.shared_least(n), -(-4 * m // 5))
+
+
+def test_fingerprints_name_candidates(spark, monkeypatch):
+    """Copies with a word changed are found by the fingerprints' range join alone, and checked: near prints of sets that are not near don't link."""
+    monkeypatch.setattr(near_dup, "_candidates", lambda met: met.where("1 = 0").select("a", "b"))
+    rng = random.Random(11)
+    texts, copies = {}, 0
+    for k in range(0, 80, 2):
+        w = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+        texts[k] = " ".join(w)
+        w[700] = "changed"
+        texts[k + 1] = " ".join(w)
+        sets = [near_dup.shingles(texts[j].encode(), near_dup.Remembered(near_dup._word_hash, 10_000)) for j in (k, k + 1)]
+        copies += bin(near_dup.majority(sets[0]) ^ near_dup.majority(sets[1])).count("1") <= 2
+    assert copies > 20
+    assert len(kept(spark, texts)) <= len(texts) - copies
+    profiles = spark.createDataFrame([(1, 0), (2, 3), (3, 0), (4, 15), (5, -1)], "class long, print long")
+    edges = {(r["a"], r["b"]) for r in near_dup.by_fingerprints(profiles).collect()}
+    assert edges == {(1, 2), (1, 3), (2, 4)}

@@ -1,7 +1,10 @@
 """Near-dedup by the Jaccard similarity of 5-word shingle sets.
 
-A prefix join names candidates. The set of a text is a bit vector; its bits are counted in segments, and the Manhattan
-distance of two texts' counts, a lower bound of the bits that differ, drops most pairs. What is left is checked exactly.
+Candidates are named twice. First as in op1: fingerprints of the sets, the counts of their segments as a grid, the range
+join on it. Texts near by Jaccard may differ in ten bits and more, which no such grid can reach; so a prefix join names
+those that are not in one group by then. The set of a text is a bit vector too; its bits are counted in segments, and the
+Manhattan distance of two texts' counts, a lower bound of the bits that differ, drops most pairs. What is left of either
+is checked exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import Remembered, cut, discard, pieces, release
-from .simhash import components
+from .simhash import close_prints, components, majority
 
 SHINGLE = 5
 #: Sets are near if their intersection is at least NUM / DEN of their union.
@@ -125,6 +128,26 @@ def _candidates(met: DataFrame) -> DataFrame:
     return size.where(F.col("shared") >= _enough()).select("a", "b")
 
 
+def by_fingerprints(profiles: DataFrame) -> DataFrame:
+    """a < b of the rows class, print: each class with the least of its fingerprint, and those with each other that are led
+    together in steps of 2 bits at most. Written. As many rows as classes and steps, not as pairs."""
+    firsts = cut(profiles.groupBy("print").agg(F.min("class").alias("hub")), "firsts")
+    edges, spent = close_prints(firsts.select("print"))
+    one, two = (firsts.select(F.col("print").alias(p), F.col("hub").alias(h)) for p, h in (("a", "x"), ("b", "y")))
+    across = edges.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    alike = profiles.join(firsts, "print").where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b"))
+    out = cut(alike.union(across).distinct(), "fingers")
+    discard(firsts, *spent)
+    return out
+
+
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs a, b that are not in one of the groups yet."""
+    one, two = (groups.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "x"), ("b", "y")))
+    met = pairs.join(one, "a", "left").join(two, "b", "left")
+    return met.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), root; a row for each row of docs. Rows of one group have one root.
 
@@ -132,7 +155,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Equal sets are one class. Near sets share a twentieth of their shingles within the first quarter of each, in any
     order common to all; here shingles that a sample finds often come last, so that passages which many texts share name
     no candidates. Candidates are held against each other by their whole sets of 64-bit hashes, so nothing is missed
-    and nothing is linked by chance. First against one class of each shared shingle: that which has it earliest, so has
+    and nothing is linked by chance. First those whose fingerprints are led together, which are most copies with small
+    changes; then, of what is not in one group by that, each against one class of each shared shingle: that which has it earliest, so has
     the fewest rare shingles and is the likeliest source of copies. That unites large groups at a cost in proportion to
     their members; then all pairs that share enough and are not in one group yet.
 
@@ -154,12 +178,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
             sets = [shingles(t, held) for t in _texts(batch, 2)]
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids), pa.array(np.array([len(s) for s in sets], np.int32)), _long_lists([_prefix(s, *ranks.value) for s in sets]), pa.array(map(profile, sets), pa.binary())],
-                names=["doc_id", "mark", "class", "n", "prefix", "profile"],
+                [batch.column(0), batch.column(1), pa.array(ids), pa.array(np.array([len(s) for s in sets], np.int32)), _long_lists([_prefix(s, *ranks.value) for s in sets]), pa.array(map(profile, sets), pa.binary()), pa.array(np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64))],
+                names=["doc_id", "mark", "class", "n", "prefix", "profile", "print"],
             )
 
     id_type = dict(docs.dtypes)["doc_id"]
-    printed = cut(own.mapInArrow(prefixed, f"doc_id {id_type}, mark bigint, class bigint, n int, prefix array<bigint>, profile binary"), "prefixes")
+    printed = cut(own.mapInArrow(prefixed, f"doc_id {id_type}, mark bigint, class bigint, n int, prefix array<bigint>, profile binary, print bigint"), "prefixes")
     placed = printed.select("class", "n", F.posexplode("prefix").alias("i", "token"))
     # Tokens of one class alone go first. A token's hub is the class that has it earliest.
     ends = placed.groupBy("token").agg(F.min(F.struct("i", "class", "n")).alias("hub"), F.min("class").alias("least"), F.max("class").alias("last"))
@@ -172,7 +196,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         for batch in pieces(batches, 64):
             yield pa.RecordBatch.from_arrays([batch.column(0), _long_lists([shingles(t, held) for t in _texts(batch, 1)])], names=["class", "set"])
 
-    profiles = cut(printed.groupBy("class").agg(F.first("n").alias("n"), F.first("profile").alias("profile"), F.min(F.struct("doc_id", "mark")).alias("r")), "profiles")
+    profiles = cut(printed.groupBy("class").agg(F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("print").alias("print"), F.min(F.struct("doc_id", "mark")).alias("r")), "profiles")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs a, b whose whole sets are near."""
@@ -191,16 +215,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
         release(spark)
         return out
 
+    fingers = by_fingerprints(profiles.select("class", "print"))
+    near_prints = linked(fingers)
+    groups = components(near_prints)
+    release(spark)
     met = placed.join(ends, "token").where("class <> hub").where(within())
     swap = F.col("class") > F.col("hub")
     either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    hubs = cut(_candidates(met.select(either("class", "hub").alias("a"), either("hub", "class").alias("b"), either("n", "m").alias("n"), either("m", "n").alias("m"))), "hubs")
-    links = linked(hubs)
+    hubs = cut(apart(_candidates(met.select(either("class", "hub").alias("a"), either("hub", "class").alias("b"), either("n", "m").alias("n"), either("m", "n").alias("m"))), groups), "hubs")
+    links = near_prints.union(linked(hubs))
     groups = components(links)
     discard(ends)
     rooted = placed.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    apart = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    rooted = cut(rooted.join(apart, "token", "left_semi"), "apart")
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+    rooted = cut(rooted.join(mixed, "token", "left_semi"), "apart")
     discard(placed)
     a, b = (rooted.select("token", F.col("class").alias(c), F.col("n").alias(n), F.col("i").alias(i), F.col("root").alias(r)) for c, n, i, r in (("a", "n", "i", "x"), ("b", "m", "k", "y")))
     left = _candidates(a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & within()))
@@ -208,7 +236,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     discard(rooted)
     if left.limit(1).count():
         groups = components(links.union(linked(left)))
-    discard(profiles, hubs, left)
+    discard(profiles, fingers, hubs, left)
     release(spark)
     groups = groups.withColumnRenamed("node", "k")
     return printed.join(groups, F.col("class") == F.col("k"), "left").select("doc_id", "mark", F.coalesce("root", "class").alias("root"))

@@ -22,6 +22,14 @@ LOW = 0x5555555555555555
 EDGES_A_FILE = 200_000
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
+    count = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        count += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """A bit is 1 if it is set in over half of the hashes of the word shingles, repeats included."""
     words = text.lower().split()  # of bytes: A-Z alone, and the six ASCII blanks
@@ -89,6 +97,34 @@ def components(edges: DataFrame) -> DataFrame:
         before = seen
 
 
+def close_prints(prints: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """a, b of the distinct values in print: steps of 2 bits at most that lead from each to all that such steps reach.
+
+    And the tables they are read from, to be discarded by who has read them. The grid, its range join and the exact check
+    are those of near_duplicates.
+    """
+    spark = prints.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    celled = prints.select("print").repartition(parts).select("print", grid_cell(F.col("print")).alias("cell"))
+    placed = celled.select("print", F.explode(cells_within_one(F.col("cell"))).alias("cell"))
+    met = placed.groupBy("cell").agg(F.min("print").alias("hub"), F.max("print").alias("last")).where("hub < last").select("cell", "hub")
+    met = cut(met, "met")
+    near = cut(placed.join(met.hint("merge"), "cell").select("print", "cell", "hub"), "near")  # candidates: a class and its cell's hub
+    differ = F.bit_count(F.col("print").bitwiseXOR(F.col("hub")))
+    links = cut(near.where((F.col("print") != F.col("hub")) & (differ <= MOST_BITS)).select(F.col("print").alias("a"), F.col("hub").alias("b")).distinct(), "links")
+    linked = cut(components(links), "linked")
+    # Cells that still hold two groups: their classes are checked against all others there, without pairs, by the values
+    # within one bit of each: two fingerprints differ in 2 bits at most if and only if they share one.
+    placed_roots = near.select("print", "cell").join(linked.hint("merge"), F.col("print") == F.col("node"), "left").select("print", "cell", F.coalesce("root", "print").alias("root"))
+    open_ = placed_roots.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
+    rest = cut(placed_roots.join(open_.hint("merge"), "cell", "left_semi").select("print").distinct(), "rest")
+    points = rest.repartition(parts).select("print", F.explode(F.array(F.col("print"), *[F.col("print").bitwiseXOR(_long(1 << i)) for i in range(64)])).alias("point"))
+    hubs = cut(points.groupBy("point").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("point", "lo"), "hubs")
+    more = points.join(hubs.hint("merge"), "point").where("print <> lo").select(F.col("print").alias("a"), F.col("lo").alias("b"))
+    discard(met, near)
+    return links.union(more).distinct(), (links, rest, hubs)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, mark (hash of the text), print (long), root, component_id; a row for each row of docs.
 
@@ -114,26 +150,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     text = docs["text"].cast("string")
     printed = cut(docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(lambda batches: _fingerprints(batches, shingle), schema), "prints")
     classes = cut(printed.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    celled = classes.select("print").repartition(parts).select("print", grid_cell(F.col("print")).alias("cell"))
-    placed = celled.select("print", F.explode(cells_within_one(F.col("cell"))).alias("cell"))
-    met = placed.groupBy("cell").agg(F.min("print").alias("hub"), F.max("print").alias("last")).where("hub < last").select("cell", "hub")
-    met = cut(met, "met")
-    near = cut(placed.join(met.hint("merge"), "cell").select("print", "cell", "hub"), "near")  # candidates: a class and its cell's hub
-    differ = F.bit_count(F.col("print").bitwiseXOR(F.col("hub")))
-    links = cut(near.where((F.col("print") != F.col("hub")) & (differ <= most_bits)).select(F.col("print").alias("a"), F.col("hub").alias("b")).distinct(), "links")
-    linked = cut(components(links), "linked")
-    # Cells that still hold two groups: their classes are checked against all others there, without pairs, by the values
-    # within one bit of each: two fingerprints differ in 2 bits at most if and only if they share one.
-    placed_roots = near.select("print", "cell").join(linked.hint("merge"), F.col("print") == F.col("node"), "left").select("print", "cell", F.coalesce("root", "print").alias("root"))
-    open_ = placed_roots.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
-    rest = cut(placed_roots.join(open_.hint("merge"), "cell", "left_semi").select("print").distinct(), "rest")
-    points = rest.repartition(parts).select("print", F.explode(F.array(F.col("print"), *[F.col("print").bitwiseXOR(_long(1 << i)) for i in range(64)])).alias("point"))
-    hubs = cut(points.groupBy("point").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("point", "lo"), "hubs")
-    more = points.join(hubs.hint("merge"), "point").where("print <> lo").select(F.col("print").alias("a"), F.col("lo").alias("b"))
-    discard(met, near)
-    linked = components(links.union(more).distinct())
-    discard(links, rest, hubs)
+    edges, spent = close_prints(classes)
+    linked = components(edges)
+    discard(*spent)
     rooted = classes.join(linked, classes["print"] == linked["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("print", "root", "component_id")
